@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sablewright.llm.bpe import op3_prefix_bpe
+from sablewright.llm.pii import op1_boosted_pii
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_prefix_bpe": op3_prefix_bpe}
+    return {"op1_boosted_pii": op1_boosted_pii, "op3_prefix_bpe": op3_prefix_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
