@@ -7,11 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sablewright.llm.bpe import op3_prefix_bpe
+from sablewright.llm.language import op6_subword_language
 from sablewright.llm.pii import op1_boosted_pii
+from sablewright.llm.toxicity import op8_ftrl_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_boosted_pii": op1_boosted_pii, "op3_prefix_bpe": op3_prefix_bpe}
+    return {
+        "op1_boosted_pii": op1_boosted_pii,
+        "op3_prefix_bpe": op3_prefix_bpe,
+        "op6_subword_language": op6_subword_language,
+        "op8_ftrl_toxicity": op8_ftrl_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
