@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sablewright.llm.bpe import op3_prefix_bpe
+from sablewright.llm.html import op9_tree_scored_text
 from sablewright.llm.language import op6_subword_language
 from sablewright.llm.pii import op1_boosted_pii
 from sablewright.llm.toxicity import op8_ftrl_toxicity
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_prefix_bpe": op3_prefix_bpe,
         "op6_subword_language": op6_subword_language,
         "op8_ftrl_toxicity": op8_ftrl_toxicity,
+        "op9_tree_scored_text": op9_tree_scored_text,
     }
 
 
