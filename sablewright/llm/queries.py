@@ -10,6 +10,7 @@ from sablewright.llm.bpe import op3_prefix_bpe
 from sablewright.llm.html import op9_tree_scored_text
 from sablewright.llm.language import op6_subword_language
 from sablewright.llm.pii import op1_boosted_pii
+from sablewright.llm.sharding import op4_flow_reshard
 from sablewright.llm.toxicity import op8_ftrl_toxicity
 
 
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_boosted_pii": op1_boosted_pii,
         "op3_prefix_bpe": op3_prefix_bpe,
+        "op4_flow_reshard": op4_flow_reshard,
         "op6_subword_language": op6_subword_language,
         "op8_ftrl_toxicity": op8_ftrl_toxicity,
         "op9_tree_scored_text": op9_tree_scored_text,
