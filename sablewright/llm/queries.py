@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sablewright.llm.bpe import op3_prefix_bpe
 from sablewright.llm.html import op9_tree_scored_text
 from sablewright.llm.language import op6_subword_language
+from sablewright.llm.near_duplicates import op10_minhash_jaccard
 from sablewright.llm.pii import op1_boosted_pii
 from sablewright.llm.sharding import op4_flow_reshard
 from sablewright.llm.toxicity import op8_ftrl_toxicity
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_subword_language": op6_subword_language,
         "op8_ftrl_toxicity": op8_ftrl_toxicity,
         "op9_tree_scored_text": op9_tree_scored_text,
+        "op10_minhash_jaccard": op10_minhash_jaccard,
     }
 
 
