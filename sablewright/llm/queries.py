@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sablewright.llm.bpe import op3_prefix_bpe
+from sablewright.llm.decontamination import op7_latent_decontamination
 from sablewright.llm.html import op9_tree_scored_text
 from sablewright.llm.language import op6_subword_language
 from sablewright.llm.near_duplicates import op10_minhash_jaccard
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_prefix_bpe": op3_prefix_bpe,
         "op4_flow_reshard": op4_flow_reshard,
         "op6_subword_language": op6_subword_language,
+        "op7_latent_decontamination": op7_latent_decontamination,
         "op8_ftrl_toxicity": op8_ftrl_toxicity,
         "op9_tree_scored_text": op9_tree_scored_text,
         "op10_minhash_jaccard": op10_minhash_jaccard,
