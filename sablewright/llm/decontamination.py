@@ -5,7 +5,7 @@
    A'(A O); the left singular vectors of the sum span the leading right singular space of A, and the singular values
    whiten it. Only sums of a fixed size leave a task.
 3. Every document is read in overlapping windows of the lengths of the benchmark's items; windows and items are compared
-   by cosine in the latent space. A window whose TF-IDF energy in words of the benchmark is less than step 4 asks of the
+   by cosine in the latent space. A window whose TF-IDF energy in words of its length's items is less than step 4 asks of the
    lightest item of its length cannot be accepted, so it is not projected.
 4. A candidate is accepted if the longest common subsequence of the item's words and the document's words there carries
    enough of the item's weight and, for items with an answer, if the answer's words stand there too.
@@ -194,7 +194,6 @@ class Items:
     def __init__(self, rows: list[tuple], idf: np.ndarray, space: np.ndarray, share: float, cosine: float):
         self.share, self.cosine, self.idf, self.space, self.mask = share, cosine, idf, space, np.uint16(len(space) - 1)
         self.ids, self.words, self.weight, self.answer, codes = [], [], [], [], []
-        self.wanted = np.zeros(len(idf), bool)
         by_size: dict[int, list[int]] = {}
         for item, text in rows:
             question, answer = (words_of(x) for x in answer_of(text or ""))
@@ -207,11 +206,16 @@ class Items:
             self.words.append(question)
             self.weight.append(idf[c].astype(np.float64) ** 2 + 1e-6)
             self.answer.append(set(answer))
-            self.wanted[c] = True
             codes.append(c)
         self.codes = [c.tolist() for c in codes]
         self.energy = np.array([w.sum() for w in self.weight])
-        self.by_size = {size: (np.array(at), self._project(codes, at)) for size, at in sorted(by_size.items())}
+        self.by_size = {}
+        for size, at in sorted(by_size.items()):
+            #: The energy of words that an item of this size has; 0 for others.
+            energy = np.zeros(len(idf))
+            c = np.concatenate([codes[i] for i in at])
+            energy[c] = idf[c].astype(np.float64) ** 2 + 1e-6
+            self.by_size[size] = np.array(at), self._project(codes, at), energy
 
     def _project(self, codes: list[np.ndarray], at: list[int]) -> np.ndarray:
         z = np.array([(self.idf[codes[i], None] * self.space[codes[i] & self.mask]).sum(0) for i in at])
@@ -223,9 +227,8 @@ class Items:
         begin = np.cumsum(length) - length
         if not len(codes):
             return
-        x = self.idf[codes]
-        mass = np.concatenate(([0.0], np.cumsum(np.where(self.wanted[codes], x * x + 1e-6, 0), dtype=np.float64)))
-        for size, (items, vectors) in self.by_size.items():
+        for size, (items, vectors, energy) in self.by_size.items():
+            mass = np.concatenate(([0.0], np.cumsum(energy[codes])))
             step = max(STEP, size // 64 * STEP)
             count = np.where(length > 0, np.maximum(1, -(-(length - size // 2) // step)), 0)
             text = np.repeat(np.arange(len(texts)), count)
