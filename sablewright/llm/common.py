@@ -9,8 +9,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch. Texts may be long, so batches hold few rows.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch at most (a row that is longer stands alone).
+BATCH_ROWS, BATCH_BYTES = 10_000, "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch; texts of any length then fit a Python worker."""
+    """Bound the bytes of an Arrow batch; texts of any length then fit a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sablewright.llm.bpe import op3_prefix_bpe
 from sablewright.llm.decontamination import op7_latent_decontamination
+from sablewright.llm.exact_substrings import op2_deep_shallow_dedup
 from sablewright.llm.html import op9_tree_scored_text
 from sablewright.llm.language import op6_subword_language
 from sablewright.llm.near_duplicates import op10_minhash_jaccard
@@ -19,6 +20,7 @@ from sablewright.llm.toxicity import op8_ftrl_toxicity
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_boosted_pii": op1_boosted_pii,
+        "op2_deep_shallow_dedup": op2_deep_shallow_dedup,
         "op3_prefix_bpe": op3_prefix_bpe,
         "op4_flow_reshard": op4_flow_reshard,
         "op6_subword_language": op6_subword_language,
