@@ -10,6 +10,7 @@ from sablewright.llm.bpe import op3_prefix_bpe
 from sablewright.llm.decontamination import op7_latent_decontamination
 from sablewright.llm.exact_substrings import op2_deep_shallow_dedup
 from sablewright.llm.html import op9_tree_scored_text
+from sablewright.llm.images import op5_local_descriptors
 from sablewright.llm.language import op6_subword_language
 from sablewright.llm.near_duplicates import op10_minhash_jaccard
 from sablewright.llm.pii import op1_boosted_pii
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_deep_shallow_dedup": op2_deep_shallow_dedup,
         "op3_prefix_bpe": op3_prefix_bpe,
         "op4_flow_reshard": op4_flow_reshard,
+        "op5_local_descriptors": op5_local_descriptors,
         "op6_subword_language": op6_subword_language,
         "op7_latent_decontamination": op7_latent_decontamination,
         "op8_ftrl_toxicity": op8_ftrl_toxicity,
