@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from sablewright.llm.common import by_batch, small_batches, table
 
@@ -121,6 +122,15 @@ class Scorer:
 _SCORERS: dict[bytes, Scorer] = {}
 
 
+def _scorer(compact):
+    """The scoring function of the worker's model; made once in each Python process."""
+    key = compact[0].tobytes() + compact[1].tobytes() + np.float64(compact[2]).tobytes()
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(compact)
+    return _SCORERS[key].score
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = FIT_ROWS):
     """Fit on at most about ``max_rows`` labelled documents, chosen by a hash of the id; rows with a null label or id are not used.
 
@@ -147,14 +157,10 @@ def score_texts(docs: DataFrame, compact, id_col: str = "doc_id", text_col: str
     """
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
-    key = zlib.crc32(compact[1].tobytes() + compact[0].tobytes()).to_bytes(4, "big") + np.float64(compact[2]).tobytes()
     schema = pa.schema([pa.field("__id", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]), pa.field("score", pa.float64())])
 
     def make():
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(compact)
-        score = _SCORERS[key].score
+        score = _scorer(compact)
         return lambda cols: {"__id": cols["__id"], "score": [score(t or "") for t in cols["__text"]]}
 
     out = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(by_batch(make, schema), f"__id {kind}, score double")
@@ -162,6 +168,22 @@ def score_texts(docs: DataFrame, compact, id_col: str = "doc_id", text_col: str
     return out.select(F.col("__id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def rejected_rows(docs: DataFrame, compact, text_col: str = "text") -> DataFrame:
+    """``docs`` with all its columns and ``rejected``: whether the text scores 0.5 or more.
+
+    Rows keep their own decision even if ids repeat or are null; no shuffle.
+    """
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        score = _scorer(compact)
+        for b in batches:
+            out = [score(t or "") >= 0.5 for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.bool_())], names=[*b.schema.names, "rejected"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("rejected", BooleanType())]))
+
+
 def op8_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_texts(docs, train(docs, table(spark, sf_dir, "labels")))
