@@ -35,12 +35,13 @@ def importance(frequency: Column, cited: Column, accessed: Column, created: Colu
 
 def confidence(c: Column) -> Column:
     """A confidence within 0 and 1; .5 for what is no number."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c.try_cast("double"))), F.lit(0.5))
+    x = c.try_cast("double")
+    return F.when(x.isNull() | F.isnan(x), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def back_off(count: Column, error: Column, base: int, most: int) -> Column:
     """Seconds to wait after the n-th failure: doubling, with up to a tenth more by the hash of the error, capped."""
-    delay = F.least(F.lit(most).cast("long"), F.lit(base) * F.shiftleft(F.lit(1).cast("long"), F.least(count - 1, F.lit(16)).cast("int")))
+    delay = F.least(F.lit(most).cast("long"), (F.lit(base) * F.pow(F.lit(2.0), F.least(count - 1, F.lit(16)))).cast("long"))
     byte = F.conv(F.substring(F.sha2(F.concat_ws("|", error, count.cast("string")).cast("binary"), 256), 1, 2), 16, 10).cast("long")
     return F.least(F.lit(most).cast("long"), delay + F.floor(delay * F.lit(0.1) * byte / 255).cast("long"))
 

@@ -14,6 +14,7 @@ def session(app: str = "sablewright", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.maxPlanStringLength": "200000",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     builder = SparkSession.builder.appName(app)
     if master or os.environ.get("SPARK_MASTER"):

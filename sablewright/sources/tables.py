@@ -50,7 +50,7 @@ def conforms(df: DataFrame, ddl: str) -> DataFrame:
 def evaluation_cases(spark: SparkSession, path: str) -> DataFrame:
     """Labelled cases from JSON, a document or a list of them; every case needs an id and a question."""
     schema = "id string, question string, expected_papers array<string>, expect_abstention boolean, _corrupt string"
-    df = spark.read.json(path, schema=schema, multiLine=True, columnNameOfCorruptRecord="_corrupt").cache()
+    df = spark.read.json(path, schema=schema, multiLine=True, columnNameOfCorruptRecord="_corrupt")
     ok = F.col("_corrupt").isNull() & (F.trim(F.coalesce("id", F.lit(""))) != "") & (F.trim(F.coalesce("question", F.lit(""))) != "")
     return df.select(F.when(ok, F.col("id")).otherwise(F.raise_error(F.lit("an evaluation case lacks an id or a question"))).alias("id"), "question", "expected_papers", "expect_abstention")
 
