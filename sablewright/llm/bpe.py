@@ -19,10 +19,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sablewright.llm.common import by_batch, small_batches
+from sablewright.llm.common import by_batch, held, small_batches
 
-#: Pieces whose ids a worker keeps; beyond it the memory is emptied, which changes no result.
-CACHE_PIECES = 300_000
+#: Pieces whose ids, and pairs of tokens whose borders, a worker keeps; beyond it the memory is emptied, which changes no result.
+CACHE_PIECES, CACHE_PAIRS = 150_000, 200_000
 _WHITE = r"\t-\r \x85\xa0"
 _LATIN_L = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 _LATIN_N = "0-9²³¹¼½¾"
@@ -142,7 +142,7 @@ class PrefixBpe:
                         key = (last[start - 1], t)
                         ok = fits.get(key)
                         if ok is None:
-                            if len(fits) > 1_000_000:
+                            if len(fits) > CACHE_PAIRS:
                                 fits.clear()
                             ok = fits[key] = self._border(*key)
                         if ok:
@@ -239,14 +239,9 @@ class GrowingText:
         return list(chain.from_iterable(self.encoded))
 
 
-_CODECS: dict[tuple[str, str], TextCodec] = {}
-
-
 def codec(path: str, pattern: str) -> TextCodec:
     """The worker's codec for a rank file; made once in each Python process."""
-    if (key := (path, pattern)) not in _CODECS:
-        _CODECS[key] = TextCodec(PrefixBpe(load_ranks(path)), pattern)
-    return _CODECS[key]
+    return held(("bpe", path, pattern), lambda: TextCodec(PrefixBpe(load_ranks(path)), pattern))
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

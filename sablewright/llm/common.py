@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -44,6 +47,23 @@ def settled(df: DataFrame, where: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict = {}
+
+
+def held(key, make: Callable):
+    """The value of ``make()`` for a key, kept in this Python process until another key is asked for.
+
+    Workers are used again by later stages; what an earlier operator remembered would add to their memory.
+    """
+    if _HELD.get("key") != key:
+        _HELD.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)  # give freed memory back, where the C library can
+        _HELD.update(key=key, value=make())
+    return _HELD["value"]
+
+
 def by_batch(make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: pa.Schema):
     """A ``mapInArrow`` function from one over columns as Python lists.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sablewright.llm.common import by_batch, small_batches, table
+from sablewright.llm.common import by_batch, held, small_batches, table
 
 BITS, DIM, GRAMS = 17, 16, (2, 3, 4)
 #: Labelled rows that the fit uses at most (about), and the longest text of a row that it may choose.
@@ -145,9 +145,6 @@ def calibrate(z: np.ndarray, y: np.ndarray, precision: float) -> tuple[float, fl
     return t, float(top[order][good[-1]]) if len(good) else 1.0
 
 
-_MODELS: dict[int, LanguageModel] = {}
-
-
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = FIT_ROWS) -> LanguageModel:
     """Fit on at most about ``max_rows`` rows with a label and text whose id's crc32 modulo 3 is not 1, chosen by a hash."""
     crc = F.crc32(F.col(id_col).cast("string").cast("binary"))
@@ -174,10 +171,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        if key not in _MODELS:
-            _MODELS.clear()
-            _MODELS[key] = sent.value
-        predict = _MODELS[key].predict
+        predict = held(("language", key), lambda: sent.value).predict
 
         def run(cols):
             rows = [predict(t or "") for t in cols["__text"]]

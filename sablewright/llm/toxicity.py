@@ -7,7 +7,6 @@ term leaves few weights that are not zero: these alone are sent to the tasks.
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 
@@ -17,12 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from sablewright.llm.common import by_batch, small_batches, table
+from sablewright.llm.common import by_batch, held, small_batches, table
 
 #: Hash bits; labelled rows that the fit uses at most (about); longest text of a row that the fit may choose.
 BITS, FIT_ROWS, FIT_CHARS = 20, 6_000, 50_000
 HEADS = (4, 5, 6, 7, 8)
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 _WORDS = re.compile(r"\w+").findall
 
 
@@ -119,16 +118,10 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
 
-_SCORERS: dict[bytes, Scorer] = {}
-
-
 def _scorer(compact):
     """The scoring function of the worker's model; made once in each Python process."""
     key = compact[0].tobytes() + compact[1].tobytes() + np.float64(compact[2]).tobytes()
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(compact)
-    return _SCORERS[key].score
+    return held(("toxicity", key), lambda: Scorer(compact)).score
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = FIT_ROWS):
