@@ -15,6 +15,7 @@ from sablewright.llm.language import op6_subword_language
 from sablewright.llm.near_duplicates import op10_minhash_jaccard
 from sablewright.llm.pii import op1_boosted_pii
 from sablewright.llm.sharding import op4_flow_reshard
+from sablewright.llm.sql import OP2, OP10
 from sablewright.llm.toxicity import op8_ftrl_toxicity
 
 
@@ -34,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_deep_shallow_dedup": OP2, "op10_minhash_jaccard": OP10}
