@@ -180,8 +180,8 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
         return run
 
     out = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(by_batch(make, schema), f"__id {kind}, lang_pred string, score double, rejected boolean")
-    held = F.coalesce(F.crc32(F.col("__id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    return out.select(F.col("__id").alias(id_col), held.alias("held_out"), "lang_pred", "score", "rejected")
+    kept_out = F.coalesce(F.crc32(F.col("__id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return out.select(F.col("__id").alias(id_col), kept_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op6_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:

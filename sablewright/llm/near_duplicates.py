@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from sablewright.llm.common import settled, small_batches, table
 from sablewright.llm.components import components
 
-WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 7
+WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.999999, 7
 #: n-grams and sets in a block of candidates, about; a task holds two blocks.
 BLOCK_GRAMS, BLOCK_SETS = 400_000, 1_500
 CACHE_WORDS = 300_000
@@ -136,8 +136,8 @@ def _linked(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) -
             has = np.zeros((len(sets), min(width, int(column[-1]) + 1 - at)), np.float32)
             has[owner[lo:hi], column[lo:hi] - at] = 1
             common += has[: len(a)] @ (has.T if b is None else has[len(a) :].T)
-    # common / union >= threshold, without a division
-    return common * (1 + threshold) >= threshold * (na[:, None] + nb[None, :]) - 1e-6
+    # common / union >= threshold, without a division; counts are exact in single precision, products are not
+    return common.astype(np.float64) * (1 + threshold) >= threshold * (na[:, None] + nb[None, :]) - 1e-6
 
 
 def _forest(links: np.ndarray) -> list[tuple[int, int]]:

@@ -157,8 +157,8 @@ def score_texts(docs: DataFrame, compact, id_col: str = "doc_id", text_col: str
         return lambda cols: {"__id": cols["__id"], "score": [score(t or "") for t in cols["__text"]]}
 
     out = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(by_batch(make, schema), f"__id {kind}, score double")
-    held = F.coalesce(F.crc32(F.col("__id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    return out.select(F.col("__id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    kept_out = F.coalesce(F.crc32(F.col("__id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return out.select(F.col("__id").alias(id_col), kept_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def rejected_rows(docs: DataFrame, compact, text_col: str = "text") -> DataFrame:
