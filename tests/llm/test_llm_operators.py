@@ -1,0 +1,453 @@
+"""The operators' own interfaces, edge cases and algorithms."""
+
+import hashlib
+import itertools
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from sablewright.llm import boosting, bpe, components, decontamination, exact_substrings, html, images, language, near_duplicates, pii, sharding, suffixes, toxicity, words
+
+DDL = "doc_id long, text string, lang string, source string, n_chars long, __id string, rep int, doc string, score string, spans string, size string, shard string, block string, class_id string, codes string, a int"
+LONG = "lorem ipsum dolor sit amet consectetur " * 4000
+
+
+def odd(spark, rows=None):
+    """Rows with nulls, empty and long texts, repeated rows, a null id, and columns with the operators' own names."""
+    base = [(1, "one two three four five six seven"), (2, None), (3, ""), (4, LONG), (5, "one two three four five six seven"), (5, "one two three four five six seven"), (None, "alone here with a few words in it"), (7, "   "), (8, "x"), (9, None)]
+    extra = (None, "s", 1, "i", 2, "d", "0.5", "p", "z", "h", "b", "c", "k", 3)
+    return spark.createDataFrame([(i, t, *extra) for i, t in (base if rows is None else rows)], DDL)
+
+
+def empty(spark):
+    return odd(spark, [(1, "x")]).limit(0)
+
+
+def by_id(df, key="doc_id"):
+    return sorted((r.asDict() for r in df.collect()), key=repr)
+
+
+# --- words
+
+
+def test_word_hashes():
+    r = random.Random(3)
+    texts = ["".join(r.choice("ab é日.,;\nX9") for _ in range(r.randint(0, 60))) for _ in range(300)] + [None, ""]
+    h, n = words.hashed(texts, piece=200)
+    flat = [w for t in texts for w in words.words_of(t or "")]
+    assert n.tolist() == [len(words.words_of(t or "")) for t in texts] and len(h) == len(flat)
+    seen = {}
+    assert all(seen.setdefault(w, x) == x for w, x in zip(flat, h.tolist(), strict=True)) and len(set(seen.values())) == len(seen)
+
+
+# --- op1
+
+
+def test_boosting():
+    r = np.random.default_rng(0)
+    x = r.normal(size=(2000, 3))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
+    m = boosting.BoostedTrees(n_trees=60).fit(x[:1500], y[:1500])
+    assert ((m.raw(x[1500:]) > 0) == y[1500:]).mean() > 0.95
+    knots = boosting.isotonic(np.array([1.0, 2, 3, 4]), np.array([0, 1, 0, 1]))
+    assert list(knots[1]) == sorted(knots[1])
+    assert boosting.threshold_for(np.array([0.9, 0.8, 0.1]), np.array([1, 1, 0]), 1.0) == 0.8
+
+
+def test_pii_base_random():
+    from test_llm_queries import brute_pii
+
+    r = random.Random(1)
+    for _ in range(5000):
+        t = "".join(r.choice(["1", "23", "256", "255", ".", "@", "a", "b-", "+", "(", ")", " ", "-", "é", "4111111111111111"]) for _ in range(r.randint(0, 30)))
+        assert pii.base_spans(t) == brute_pii(t)
+
+
+def test_pii_selection_and_redaction():
+    m = pii.model()
+    found = lambda t: [(k, t[a:b]) for k, a, b in m.select(t, pii.base_spans(t))]
+    secret = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"
+    assert found(f'then token = "{secret}" and so on') == [("secret", secret)]
+    assert found(f"see commit {secret} for it") == []
+    assert found("plain words without any number") == []
+    held_rows, y = pii.training_rows(1500, seed=99)
+    p = m._probability(m.trees.raw(np.array([pii.features(*r) for r in held_rows])))
+    take = np.array([q >= m.threshold[r[1]] for q, r in zip(p, held_rows, strict=True)])
+    y = np.array(y)
+    assert y[take].mean() > 0.95 and take[y == 1].mean() > 0.7
+    t = "mail a.b@c.org or +1 (017) 555-7713."
+    assert pii.redact(t, pii.base_spans(t)) == "mail <EMAIL> or <PHONE>."
+
+
+def test_pii_edges(spark):
+    rows = by_id(pii.find_spans(odd(spark)))
+    assert len(rows) == 10 and all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() and r["spans"] == "" for r in rows)
+    assert pii.find_spans(empty(spark)).count() == 0
+
+
+# --- op2
+
+
+def brute_repeats(rows, length):
+    seen, out = {}, []
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for s in range(len(b) - length + 1):
+            lead = seen.setdefault(b[s : s + length], (i, s))
+            if lead != (i, s):
+                gone[s : s + length] = True
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        out.append((i, len(b), int(gone.sum()), int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("hot_in_task,hot", [(256, 20_000), (1, 1)])
+def test_repeats_random(spark, hot_in_task, hot):
+    r = random.Random(5)
+    passages = ["".join(r.choice("abcd é") for _ in range(r.randint(20, 90))) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        parts = [r.choice(passages) if r.random() < 0.6 else "".join(r.choice("xyz ") for _ in range(r.randint(0, 25))) for _ in range(r.randint(0, 6))]
+        rows.append((i, "".join(parts)))
+    rows += [(100, "ab" * 60), (101, "ab" * 50), (102, None), (103, ""), (104, rows[3][1]), (None, rows[5][1])]
+    df = odd(spark, rows).repartition(5)
+    got = exact_substrings.remove_repeats(df, length=30, gram=8, hot_in_task=hot_in_task, hot=hot)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_repeats(rows, 30)
+
+
+def test_repeats_edges(spark):
+    rows = by_id(exact_substrings.remove_repeats(odd(spark), with_text=True))
+    assert len(rows) == 10
+    same = [r for r in rows if r["doc_id"] == 5]
+    assert same[0] == same[1] and same[0]["n_removed"] == 0
+    assert exact_substrings.remove_repeats(empty(spark)).count() == 0
+
+
+def test_deep_shallow_sort():
+    r = random.Random(2)
+    for _ in range(1500):
+        head = bytes(r.choice(b"ab") for _ in range(r.choice([0, 5, 20, 40])))
+        s = [head + bytes(r.choice(b"ab\x00\xff") for _ in range(r.randint(0, r.choice([2, 30])))) for _ in range(r.randint(0, 12))]
+        order, shared = suffixes.deep_shallow_sort(s)
+        assert [s[i] for i in order] == sorted(s) and sorted(order) == list(range(len(s)))
+        for k in range(1, len(s)):
+            a, b = s[order[k - 1]], s[order[k]]
+            assert shared[k] == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+# --- op3
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return bpe.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+
+
+def test_bpe_random(codec):
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.bpe.ranks, special_tokens={})
+    r = random.Random(3)
+    for _ in range(3000):
+        x = "".join(r.choice(["a", "b", "ab", "e", " ", "  ", "\n", "1", "9", "'", "'ll", "s", "é", "日", "\x1c", "\x85", "\xa0", "th", "in", "ing", "…", "!", "==", "😀", "²", "ª"]) for _ in range(r.randint(0, 40)))
+        want = e.encode_ordinary(x)
+        assert codec.encode(x) == want and codec.decode(want) == x.encode()
+        g = bpe.GrowingText(codec, x[:7]).append(x[7:19]).append(x[19:])
+        assert g.ids() == want
+        a, b = sorted((r.randint(0, len(x)), r.randint(0, len(x))))
+        g.edit(a, b, "new 12")
+        assert g.ids() == e.encode_ordinary(x[:a] + "new 12" + x[b:])
+    long = "a" * 3000 + "ab" * 2000
+    assert codec.encode(long) == e.encode_ordinary(long)
+
+
+def test_bpe_table(codec):
+    t = bpe.PrefixTable(codec.bpe, b"thethingth").append(b"ing and")
+    assert t.ids() == bpe.PrefixTable(codec.bpe, b"thethingthing and").ids()
+    t.edit(3, 5, b"zz")
+    assert t.ids() == bpe.PrefixTable(codec.bpe, t.data).ids() and codec.decode(t.ids()) == t.data
+
+
+def test_bpe_edges(spark):
+    rows = by_id(bpe.encode_texts(odd(spark), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, with_ids=True))
+    assert len(rows) == 10 and sum(r["n_tokens"] == 0 for r in rows) == 3
+    assert all(len(r["ids"]) == r["n_tokens"] for r in rows)
+    assert bpe.encode_texts(empty(spark), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+
+
+# --- op4
+
+
+def test_flow_is_least():
+    r = random.Random(6)
+    for _ in range(40):
+        m, n = r.randint(1, 4), r.randint(1, 4)
+        supply = [r.randint(0, 30) for _ in range(m)]
+        room = sharding.equal_capacities(sum(supply), n)
+        flow = sharding.min_cost_flow(supply, room)
+        assert [sum(x for (i, _), x in flow.items() if i == k) for k in range(m)] == supply
+        assert [sum(x for (_, j), x in flow.items() if j == k) for k in range(n)] == room
+        stays = sum(x for (i, j), x in flow.items() if i == j)
+        assert stays == sum(min(s, c) for s, c in zip(supply, room, strict=False))  # no plan can keep more
+    with pytest.raises(ValueError):
+        sharding.min_cost_flow([5], [4])
+
+
+def test_reshard_edges(spark):
+    got = sharding.reshard(odd(spark), F.lit(0), 3, 4, blocks=4).collect()
+    assert len(got) == 10
+    for k in range(4):
+        slots = sorted(r.slot for r in got if r.shard == k)
+        assert slots == list(range(len(slots)))
+    assert sharding.reshard(empty(spark), F.lit(0), 3).count() == 0
+
+
+def test_rewrite(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "x" * (50 if i < 30 else 5), i % 2 if i < 40 else 2) for i in range(60)], "doc_id long, text string, shard int")
+    where = str(tmp_path / "data")
+    docs.repartition(2).write.partitionBy("shard").parquet(where)
+    now = spark.read.parquet(where)
+    plan = sharding.reshard(now, F.col("shard"), 3, 4, blocks=8).checkpoint()
+    total = now.agg(F.sum(F.length("text") + 1)).first()[0]
+    changed = sharding.rewrite_shards(where, plan)
+    after = spark.read.parquet(where)
+    assert sorted(r[:] for r in after.select("doc_id", "shard").collect()) == sorted(r[:] for r in plan.select("doc_id", "shard").collect())
+    sizes = [r[1] for r in after.groupBy("shard").agg(F.sum(F.length("text") + 1)).collect()]
+    assert len(sizes) == 4 and max(sizes) - min(sizes) <= 2 * 51 and sum(sizes) == total and changed
+    assert sharding.rewrite_shards(where, plan.withColumn("old_shard", F.col("shard"))) == []
+
+
+# --- op5
+
+
+def scene(seed, size=120):
+    r = np.random.default_rng(seed)
+    return np.clip(np.kron(r.integers(0, 255, (size // 6, size // 6)), np.ones((6, 6))) * 0.8 + 20, 0, 255)
+
+
+def pgm(x):
+    x = np.clip(np.rint(x), 0, 255).astype(np.uint8)
+    return b"P5\n%d %d\n255\n" % x.shape[::-1] + x.tobytes()
+
+
+def png(x):
+    x = np.rint(x).astype(np.uint8)
+    part = lambda n, d: len(d).to_bytes(4, "big") + n + d + zlib.crc32(n + d).to_bytes(4, "big")
+    head = x.shape[1].to_bytes(4, "big") + x.shape[0].to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])
+    lines = b"".join(b"\x01" + bytes(np.diff(np.concatenate(([0], row.astype(int)))).astype(np.uint8)) for row in x)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
+
+
+@pytest.mark.parametrize("few", [32, 1])
+def test_image_copies(spark, few):
+    r = np.random.default_rng(1)
+    a, b = scene(1), scene(2)
+    rows = [(1, pgm(a)), (2, png(a)), (3, pgm(a[10:110, 12:112])), (4, pgm(a * 0.8 + 15)), (5, pgm(a + r.normal(0, 5, a.shape))), (6, pgm(np.rot90(a))), (7, pgm(b)), (8, None), (9, b"no image"), (10, pgm(scene(3))), (None, pgm(a)), (11, pgm(np.zeros((5, 5)))), (7, pgm(b))]
+    df = spark.createDataFrame(rows, "id long, image binary").withColumn("rep", F.lit("x"))
+    got = {r.id: (r.class_id, r.n_links) for r in images.image_classes(df, "id", "image", block_images=2, few=few).collect()}
+    assert [got[i][0] for i in (1, 2, 3, 4, 5, 6)] == [1] * 6
+    assert [got[i] for i in (8, 9, 10)] == [(8, 0), (9, 0), (10, 0)] and got[7] == (7, 1) and got[None] == (None, 0)
+    assert images.image_classes(df.limit(0), "id", "image").count() == 0
+
+
+def test_image_recall():
+    """Edited copies are found; pairs of unrelated images are not."""
+    r = np.random.default_rng(4)
+    originals = [scene(s) for s in range(20)]
+    d = [images.describe(x) for x in originals]
+    edits = [lambda x: x[8:108, 8:112], lambda x: x * 0.7 + 30, lambda x: x + r.normal(0, 6, x.shape), lambda x: np.rot90(x, 2)]
+    hits = [images.agreeing(*d[k], *images.describe(f(x))) >= images.AGREE for k, x in enumerate(originals) for f in edits]
+    assert np.mean(hits) >= 0.9
+    assert not any(images.agreeing(*d[i], *d[j]) >= images.AGREE for i, j in itertools.combinations(range(20), 2))
+
+
+# --- op6 and op8
+
+
+def test_language_edges(spark):
+    m = language.fit([("the and of with for this", "en"), ("der die und ein nicht das", "de")] * 30)
+    assert m.predict("der und das ein")[0] == "de" and m.predict("with this and that")[0] == "en"
+    assert m.predict("12 34 !")[0] == "und"
+    rows = by_id(language.identify(odd(spark), m))
+    assert len(rows) == 10 and sum(r["lang_pred"] == "und" for r in rows) == 4
+    assert language.identify(empty(spark), m).count() == 0
+    none = language.train(odd(spark))
+    assert {r["lang_pred"] for r in by_id(language.identify(odd(spark), none))} == {"und"}
+    t, reject = language.calibrate(np.array([[2.0, 0], [0, 2.0], [3.0, 0]]), np.array([0, 1, 0]), 0.9)
+    assert 0.1 < t < 6 and 0 <= reject <= 1
+
+
+def test_toxicity_learns():
+    r = random.Random(8)
+    clean = [" ".join(r.choice("alpha beta gamma delta epsilon zeta".split()) for _ in range(30)) for _ in range(400)]
+    rows = [(t + " awful idiot" if i % 4 == 0 else t, int(i % 4 == 0)) for i, t in enumerate(clean)]
+    c = toxicity.fit(rows)
+    s = toxicity.Scorer(c)
+    assert s.score("beta gamma awful idiot zeta") > 0.5 > s.score("beta gamma zeta")
+    assert len(c[0]) < 500
+    assert toxicity.fit(rows[::-1])[0].tolist() == c[0].tolist()
+
+
+def test_toxicity_edges(spark):
+    labels = spark.createDataFrame([(1, None), (None, 1), (1, 1)], "doc_id long, toxic int")
+    c = toxicity.train(odd(spark), labels)
+    rows = by_id(toxicity.score_texts(odd(spark), c))
+    assert len(rows) == 10 and all(0 <= r["score"] <= 1 for r in rows)
+    assert toxicity.score_texts(empty(spark), toxicity.train(empty(spark), labels.limit(0))).count() == 0
+    assert toxicity.rejected_rows(odd(spark), c).columns == [*odd(spark).columns, "rejected"]
+
+
+# --- op7
+
+
+def test_decontamination_paraphrase(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(2, 4)))
+    vocabulary = [word() for _ in range(3000)]
+    say = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [(k, " ".join(say(r.randint(15, 60)))) for k in range(12)] + [(50, "Which " + " ".join(say(20)) + "? Answer: golden fleece"), (51, None), (52, "")]
+    docs, want = [], set()
+    for i in range(80):
+        body = say(r.randint(0, 300))
+        if i % 4 == 0:
+            k = r.randrange(12)
+            leak = items[k][1].split()
+            for _ in range(len(leak) // 8):  # some words are replaced
+                leak[r.randrange(len(leak))] = word()
+            at = r.randint(0, len(body))
+            body[at:at] = leak
+            want.add((i, k))
+        docs.append((i, " ".join(body)))
+    docs += [(200, items[12][1]), (201, items[12][1].replace("Answer: golden fleece", "")), (202, None), (203, "")]
+    df = odd(spark, docs)
+    b = spark.createDataFrame(items, "item_id long, text string").withColumn("cosine", F.lit("x"))
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(df, b, block_items=5).collect()}
+    want.add((200, 50))
+    assert len(got & want) >= 0.9 * len(want) and not got - want
+    assert decontamination.contaminated(empty(spark), b).count() == 0 and decontamination.contaminated(df, b.limit(0)).count() == 0
+
+
+def test_pruning_loses_nothing():
+    r = np.random.default_rng(2)
+    idf = r.uniform(1, 8, 1 << 16).astype(np.float32)
+    space = r.normal(size=(1 << 14, 8)).astype(np.float32)
+    say = lambda n: " ".join("w%d" % k for k in r.integers(0, 400, n))
+    items = decontamination.Items([(k, say(20)) for k in range(6)], idf, space, 0.3, -2.0)
+    texts = [say(int(n)) for n in r.integers(0, 120, 40)] + [" ".join(w.decode() for w in items.words[1]) + " " + say(30)]
+    codes = decontamination.codes_of(texts)
+    pruned = items.search(texts, codes)
+    full, items.candidates = items.candidates, lambda t: type(items).candidates(items, t, prune=False)
+    assert [set(x) for x in items.search(texts, codes)] == [set(x) for x in pruned] and 1 in pruned[-1]
+    del full
+
+
+def test_common_weight():
+    a, b = np.array([0, 1, 2, 1]), np.array([1, 0, 2, 1])
+    assert decontamination.common_weight(a, b, np.array([1.0, 2, 4, 8])) == 1 + 4 + 8 or decontamination.common_weight(a, b, np.array([1.0, 2, 4, 8])) == 2 + 4 + 8
+
+
+# --- op9
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("", ""),
+        ("just text", "just text"),
+        ("<p>a<p>b", "a\nb"),
+        ("<div>x <span>y</span> z<div>in</div>tail</div>", "x y z\nin\ntail"),
+        ("<p>one<br>two &amp; &eacute;&#233;</p>", "one two & éé"),
+        ("<b><!-- x", ""),
+        ("<html><body><nav><p>menu, menu, menu, menu</p></nav><main><h1>T</h1><p>Long text, with commas, and more.</p></main><aside><p>aside, aside, aside</p></aside><footer>f</footer></body></html>", "T\nLong text, with commas, and more."),
+        ("<div id=wrap><div class='post'><h2>H</h2><p>First, of all.</p><div class=ad><p>buy, now</p></div><p>Second, then.</p></div><div class='comments'><p>nice, one, indeed</p></div></div>", "H\nFirst, of all.\nSecond, then."),
+        ("<article><header><h1>Head</h1><p>by someone</p></header><section><p>A, b, c.</p></section><section><p>D, e.</p></section><form><p>mail</p></form></article>", "Head\nA, b, c.\nD, e."),
+        ("<script>var a='<p>no</p>';</script><style>p{}</style><p>yes, sir</p>", "yes, sir"),
+    ],
+)
+def test_main_text(page, want):
+    assert html.main_text(page) == want
+
+
+def test_html_edges(spark):
+    df = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "u", "<p>x</p>"), (2, None, "<b>" * 20000 + "deep" + "<p>" * 3000)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = [(r.page_id, r.url, r.text, r.n_chars) for r in html.extract(df).collect()]
+    assert sorted(got, key=repr) == sorted([(1, "u", "", 0), (2, None, "", 0), (None, "u", "x", 1), (2, None, "deep", 4)], key=repr)
+
+
+# --- op10
+
+
+def brute_classes(rows, n=5, at=0.8):
+    sets = []
+    for _, t in rows:
+        w = (t or "").split()
+        sets.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()})
+    root, links = list(range(len(rows))), [0] * len(rows)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] and sets[j] and len(sets[i] & sets[j]) >= at * len(sets[i] | sets[j]):
+            links[i] += 1
+            links[j] += 1
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = min(least.get(find(k), i), i)
+    return sorted((i, least[find(k)], links[k]) for k, (i, _) in enumerate(rows))
+
+
+def near_rows(seed, groups, most):
+    r = random.Random(seed)
+    rows = []
+    for _ in range(groups):
+        body = ["w%d" % r.randrange(500) for _ in range(r.randint(3, 120))]
+        for _ in range(r.randint(1, most)):
+            copy = list(body)
+            for _ in range(r.randrange(3)):
+                copy[r.randrange(len(copy))] = "e%d" % r.randrange(9)
+            rows.append((len(rows), " ".join(copy)))
+    r.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("block_sets", [1500, 4])
+def test_jaccard_random(spark, block_sets):
+    rows = near_rows(4, 25, 14)
+    got = near_duplicates.jaccard_classes(odd(spark, rows), block_sets=block_sets)
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got.collect()) == brute_classes(rows)
+
+
+def test_jaccard_edges(spark):
+    got = by_id(near_duplicates.jaccard_classes(odd(spark)))
+    assert len(got) == 10
+    assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in got} == {(1, 1, 2), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 1, 2), (None, None, 0), (7, 7, 0), (8, 8, 0), (9, 9, 0)}
+    assert near_duplicates.jaccard_classes(empty(spark)).count() == 0
+    assert near_duplicates.bands_for(0.8, 0.9999, 7) == 40
+
+
+def test_components_random(spark):
+    r = random.Random(7)
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(110)] + [(k, k + 1) for k in range(1000, 1040)] + [(5, 5), (None, 3)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: find(n) for n in root}
