@@ -22,34 +22,48 @@ def corpus_size(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return chunks.agg(F.count(F.col(id_col)).alias("n_docs"), F.avg(F.size(tokens(F.col(text_col)))).alias("avg_len"))
 
 
-def term_rows(chunks: DataFrame, terms: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, term, tf, doc_len) for the asked terms alone: texts are tokenised in place and never exploded as a whole."""
+def term_hits(chunks: DataFrame, terms: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, doc_len, hits): the length in tokens and those tokens that are asked for. One projection; nothing is exploded."""
     t = tokens(F.col(text_col))
-    wanted = F.array(*(F.lit(x) for x in dict.fromkeys(terms)))
-    hits = chunks.select(F.col(id_col), F.size(t).alias("doc_len"), F.filter(t, lambda x: F.array_contains(wanted, x)).alias("hits"))
-    counted = hits.where(F.size("hits") > 0).select(id_col, "doc_len", "hits", F.explode(F.array_distinct("hits")).alias("term"))
-    return counted.select(id_col, "term", F.size(F.filter("hits", lambda x: x == F.col("term"))).cast("long").alias("tf"), "doc_len")
+    wanted = F.array(*(F.lit(x) for x in dict.fromkeys(terms))) if terms else F.array().cast("array<string>")
+    return chunks.select(F.col(id_col), F.size(t).alias("doc_len"), F.filter(t, lambda x: F.array_contains(wanted, x)).alias("hits"))
+
+
+def hit_stats(hits: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """One row: number of chunks, mean length, and how many chunks hold each term (df_0, df_1, ...)."""
+    counts = [F.count_if(F.array_contains("hits", t)).alias(f"df_{k}") for k, t in enumerate(dict.fromkeys(terms))]
+    return hits.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"), *counts)
+
+
+def _idf(df: Column) -> Column:
+    return F.log((F.col("n_docs") - df + F.lit(0.5)) / (df + F.lit(0.5)) + F.lit(1.0))
 
 
 def term_stats(chunks: DataFrame, terms: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, df, idf) of each asked term that occurs."""
-    df = term_rows(chunks, terms, id_col, text_col).groupBy("term").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(corpus_size(chunks, id_col, text_col))).select("term", "df", F.log((F.col("n_docs") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)) + F.lit(1.0)).alias("idf"))
+    one = hit_stats(term_hits(chunks, terms, id_col, text_col), terms)
+    rows = F.array(*(F.struct(F.lit(t).alias("term"), F.col(f"df_{k}").alias("df"), _idf(F.col(f"df_{k}")).alias("idf")) for k, t in enumerate(dict.fromkeys(terms))))
+    return one.select(F.inline(rows)).where("df > 0")
+
+
+def _occurrences(term: str) -> Column:
+    return F.size(F.filter("hits", lambda x: x == F.lit(term))).cast("double")
 
 
 def bm25(chunks: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every chunk that holds a term; a term that the query repeats counts as often.
 
-    The one-row corpus statistics and the statistics of the query's few terms are broadcast.
+    Two scans and no shuffle of rows: the first gives one row of statistics, which is broadcast, the second scores in
+    a projection.
     """
     terms = query_terms(query)
-    weight = {t: terms.count(t) for t in terms}
-    rows = term_rows(chunks, terms, id_col, text_col)
-    stats = term_stats(chunks, terms, id_col, text_col).withColumn("repeats", F.element_at(F.create_map(*(F.lit(x) for kv in weight.items() for x in kv)), F.col("term")) if weight else F.lit(0))
-    scored = rows.join(F.broadcast(stats), "term").crossJoin(F.broadcast(corpus_size(chunks, id_col, text_col)))
-    tf, length = F.col("tf"), F.col("doc_len") / F.col("avg_len")
-    part = F.col("repeats") * F.col("idf") * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length))
-    return scored.groupBy(id_col).agg(F.sum(part).alias("score")).where("score > 0")
+    hits = term_hits(chunks, terms, id_col, text_col)
+    scored = hits.where(F.size("hits") > 0).crossJoin(F.broadcast(hit_stats(hits, terms)))
+    score = F.lit(0.0)
+    for k, t in enumerate(dict.fromkeys(terms)):
+        tf = _occurrences(t)
+        score = score + F.lit(float(terms.count(t))) * _idf(F.col(f"df_{k}")) * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("doc_len") / F.col("avg_len")))
+    return scored.select(id_col, score.alias("score")).where("score > 0")
 
 
 def top(df: DataFrame, n: int, score: str = "score", tie: str = "doc_id", rank: str = "rank") -> DataFrame:
