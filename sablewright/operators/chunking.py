@@ -139,10 +139,47 @@ def batches(lengths: Column, most: int = 12000) -> Column:
 
 
 def around_hit(content: Column, evidence: Column, most: int) -> Column:
-    """``most`` characters of a text around the first place of the evidence; its beginning if it is not found."""
-    at = F.instr(content, evidence)
-    begin = F.greatest(F.lit(1), F.least(at - F.floor((F.lit(most) - F.length(evidence)) / 2), F.length(content) - most + 1)).cast("int")
-    return F.when(F.length(content) <= most, content).when(at > 0, F.substring(content, begin, F.lit(most))).otherwise(F.substring(content, 1, most))
+    """``most`` (at least 400) characters of a text, a third of them before the evidence, or round the middle without it.
+
+    ``evidence`` is one text or an array, of which the first that is found counts.
+    """
+    width, n = max(400, most), F.length(content)
+    places = F.filter(F.transform(evidence, lambda e: F.when(F.trim(e) != "", F.position(F.trim(e), content))), lambda p: p > 0)
+    centre = F.coalesce(F.try_element_at(places, F.lit(1)) - 1, F.floor(n / 2).cast("int"))
+    begin = F.greatest(F.lit(0), F.least(n - width, centre - width // 3)).cast("int")
+    return F.when(n <= width, content).otherwise(F.substring(content, begin + 1, F.lit(width)))
+
+
+def halves(pieces: Column) -> Column:
+    """An ordered batch cut in two near half of its characters: (left, right) arrays, each piece whole."""
+    size = F.aggregate(pieces, F.lit(0).cast("long"), lambda s, x: s + F.length(x))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("held"), F.lit(False).alias("full"))
+
+    def step(s: Column, x: Column) -> Column:
+        held = F.when(s.full, s.held).otherwise(s.held + F.length(x))
+        return F.struct(F.when(s.full, s.n).otherwise(s.n + 1).alias("n"), held.alias("held"), (s.full | (held >= size / 2)).alias("full"))
+
+    cut = F.greatest(F.lit(1), F.least(F.size(pieces) - 1, F.aggregate(pieces, start, step, lambda s: s.n)))
+    return F.struct(F.slice(pieces, F.lit(1), cut).alias("left"), F.slice(pieces, cut + 1, F.greatest(F.lit(0), F.size(pieces) - cut)).alias("right"))
+
+
+def halved_text(c: Column) -> Column:
+    """A text cut at the space nearest to its middle, or in the middle without one: (left, right), trimmed."""
+    n = F.length(c)
+    mid = F.floor(n / 2).cast("int")
+    left = mid - F.instr(F.reverse(F.substring(c, F.lit(1), mid)), " ")
+    has_left = (F.instr(F.substring(c, F.lit(1), mid), " ") > 0) & (left > 0)
+    right = mid + F.instr(F.substring(c, mid + 1, n), " ") - 1
+    has_right = F.instr(F.substring(c, mid + 1, n), " ") > 0
+    at = F.when(~has_left & ~has_right, mid).when(~has_left, right).when(~has_right, left).otherwise(F.when(mid - left <= right - mid, left).otherwise(right))
+    return F.struct(F.trim(F.substring(c, F.lit(1), at)).alias("left"), F.trim(F.substring(c, at + 1, n)).alias("right"))
+
+
+def cited_or_all(batch: DataFrame, candidates: DataFrame, key: str = "batch_id", chunk: str = "chunk_index") -> DataFrame:
+    """The chunks of each batch that its candidates cite; the whole batch if they cite none of it."""
+    cited = candidates.select(key, chunk).distinct().withColumn("__cited", F.lit(True))
+    marked = batch.join(cited, [key, chunk], "left").withColumn("__any", F.max(F.coalesce("__cited", F.lit(False))).over(Window.partitionBy(key)))
+    return marked.where(F.col("__cited") | ~F.col("__any")).drop("__cited", "__any")
 
 
 def rebuilt(parts: DataFrame, id_col: str = "paper_id", order_col: str = "chunk_index", section: str = "section", text_col: str = "content") -> DataFrame:
