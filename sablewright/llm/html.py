@@ -36,9 +36,12 @@ IMPLIED = {
 }
 NEVER = frozenset("head script style noscript template iframe object embed applet svg math canvas audio video map nav footer aside form button select textarea input label fieldset datalist dialog menu title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar form alert status".split())
-#: Words of classes and ids; those of the second set also as beginnings of longer words.
-EXACT = frozenset("ad ads adv nav menu top topbar tags meta share rss cta toc legal lang login modal popup gdpr hidden notice notices alert pager toolbar masthead tools related byline".split())
-START = ("advert", "adsense", "adslot", "sponsor", "promo", "banner", "sidebar", "comment", "reply", "replies", "respond", "disqus", "cookie", "consent", "newsletter", "subscri", "signup", "social", "sharing", "breadcrumb", "pagination", "footer", "header", "navigation", "navbar", "menubar", "popular", "recommend", "trending", "outbrain", "taboola", "widget", "copyright", "paywall", "skiplink", "dialog")
+#: Words of classes and ids; those of the second set also as beginnings of longer words. Elements with a weak word go only
+#: if they hold a small part of the page's text, as wrappers of whole pages have such names too.
+EXACT = frozenset("ad ads adv nav menu topbar rss cta toc login modal popup gdpr notice notices alert pager toolbar masthead".split())
+WEAK = frozenset("top tags meta share legal lang hidden tools related byline widget banner popular dialog social copyright".split())
+WEAK_SHARE = 0.3
+START = ("advert", "adsense", "adslot", "sponsor", "promo", "sidebar", "comment", "reply", "replies", "respond", "disqus", "cookie", "consent", "newsletter", "subscri", "signup", "sharing", "breadcrumb", "pagination", "footer", "navigation", "navbar", "menubar", "recommend", "trending", "outbrain", "taboola", "paywall", "skiplink")
 HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 GOOD = re.compile(r"article|content|entry|main|post|story|text|body")
 
@@ -125,36 +128,53 @@ def attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(rest)}
 
 
-def unwanted(tag: str, rest: str) -> bool:
-    """Whether an element is pruned for its tag, role, visibility or class words."""
+KEEP, HEADER, WEAKLY, GONE = range(4)
+
+
+def unwanted(tag: str, rest: str) -> int:
+    """Whether an element is pruned for its tag, role, visibility or class words, and how surely."""
     if tag in NEVER:
-        return True
+        return GONE
+    if tag == "header":
+        return HEADER
     if not rest or tag in ("html", "body", "main"):
-        return False
+        return KEEP
     a = attributes(rest)
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
-        return True
+        return GONE
+    out = KEEP
     for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{a.get('class', '')} {a.get('id', '')}").lower()):
         if w in EXACT or w.startswith(START):
-            return True
-    return False
+            return GONE
+        out = max(out, WEAKLY if w in WEAK else HEADER if w == "header" else KEEP)
+    return out
 
 
 def main_text(page: str) -> str:
     """The article's blocks in page order, joined by one line feed; empty if the page has no text."""
     t = Tree(page)
     tag, parent, n = t.tag, t.parent, len(t.tag)
+    kind = [unwanted(tag[i], t.attr[i]) for i in range(n)]
+    gone = [k == GONE for k in kind]
+    for i in range(1, n):
+        gone[i] = gone[i] or gone[parent[i]]
+    size = [0] * n
+    for i, text in t.runs:
+        if i >= 0 and not gone[i]:
+            size[i] += len(text.strip())
+    for i in range(n - 1, 0, -1):
+        size[parent[i]] += size[i]
     cut = [False] * n
     inside = [False] * n  # within article or main
     bare = [False] * n  # a header of the article: of it only headings are kept
     for i in range(1, n):
         up = parent[i]
         inside[i] = inside[up] or tag[i] in ("article", "main")
-        bare[i] = bare[up] and tag[i] not in HEADING
-        if tag[i] == "header":
-            cut[i], bare[i] = cut[up] or not inside[up], True
-        else:
-            cut[i] = cut[up] or unwanted(tag[i], t.attr[i])
+        bare[i] = (bare[up] or kind[i] == HEADER) and tag[i] not in HEADING
+        small = tag[i] == "header" or size[i] <= WEAK_SHARE * size[0]
+        cut[i] = cut[up] or gone[i] or kind[i] == WEAKLY and small or kind[i] == HEADER and not inside[up] and small
+        if kind[i] == HEADER and not small:
+            bare[i] = bare[up]
     # blocks: runs of text between the borders of block elements
     home = [0] * n  # the block element that an element belongs to
     linked = [False] * n

@@ -62,7 +62,7 @@ class LanguageModel:
     def logits(self, text: str) -> np.ndarray | None:
         """Class scores of the mean embedding; None for a text without a letter."""
         count = Counter(_WORDS(text.lower()))
-        if not count:
+        if not any(c.isalpha() for w in count for c in w):
             return None
         if len(self.index) > CACHE_WORDS:
             self._empty()

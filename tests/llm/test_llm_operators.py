@@ -271,7 +271,7 @@ def test_image_recall():
 def test_language_edges(spark):
     m = language.fit([("the and of with for this", "en"), ("der die und ein nicht das", "de")] * 30)
     assert m.predict("der und das ein")[0] == "de" and m.predict("with this and that")[0] == "en"
-    assert m.predict("12 34 !")[0] == "und"
+    assert m.predict("12 34 !")[0] == "und" and m.predict("² ½ _")[0] == "und"
     rows = by_id(language.identify(odd(spark), m))
     assert len(rows) == 10 and sum(r["lang_pred"] == "und" for r in rows) == 4
     assert language.identify(empty(spark), m).count() == 0
@@ -365,6 +365,8 @@ def test_common_weight():
         ("<html><body><nav><p>menu, menu, menu, menu</p></nav><main><h1>T</h1><p>Long text, with commas, and more.</p></main><aside><p>aside, aside, aside</p></aside><footer>f</footer></body></html>", "T\nLong text, with commas, and more."),
         ("<div id=wrap><div class='post'><h2>H</h2><p>First, of all.</p><div class=ad><p>buy, now</p></div><p>Second, then.</p></div><div class='comments'><p>nice, one, indeed</p></div></div>", "H\nFirst, of all.\nSecond, then."),
         ("<article><header><h1>Head</h1><p>by someone</p></header><section><p>A, b, c.</p></section><section><p>D, e.</p></section><form><p>mail</p></form></article>", "Head\nA, b, c.\nD, e."),
+        ("<div id=top><div class='article-header'><h1>Head</h1></div><p>One, two, three of it.</p><p>Four, five.</p><div class='share'>tweet</div></div>", "One, two, three of it.\nFour, five."),
+        ("<main id=top><div class='article-header'><h1>Head</h1><p>menu</p></div><p>One, two, three of it, and a bit more of text.</p></main>", "Head\nOne, two, three of it, and a bit more of text."),
         ("<script>var a='<p>no</p>';</script><style>p{}</style><p>yes, sir</p>", "yes, sir"),
     ],
 )
