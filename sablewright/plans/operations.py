@@ -67,8 +67,8 @@ def recent_batches(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     jobs = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))), lambda x: x.o_orderkey.cast("string")), ",")
     b = o.groupBy(F.col("o_custkey").alias("batch_id")).agg(F.count("*").alias("total_count"), jobs.alias("jobs"), F.max("o_orderdate").alias("newest"))
-    last = o.agg(F.max("o_orderdate")).first()[0]
-    return queues.recent(b, "newest", F.lit(last), 7, 20, "batch_id").select("batch_id", "total_count", "jobs")
+    last = o.agg(F.max("o_orderdate").cast("string")).first()[0]
+    return queues.recent(b, "newest", F.lit(last).cast("timestamp_ntz"), 7, 20, "batch_id").select("batch_id", "total_count", "jobs")
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '1995-01-01')")
@@ -97,8 +97,8 @@ def memory_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_MEM}, t AS (SELECT max(ts) AS now FROM events) SELECT user_id, type, round(weight * pow(0.95e0, epoch_us(now::TIMESTAMP) / 86400e6 - epoch_us(last::TIMESTAMP) / 86400e6), 3) AS weight FROM m, t")
 def memory_decay(spark: SparkSession, d: str) -> DataFrame:
-    now = table(spark, d, "events").agg(F.max("ts")).first()[0]
-    return memory.faded(_memories(spark, d), F.lit(now)).select("user_id", "type", "weight")
+    now = table(spark, d, "events").agg(F.max("ts").cast("string")).first()[0]
+    return memory.faded(_memories(spark, d), F.lit(now).cast("timestamp_ntz")).select("user_id", "type", "weight")
 
 
 _PAIRS = "p AS (SELECT p_partkey AS id, p_type AS type, p_retailprice AS weight, list_distinct(string_split(lower(p_name), ' ')) AS t FROM part)"
