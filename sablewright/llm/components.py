@@ -22,10 +22,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     state = None
     for _ in range(most_rounds):
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # the least are written first: a join of two plain exchanges can be split where a node has very many links
+        least = settled(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = settled(large)
         # below: v < u holds for every link now, so a node's lesser neighbours are its v
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = settled(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         links = settled(small)
         new = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
