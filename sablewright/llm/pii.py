@@ -78,6 +78,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+#: Beginnings of well-known kinds of keys.
+_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk-", "AIza", "eyJ")
+_PREFIXED = re.compile(rf"(?<![A-Za-z0-9_-])(?:{'|'.join(_PREFIXES)})[A-Za-z0-9_-]{{14,}}")
 _TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
 _LONGEST_SECRET = 512
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9])")
@@ -103,6 +106,9 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         free = b
         if 16 <= b - a <= _LONGEST_SECRET and any(map(str.isalpha, text[a:b])):
             out.append(("secret", a, b))
+    if any(x in text for x in _PREFIXES):
+        seen = {c[1:] for c in out}
+        out += [("secret", *m.span()) for m in _PREFIXED.finditer(text) if m.end() - m.start() <= _LONGEST_SECRET and m.span() not in seen]
     if free:
         for kind, rx in (("local_phone", _LOCAL_PHONE), ("national_id", _NATIONAL), ("iban", _IBAN), ("account", _ACCOUNT)):
             out += [(kind, m.start(), m.end()) for m in rx.finditer(text)]
@@ -140,7 +146,7 @@ def features(text: str, kind: str, a: int, b: int) -> list[float]:
         sum(not c.isalnum() for c in s), max((len(x) for x in _DIGITS.findall(s)), default=0),
         float(13 <= len(digits) <= 19 and luhn(digits)), float(good_iban), float(all(c in "0123456789abcdefABCDEF" for c in s)),
         float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", s))),
-        float(left[-1:] in "=:" and left != ""), float(before[-1:] in "\"'`" and before != ""), float(after[:1] in "\"'`" and after != ""), float(before[-1:] in "/.@#" and before != ""),
+        float(s.startswith(_PREFIXES)), float(left[-1:] in "=:" and left != ""), float(before[-1:] in "\"'`" and before != ""), float(after[:1] in "\"'`" and after != ""), float(before[-1:] in "/.@#" and before != ""),
         *(float(bool(c.search(before))) for c in _CUES), *(float(bool(c.search(after))) for c in _CUES[:3]),
     ]
 
@@ -161,15 +167,22 @@ def training_rows(n: int, seed: int = 7) -> tuple[list[tuple[str, str, int, int]
         s = f"{body}{check:02d}{rest}"
         return s if r.random() < 0.5 else " ".join(s[i : i + 4] for i in range(0, len(s), 4))
 
+    def card() -> str:
+        body = d(15)
+        return next(body + x for x in "0123456789" if luhn(body + x))
+
     name = lambda: r.choice(("token", "secret", "api_key", "apikey", "password", "access_key", "auth_token", "TOKEN", "API_KEY", "client_secret"))
     quote = lambda s: r.choice((f'"{s}"', f"'{s}'", s))
     positive = (
         lambda: (f"{name()} {r.choice('=:')} ", quote(r.choice((hexa, mixed))(r.choice((20, 24, 32, 40, 40, 64))))),
         lambda: (f"{name()}{r.choice('=:')}", quote(r.choice((hexa, mixed))(r.choice((20, 32, 40, 64))))),
         lambda: ("Authorization: Bearer ", mixed(r.choice((24, 40)))),
+        lambda: (r.choice(("", "", "key ", "with ")), r.choice(("AKIA", "ASIA")) + mixed(16).upper()),
+        lambda: (r.choice(("", "", "key ", "with ")), r.choice(("ghp_", "glpat-", "xoxb-", "sk-", "AIza")) + mixed(r.choice((20, 30, 36)))),
         lambda: (r.choice(("phone ", "call ", "tel ", "Tel: ", "mobile: ", "fax ", "")), r.choice(("({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}")).format(d(3), d(3), d(4))),
         lambda: (r.choice(("SSN ", "ssn: ", "social security number ", "tax id ", "")), f"{d(3)}-{d(2)}-{d(4)}"),
         lambda: (r.choice(("IBAN ", "bank account ", "iban: ", "")), iban()),
+        lambda: (r.choice(("card ", "card no. ", "", "", "")), card()),
         lambda: (r.choice(("account number ", "bank account: ", "Konto ", "account no ")), d(r.choice((8, 10, 12)))),
         lambda: (r.choice(("mail ", "contact ", "write to ", "")), f"{word()}{r.choice(('.', '', '_'))}{word()} {r.choice(('(at)', '[at]'))} {word()}{r.choice(('.', ' (dot) ', ' [dot] '))}{r.choice(('com', 'org', 'de'))}"),
     )
@@ -180,6 +193,7 @@ def training_rows(n: int, seed: int = 7) -> tuple[list[tuple[str, str, int, int]
         lambda: (r.choice(("", "in ")), f"{word()}{word()}{word()}_{d(4)}_{word()}"),
         lambda: (r.choice(("order ", "invoice ", "ref ", "serial ", "ticket ", "tracking ", "")), d(r.randint(8, 19))),
         lambda: (r.choice(("", "at ", "on ", "from ")), d(r.randint(12, 18))),
+        lambda: (r.choice(("", "at ", "")), d(16)),
         lambda: (r.choice(("part ", "sku ", "order ", "serial ", "isbn ")), f"{d(3)}-{d(3)}-{d(4)}"),
         lambda: (r.choice(("part ", "page ", "sku ", "version ")), f"{d(3)}-{d(2)}-{d(4)}"),
         lambda: (r.choice(("model ", "part ", "")), f"{r.choice(('AB', 'QX', 'ZK'))}{d(2)} {d(4)} {d(4)}"),
@@ -195,7 +209,7 @@ def training_rows(n: int, seed: int = 7) -> tuple[list[tuple[str, str, int, int]
         for kind, a, b in candidates(text):
             if b > len(head) and a < len(head) + len(item):
                 rows.append((text, kind, a, b))
-                labels.append(int(pos and (kind != "account" or "account" in cue.lower() or "konto" in cue.lower())))
+                labels.append(int(pos and (kind != "account" or luhn(text[a:b]) and b - a == 16 or "account" in cue.lower() or "konto" in cue.lower())))
     return rows, labels
 
 
