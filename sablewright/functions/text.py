@@ -8,6 +8,39 @@ from pyspark.sql import functions as F
 #: White space as in Unicode.
 SPACE = r"(?U)\s+"
 
+# Patterns and word lists that must equal those of the existing service for the same answers.
+ARXIV_ID = r"(\d{4}\.\d{4,5})(?:v\d+)?"
+DOI = r"(?i)10\.\d{4,9}/[-._;()/:A-Z0-9]+"
+DOI_END = "[.,;，。；]+$"
+CITATION = r"\*\*\[([^\]]+)\]\*\*|(?<!\*)\[([^\]]+)\](?!\*)"
+SEARCH_REQUESTS = (r"(?i)(?:帮我)?(?:找|搜|查)[^，。；;!?！？]{0,120}(?:论文|文献)", r"(?i)\b(?:find|search(?:\s+for)?|look\s+for)\b.{0,120}\bpapers?\b")
+QUOTED_TITLE = "[\"“]([^\"”]{4,200})[\"”]"
+ANALYSIS_TAIL = r"(?i)[，,；;]?\s*(?:并|然后|再)?\s*(?:分析|回答|解释|总结|评估|对比|比较)(?:以下|下面)?[\s\S]*$"
+LATIN_TOKEN = r"[A-Za-z][A-Za-z0-9]*(?:[-_/][A-Za-z0-9]+)*"
+CHINESE_FILLER = "帮我|请|搜索|查找|找几篇|找一些|找|检索|相关|类似|相似|论文|文献|的"
+QUOTA_ERROR = r"(?i)insufficient[_\\]?quota|allocated quota exceeded|increase your quota limit|exceeded your current quota"
+RATE_ERROR = r"(?i)inference tpm exhausted|429001|rate[_ -]?limit|too many requests"
+FIELD_LINE = r"^(?:[-*•]\s*|\d+[.、)]\s*)?(.{1,80}?)[：:]\s*\**\s*$"
+# Answers with one of these say that there is no evidence.
+ABSTENTIONS = ("证据不足", "无法根据现有论文证据", "未找到相关信息")
+# Words of a question and the sections that answer it; spaces count.
+SECTION_WORDS = (
+    (("贡献", "创新", "提出", "新方法", " novelty"), ("introduction", "conclusion", "abstract")),
+    (("方法", "算法", "模型", "框架", " approach"), ("methodology", "method", "approach")),
+    (("实验", "结果", "性能", "准确率", " accuracy"), ("results", "experiment", "evaluation")),
+    (("背景", "动机", "问题", "现状"), ("introduction", "background", "related work")),
+    (("结论", "总结", "未来工作"), ("conclusion", "summary", "discussion")),
+)
+GRAPH_WORDS = ("哪些论文", "共同", "比较", "对比", "关系", "关联", "使用", "uses", "compare")
+COMPARE_WORDS = ("对比", "比较", "区别", "compare", "versus", " vs ")
+SWITCH_WORDS = ("再看看", "再看", "切换", "换一篇", "换成", "改看", "另一篇")
+SEARCH_WORDS = ("搜索", "查找", "找论文", "找几篇", "类似论文", "相似论文", "相关论文", "检索文献", "search", "find papers", "look for papers")
+SIMILAR_WORDS = ("类似", "相似", "similar")
+GREETINGS = ("你好", "您好", "嗨", "hi", "hello", "hey")
+QUESTION_WORDS = ("什么", "怎么", "为什么", "哪些", "?", "？", "问", "研究")
+SEARCH_STOPS = ("arxiv", "find", "help", "look", "paper", "papers", "please", "search", "the", "for", "about", "and")
+# End of the fixed values.
+
 
 def tokens(c: Column) -> Column:
     """Lower-case tokens between white space, without empty ones; an empty array for null."""
@@ -40,40 +73,21 @@ def contains_folded(c: Column, literal: str) -> Column:
 
 def arxiv_id(c: Column) -> Column:
     """The first identifier of the form 1234.56789, without version; null if none."""
-    return F.nullif(F.regexp_extract(c, r"(\d{4}\.\d{4,5})(?:v\d+)?", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(c, ARXIV_ID, 1), F.lit(""))
 
 
 def doi(c: Column) -> Column:
-    found = F.regexp_extract(c, r"(?i)10\.\d{4,9}/[-._;()/:A-Z0-9]+", 0)
-    return F.nullif(F.regexp_replace(found, "[.,;，。；]+$", ""), F.lit(""))
+    found = F.regexp_extract(c, DOI, 0)
+    return F.nullif(F.regexp_replace(found, DOI_END, ""), F.lit(""))
 
 
 def citations(c: Column) -> Column:
     """Titles in brackets, bold or plain, each once in order of appearance."""
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\*\*\[([^\]]+)\]\*\*|(?<!\*)\[([^\]]+)\](?!\*)"), F.lit(0))
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(CITATION), F.lit(0))
     bare = F.transform(found, lambda t: F.trim(F.regexp_replace(t, r"^\*{0,2}\[|\]\*{0,2}$", "")))
     return F.array_distinct(F.filter(bare, lambda t: t != ""))
 
 
-# Answers with one of these say that there is no evidence.
-ABSTENTIONS = ("证据不足", "无法根据现有论文证据", "未找到相关信息")
-# Words of a question and the sections that answer it; spaces count.
-SECTION_WORDS = (
-    (("贡献", "创新", "提出", "新方法", " novelty"), ("introduction", "conclusion", "abstract")),
-    (("方法", "算法", "模型", "框架", " approach"), ("methodology", "method", "approach")),
-    (("实验", "结果", "性能", "准确率", " accuracy"), ("results", "experiment", "evaluation")),
-    (("背景", "动机", "问题", "现状"), ("introduction", "background", "related work")),
-    (("结论", "总结", "未来工作"), ("conclusion", "summary", "discussion")),
-)
-GRAPH_WORDS = ("哪些论文", "共同", "比较", "对比", "关系", "关联", "使用", "uses", "compare")
-COMPARE_WORDS = ("对比", "比较", "区别", "compare", "versus", " vs ")
-SWITCH_WORDS = ("再看看", "再看", "切换", "换一篇", "换成", "改看", "另一篇")
-SEARCH_WORDS = ("搜索", "查找", "找论文", "找几篇", "类似论文", "相似论文", "相关论文", "检索文献", "search", "find papers", "look for papers")
-SIMILAR_WORDS = ("类似", "相似", "similar")
-GREETINGS = ("你好", "您好", "嗨", "hi", "hello", "hey")
-QUESTION_WORDS = ("什么", "怎么", "为什么", "哪些", "?", "？", "问", "研究")
-SEARCH_STOPS = ("arxiv", "find", "help", "look", "paper", "papers", "please", "search", "the", "for", "about", "and")
-# End of the fixed values.
 
 
 def has_any(c: Column, words: tuple[str, ...]) -> Column:
@@ -97,7 +111,7 @@ def section_intent(c: Column) -> Column:
 
 
 def is_search(c: Column) -> Column:
-    asked = F.rlike(c, F.lit(r"(?i)(?:帮我)?(?:找|搜|查)[^，。；;!?！？]{0,120}(?:论文|文献)")) | F.rlike(c, F.lit(r"(?i)\b(?:find|search(?:\s+for)?|look\s+for)\b.{0,120}\bpapers?\b"))
+    asked = F.rlike(c, F.lit(SEARCH_REQUESTS[0])) | F.rlike(c, F.lit(SEARCH_REQUESTS[1]))
     return has_any(c, SEARCH_WORDS) | F.coalesce(asked, F.lit(False))
 
 
@@ -130,12 +144,12 @@ def evidence_verdict(answer: Column, titles: Column) -> Column:
 
 def search_request(c: Column, fallback: Column) -> Column:
     """Mode and value of a paper search: an id, a quoted title, a similar title, Latin key words, or the rest."""
-    quoted = F.nullif(F.regexp_extract(c, "[\"“]([^\"”]{4,200})[\"”]", 1), F.lit(""))
+    quoted = F.nullif(F.regexp_extract(c, QUOTED_TITLE, 1), F.lit(""))
     similar = F.when(is_search(c) & has_any(c, SIMILAR_WORDS), collapsed(fallback))
-    part = F.trim(F.regexp_replace(c, r"(?i)[，,；;]?\s*(?:并|然后|再)?\s*(?:分析|回答|解释|总结|评估|对比|比较)(?:以下|下面)?[\s\S]*$", ""))
-    latin = F.filter(F.regexp_extract_all(part, F.lit(r"[A-Za-z][A-Za-z0-9]*(?:[-_/][A-Za-z0-9]+)*"), F.lit(0)), lambda t: ~F.lower(t).isin(*SEARCH_STOPS))
+    part = F.trim(F.regexp_replace(c, ANALYSIS_TAIL, ""))
+    latin = F.filter(F.regexp_extract_all(part, F.lit(LATIN_TOKEN), F.lit(0)), lambda t: ~F.lower(t).isin(*SEARCH_STOPS))
     words = F.nullif(F.concat_ws(" ", F.slice(latin, 1, 12)), F.lit(""))
-    rest = F.btrim(collapsed(F.regexp_replace(part, "帮我|请|搜索|查找|找几篇|找一些|找|检索|相关|类似|相似|论文|文献|的", " ")), F.lit(" ：:，,。"))
+    rest = F.btrim(collapsed(F.regexp_replace(part, CHINESE_FILLER, " ")), F.lit(" ：:，,。"))
     value = F.coalesce(F.nullif(rest, F.lit("")), collapsed(fallback))
 
     def request(mode: str, v: Column) -> Column:
@@ -147,9 +161,7 @@ def search_request(c: Column, fallback: Column) -> Column:
 
 def error_kind(c: Column) -> Column:
     """quota (not worth a retry), rate_limit, or other."""
-    quota = r"(?i)insufficient[_\\]?quota|allocated quota exceeded|increase your quota limit|exceeded your current quota"
-    rate = r"(?i)inference tpm exhausted|429001|rate[_ -]?limit|too many requests"
-    return F.when(F.rlike(c, F.lit(quota)), "quota").when(F.rlike(c, F.lit(rate)), "rate_limit").otherwise("other")
+    return F.when(F.rlike(c, F.lit(QUOTA_ERROR)), "quota").when(F.rlike(c, F.lit(RATE_ERROR)), "rate_limit").otherwise("other")
 
 
 def without_reasoning(c: Column) -> Column:
@@ -165,7 +177,7 @@ def fenced(c: Column, language: str = "") -> Column:
 
 def requested_fields(c: Column) -> Column:
     """Labels of lines that end in a colon; none if there are fewer than two."""
-    lines = F.transform(F.split(F.coalesce(c, F.lit("")), r"\r?\n"), lambda x: F.regexp_extract(F.trim(x), r"^(?:[-*•]\s*|\d+[.、)]\s*)?(.{1,80}?)[：:]\s*\**\s*$", 1))
+    lines = F.transform(F.split(F.coalesce(c, F.lit("")), r"\r?\n"), lambda x: F.regexp_extract(F.trim(x), FIELD_LINE, 1))
     found = F.array_distinct(F.filter(F.transform(lines, F.trim), lambda t: t != ""))
     return F.when(F.size(found) >= 2, found).otherwise(F.array().cast("array<string>"))
 

@@ -15,6 +15,7 @@ from sablewright.functions.schema import PREDICATES, STANCES, USABLE, entity_typ
 from sablewright.functions.scores import confidence
 from sablewright.functions.text import evidence_form, tokens
 
+# Thresholds of the stored resolutions.
 MERGE, NEW, FACT_MERGE, FACT_NEW = 0.88, 0.55, 0.90, 0.60
 
 

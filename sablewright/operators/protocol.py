@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Names that stored answers and callers use.
 ROW_KEYS = ("candidates", "claims", "relations", "items", "decisions")
 REASONING = ("reasoning", "thinking", "reasoning_content")
 ROUTES = {"analyze": "direct", "rag": "retriever", "compare": "retriever", "search": "fetcher", "general": "END"}
+CORRECTION = r"(?:研究方向)?(?:改为|是)\s*([^，。；;]+)"
+CORRECTION_WORDS = ("改为", "研究方向")
+# End of the fixed values.
 
 
 def visible_text(blocks: Column) -> Column:
@@ -96,8 +100,10 @@ def gate(verdict: Column, iteration: Column, most: int) -> Column:
 def explicit_correction(message: Column) -> Column:
     """The research direction that a message states outright; null if it states none."""
     text = F.trim(message)
-    found = F.trim(F.regexp_extract(text, r"(?:研究方向)?(?:改为|是)\s*([^，。；;]+)", 1))
-    says = F.contains(text, F.lit("改为")) | F.contains(text, F.lit("研究方向"))
+    found = F.trim(F.regexp_extract(text, CORRECTION, 1))
+    says = F.lit(False)
+    for w in CORRECTION_WORDS:
+        says = says | F.contains(text, F.lit(w))
     return F.when(says & (found != ""), found)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Statuses and priorities of stored jobs.
 RUNNABLE = ("pending", "retry_wait")
 PRIORITY = {"manual": 30, "new": 20, "backfill": 10}
 TERMINAL = ("completed", "failed", "skipped")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -154,22 +155,23 @@ def packed(hits: DataFrame, most_chars: int, order: Sequence[Column], length: Co
     return df.where(F.col("total") <= most_chars)
 
 
+# Words of a question that its variants replace, and by what.
+THIS_PAPER = "(这篇论文|该论文|本文)"
+THIS_PAPER_TAIL = "(的|主要|核心)?"
+PAPER = "论文"
+REWORDED = (("主要贡献", ("主要贡献",), ("创新点和方法", "novelty and contribution")), ("区别", ("区别", "差异"), ("对比", "difference")))
+# End of the fixed values.
+
+
 def variants(query: str) -> list[str]:
     """Rule-made variants of a question, the original first."""
     out = [query]
-    for word in ("这篇论文", "该论文", "本文"):
-        if word in query:
-            rest = query
-            for w in ("这篇论文", "该论文", "本文"):
-                for tail in ("的", "主要", "核心", ""):
-                    rest = rest.replace(w + tail, "")
-            if rest.strip():
-                out.append(f"论文 {rest.strip()}")
-            break
-    if "主要贡献" in query:
-        out += [query.replace("主要贡献", x) for x in ("创新点和方法", "novelty and contribution")]
-    if "区别" in query or "差异" in query:
-        out += [query.replace("区别", x) for x in ("对比", "difference")]
+    rest = re.sub(THIS_PAPER + THIS_PAPER_TAIL, "", query).strip()
+    if rest and re.search(THIS_PAPER, query):
+        out.append(f"{PAPER} {rest}")
+    for old, signs, new in REWORDED:
+        if any(s in query for s in signs):
+            out += [query.replace(old, x) for x in new]
     return out
 
 
