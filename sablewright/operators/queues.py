@@ -44,7 +44,9 @@ def claimed(jobs: DataFrame, now: Column, slots: Column | None = None, order: li
     """The runnable jobs that are claimed now: the ``n`` first of each slot by priority, due time and age."""
     order = order or [F.desc("priority"), F.asc("next_attempt_at"), F.asc("created_at"), F.asc("job_id")]
     due = jobs.where(F.col("status").isin(*RUNNABLE) & (F.col("next_attempt_at") <= now))
-    w = Window.partitionBy(slots if slots is not None else F.lit(0)).orderBy(*order)
+    if slots is None:
+        return due.orderBy(*order).limit(n)
+    w = Window.partitionBy(slots).orderBy(*order)
     return due.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
 
 
