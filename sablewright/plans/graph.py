@@ -149,10 +149,14 @@ def eval_summary(spark: SparkSession, d: str) -> DataFrame:
     return out.select("n_cases", *(F.round(c, 6).alias(c) for c in out.columns if c != "n_cases"))
 
 
-@query()
+_SINGULAR = "CASE WHEN x LIKE '%ics' OR x LIKE '%ss' OR x LIKE '%us' OR x LIKE '%is' THEN x WHEN len(x) > 4 AND x LIKE '%ies' THEN x[:-4] || 'y' WHEN len(x) > 4 AND x LIKE '%ses' THEN x[:-3] WHEN len(x) > 3 AND x LIKE '%s' THEN x[:-2] ELSE x END"
+_NAMES = f"n AS (SELECT p_partkey, list_transform(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(p_name), '[-_/]+', ' ', 'g'), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+'), lambda x: x <> ''), lambda x: {_SINGULAR}) AS w FROM part), m AS (SELECT p_partkey, w, array_to_string(w, ' ') AS normal FROM n), a AS (SELECT *, CASE WHEN len(w) = 1 AND len(normal) <= 12 THEN normal ELSE array_to_string(list_transform(w, lambda x: x[1]), '') END AS acronym FROM m)"
+
+
+@query(f"WITH {_NAMES} SELECT p_partkey, normal, acronym, array_to_string(list_sort(list_distinct(['name:' || normal, 'acro:' || acronym, 'first:' || w[1], 'prefix:' || substr(normal, 1, 8)])), ',') AS keys FROM a")
 def normalize_names(spark: SparkSession, d: str) -> DataFrame:
     n = normal_name(F.col("p_name"))
-    return table(spark, d, "part").select("p_partkey", n.alias("normal")).select("p_partkey", "normal", acronym_of(F.col("normal")).alias("acronym"), blocking_keys_of(F.col("normal")).alias("keys"))
+    return table(spark, d, "part").select("p_partkey", n.alias("normal")).select("p_partkey", "normal", acronym_of(F.col("normal")).alias("acronym"), F.array_join(blocking_keys_of(F.col("normal")), ",").alias("keys"))
 
 
 @query()
