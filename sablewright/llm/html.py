@@ -91,6 +91,7 @@ class Tree:
             name, rest = name.lower(), m[3] if m[2] else m[6]
             if m[1] or m[4]:
                 if name == "p" and not opened.get("p"):
+                    runs.append(BORDER)
                     continue
                 if d := find((name,), SCOPE - {name} if name not in BLOCK else ("html",) if name != "p" else SCOPE):
                     close(d)
