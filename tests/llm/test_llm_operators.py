@@ -265,6 +265,36 @@ def test_image_recall():
     assert not any(images.agreeing(*d[i], *d[j]) >= images.AGREE for i, j in itertools.combinations(range(20), 2))
 
 
+def turned(x, degrees):
+    h, w = x.shape
+    a, (y, z) = np.deg2rad(degrees), np.mgrid[:h, :w]
+    u = np.clip(np.rint(np.cos(a) * (z - w / 2) + np.sin(a) * (y - h / 2) + w / 2).astype(int), 0, w - 1)
+    v = np.clip(np.rint(np.cos(a) * (y - h / 2) - np.sin(a) * (z - w / 2) + h / 2).astype(int), 0, h - 1)
+    return x[v, u]
+
+
+@pytest.mark.parametrize("few", [32, 1])
+def test_image_join_recall(spark, few):
+    """What comparing all pairs links, the join by tables links too, each kind of edit taken alone."""
+    r = np.random.default_rng(6)
+    edits = {
+        "crop": lambda x: x[8:108, 8:112], "dark": lambda x: x * 0.3, "noise": lambda x: x + r.normal(0, 20, x.shape), "much noise": lambda x: x + r.normal(0, 90, x.shape), "half turn": lambda x: np.rot90(x, 2), "turn by 10": lambda x: turned(x, 10), "turn by 45": lambda x: turned(x, 45),
+        "smaller": lambda x: images._resize(x, 84, 84), "blur": lambda x: images._blur(x, 4), "turned part": lambda x: turned(x, 20)[18:102, 18:102], "overlay": lambda x: np.where(np.arange(len(x))[:, None] < 60, 100, x),
+    }
+    shown = {}
+    for k, f in enumerate(edits.values()):
+        for s in range(10):
+            x = scene(1000 + 100 * k + s)
+            shown[100 * k + 2 * s], shown[100 * k + 2 * s + 1] = pgm(x), pgm(f(x))
+    df = spark.createDataFrame(list(shown.items()), "id long, image binary")
+    got = {x.id: x.class_id for x in images.image_classes(df, "id", "image", few=few).collect()}
+    d = {i: images.describe(images.decode(x)) for i, x in shown.items()}
+    for k, name in enumerate(edits):
+        true = [i for i in range(100 * k, 100 * k + 20, 2) if images.agreeing(*d[i], *d[i + 1]) >= images.AGREE]
+        assert len(true) >= 5 and np.mean([got[i] == got[i + 1] for i in true]) >= 0.9, name
+    assert all(c // 2 == i // 2 for i, c in got.items())
+
+
 # --- op6 and op8
 
 
