@@ -295,6 +295,20 @@ def test_image_join_recall(spark, few):
     assert all(c // 2 == i // 2 for i, c in got.items())
 
 
+@pytest.mark.parametrize("share", [0.7, 0.5, 0.4])
+def test_image_crops(spark, share):
+    """Crops of images larger than the working size are found, wherever they lie; unrelated large images are not linked."""
+    r = np.random.default_rng(7)
+    size, rows = 240, []
+    for k in range(12):
+        x, n = scene(2000 + k, size), int(size * share)
+        y, z = r.integers(0, size - n, 2)
+        rows += [(2 * k, pgm(x)), (2 * k + 1, pgm(x[y : y + n, z : z + n]))]
+    got = {x.id: x.class_id for x in images.image_classes(spark.createDataFrame(rows, "id long, image binary"), "id", "image").collect()}
+    assert np.mean([got[2 * k + 1] == 2 * k for k in range(12)]) >= 0.9
+    assert all(c // 2 == i // 2 for i, c in got.items())
+
+
 # --- op6 and op8
 
 
