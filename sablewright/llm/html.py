@@ -36,11 +36,12 @@ IMPLIED = {
 }
 NEVER = frozenset("head script style noscript template iframe object embed applet svg math canvas audio video map nav footer aside form button select textarea input label fieldset datalist dialog menu title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar form alert status".split())
-#: Words of classes and ids; those of the second set also as beginnings of longer words. Elements with a weak word go only
-#: if they hold a small part of the page's text, as wrappers of whole pages have such names too.
+#: Words of classes and ids, and beginnings of such words. Elements with one of them go unless they wrap the article: those
+#: that hold article or main, are one, or hold most of the paragraphs' points stay. Elements with a weak word go only if they
+#: hold a small part of the page's text.
 EXACT = frozenset("ad ads adv nav menu topbar rss cta toc login modal popup gdpr notice notices alert pager toolbar masthead".split())
 WEAK = frozenset("top tags meta share legal lang hidden tools related byline widget banner popular dialog social copyright".split())
-WEAK_SHARE = 0.3
+WEAK_SHARE, WRAPS = 0.3, 0.5
 START = ("advert", "adsense", "adslot", "sponsor", "promo", "sidebar", "comment", "reply", "replies", "respond", "disqus", "cookie", "consent", "newsletter", "subscri", "signup", "sharing", "breadcrumb", "pagination", "footer", "navigation", "navbar", "menubar", "recommend", "trending", "outbrain", "taboola", "paywall", "skiplink")
 HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 GOOD = re.compile(r"article|content|entry|main|post|story|text|body")
@@ -129,7 +130,7 @@ def attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(rest)}
 
 
-KEEP, HEADER, WEAKLY, GONE = range(4)
+KEEP, HEADER, WEAKLY, NAMED, GONE = range(5)
 
 
 def unwanted(tag: str, rest: str) -> int:
@@ -146,18 +147,55 @@ def unwanted(tag: str, rest: str) -> int:
     out = KEEP
     for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{a.get('class', '')} {a.get('id', '')}").lower()):
         if w in EXACT or w.startswith(START):
-            return GONE
+            return NAMED
         out = max(out, WEAKLY if w in WEAK else HEADER if w == "header" else KEEP)
     return out
 
 
+def _wraps(t: Tree, kind: list[int]) -> list[bool]:
+    """Elements that are or hold the page's main or its largest article, or that hold more than ``WRAPS`` of the points of the
+    page's paragraphs (those outside of the largest article, as long threads of comments, do not)."""
+    tag, parent, n = t.tag, t.parent, len(t.tag)
+    if NAMED not in kind:
+        return [False] * n
+    never = [k == GONE for k in kind]
+    points, texts, commas = [0.0] * n, [0] * n, [0] * n
+    for i in range(1, n):
+        never[i] = never[i] or never[parent[i]]
+    for i, text in t.runs:
+        # inline elements speak for the paragraph that they stand in
+        while i > 0 and tag[i] not in BLOCK and tag[i] != "a":
+            i = parent[i]
+        if i >= 0 and not never[i] and tag[i] not in HEADING and tag[i] != "a":
+            texts[i] += len(text.strip())
+            commas[i] += text.count(",") + text.count("，")
+    for i in range(n - 1, 0, -1):
+        if texts[i]:
+            points[i] += min(texts[i] / 25, 1) + commas[i] + min(texts[i] / 100, 3)
+        points[parent[i]] += points[i]
+    holds, largest = [False] * n, {}
+    for name in ("article", "main"):
+        # a comment may be an article too
+        found = [i for i in range(1, n) if tag[i] == name and points[i] and (kind[i] != NAMED or points[i] > WEAK_SHARE * points[0])]
+        if found:
+            up = largest[name] = max(found, key=lambda i: (points[i], -i))
+            while up >= 0:
+                holds[up], up = True, parent[up]
+    inside = [False] * n
+    for i in range(1, n):
+        inside[i] = inside[parent[i]] or largest.get("article", i) == i or "article" not in largest
+    return [holds[i] or inside[i] and points[i] > WRAPS * points[0] for i in range(n)]
+
+
 def main_text(page: str) -> str:
     """The article's blocks in page order, joined by one line feed; empty if the page has no text."""
     t = Tree(page)
     tag, parent, n = t.tag, t.parent, len(t.tag)
     kind = [unwanted(tag[i], t.attr[i]) for i in range(n)]
     gone = [k == GONE for k in kind]
+    wraps = _wraps(t, kind)
     for i in range(1, n):
+        gone[i] = gone[i] or kind[i] == NAMED and not wraps[i]
         gone[i] = gone[i] or gone[parent[i]]
     size = [0] * n
     for i, text in t.runs:

@@ -418,6 +418,26 @@ def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
+STORY = "<h1>Head</h1>" + "".join(f"<p>Paragraph {k} of the story, with some words, and a few more of them to read.</p>" for k in range(5))
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "layout-sidebar-right", "post comments-open", "category-promo", "tag-cookies", "ad", "menu-open"])
+@pytest.mark.parametrize("page", ["<div class='{}'>{}</div>", "<div class='{}'><article>{}</article></div>", "<article class='{}'>{}</article>", "<main><div id='{}'>{}</div></main>", "<article><section class='{}'>{}</section></article>"])
+def test_named_wrappers(page, name):
+    """Class words on a wrapper of the article do not take the article away."""
+    menu = "<nav><a href='/'>Home</a></nav><div class='sidebar'><p>Other things.</p></div>"
+    assert html.main_text(f"<body>{menu}{page.format(name, STORY)}</body>") == html.main_text(f"<body><article>{STORY}</article></body>")
+
+
+def test_named_parts():
+    """Comments and the like go still, also long ones, ones in articles of their own, and ones in the wrapper."""
+    want = html.main_text(f"<body><article>{STORY}</article></body>")
+    one = "<article class='comment'><p>I think so, too, and so do many others, of course.</p></article>"
+    assert html.main_text(f"<body class='has-sidebar'><article>{STORY}</article><section id='comments'>{one * 30}</section></body>") == want
+    assert html.main_text(f"<div class='has-sidebar'><article>{STORY}</article><div class='comments'>{one * 3}</div><div class='sidebar'><p>Read this, and that.</p></div></div>") == want
+    assert html.main_text(f"<div class='content'>{STORY}<div class='promo'><p>Buy now, and buy more.</p></div></div>") == want
+
+
 def test_html_edges(spark):
     df = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "u", "<p>x</p>"), (2, None, "<b>" * 20000 + "deep" + "<p>" * 3000)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = [(r.page_id, r.url, r.text, r.n_chars) for r in html.extract(df).collect()]
