@@ -162,7 +162,7 @@ def normalize_names(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def entity_scores(spark: SparkSession, d: str) -> DataFrame:
     """Rule scores of the blocked pairs of parts; the brand stands for the context."""
-    p = table(spark, d, "part").where("p_size <= 5").select("p_partkey", F.col("p_type").alias("type"), normal_name(F.col("p_name")).alias("normal"), tokens(F.col("p_brand")).alias("context"))
+    p = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("type"), normal_name(F.col("p_name")).alias("normal"), tokens(F.col("p_brand")).alias("context"))
     keyed = p.withColumn("blocking_keys", blocking_keys_of(F.col("normal")))
     pairs = evidence.blocked(keyed, keyed, "p_partkey", "p_partkey").where("left_id < right_id")
     a = p.select(F.col("p_partkey").alias("left_id"), F.col("normal").alias("x"), F.col("context").alias("cx"))

@@ -42,3 +42,10 @@ def test_plans(spark, sf):
     assert "PushedFilters: [" in text and "Exchange" not in text
     for name in ("paper_links", "blocking_candidates", "fact_counts"):
         assert "Cartesian" not in plan(registry.QUERIES[name](spark, sf))
+
+
+def test_entity_scores_of_all_parts(spark, sf, con):
+    """Each pair of one type and one first word has a score, whatever the parts' sizes."""
+    want = con.execute("SELECT a.p_partkey, b.p_partkey FROM part a JOIN part b ON a.p_type = b.p_type AND split_part(lower(a.p_name), ' ', 1) = split_part(lower(b.p_name), ' ', 1) AND a.p_partkey < b.p_partkey").fetchall()
+    got = {(r.left_id, r.right_id) for r in registry.QUERIES["entity_scores"](spark, sf).collect()}
+    assert want and set(want) <= got
