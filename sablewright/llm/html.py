@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sablewright.llm.common import by_batch, small_batches, table
+from sablewright.llm.common import by_batch, field_of, small_batches, table
 
 _MARKUP = re.compile(r"""<(?:!--(?:(?!-->)[\s\S])*+(?:-->|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)(?:>|\Z)|[!?/][^>]*+(?:>|\Z))""")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:-][a-zA-Z0-9_:.-]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -34,15 +34,21 @@ IMPLIED = {
     "li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
     "option": (("option",), ("select", "datalist")), "tbody": (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)), "thead": (("tbody", "tr", "td", "th"), ("table",)), "tfoot": (("tbody", "thead", "tr", "td", "th"), ("table",)),
 }
-NEVER = frozenset("head script style noscript template iframe object embed applet svg math canvas audio video map nav footer aside form button select textarea input label fieldset datalist dialog menu title".split())
+NEVER = frozenset("head script style noscript template iframe object embed applet svg math canvas audio video map nav footer aside button select textarea input label fieldset datalist dialog menu title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar form alert status".split())
-#: Words of classes and ids, and beginnings of such words. Elements with one of them go unless they wrap the article: those
-#: that hold article or main, are one, or hold most of the paragraphs' points stay. Elements with a weak word go only if they
-#: hold a small part of the page's text.
-EXACT = frozenset("ad ads adv nav menu topbar rss cta toc login modal popup gdpr notice notices alert pager toolbar masthead".split())
+#: Words of classes and ids. Elements with one of them, and forms, go unless they wrap the article: those that hold article or
+#: main, are one, or hold most of the paragraphs' points stay. Elements with a weak word go only if they hold a small part of
+#: the page's text.
+EXACT = frozenset(
+    """ad ads adv advert adverts advertisement advertisements advertising adsense adslot adslots sponsor sponsors sponsored promo promos promotion promotions promoted
+    nav navs navbar navigation menu menus menubar topbar rss cta toc login signup modal popup gdpr notice notices alert pager pagination toolbar masthead breadcrumb breadcrumbs
+    sidebar sidebars footer comment comments commentlist commentform reply replies respond disqus cookie cookies consent newsletter newsletters subscribe subscription subscriptions
+    sharing recommend recommended recommendations trending outbrain taboola paywall skiplink skiplinks""".split()
+)
 WEAK = frozenset("top tags meta share legal lang hidden tools related byline widget banner popular dialog social copyright".split())
 WEAK_SHARE, WRAPS = 0.3, 0.5
-START = ("advert", "adsense", "adslot", "sponsor", "promo", "sidebar", "comment", "reply", "replies", "respond", "disqus", "cookie", "consent", "newsletter", "subscri", "signup", "sharing", "breadcrumb", "pagination", "footer", "navigation", "navbar", "menubar", "recommend", "trending", "outbrain", "taboola", "paywall", "skiplink")
+#: A class that begins or ends with one of these speaks of the state of something else (``has-sidebar``, ``menu-open``).
+BEFORE, AFTER = frozenset("has have no with without hide show".split()), frozenset("open opened closed enabled disabled active visible on off".split())
 HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 GOOD = re.compile(r"article|content|entry|main|post|story|text|body")
 
@@ -139,16 +145,18 @@ def unwanted(tag: str, rest: str) -> int:
         return GONE
     if tag == "header":
         return HEADER
+    out = NAMED if tag == "form" else KEEP
     if not rest or tag in ("html", "body", "main"):
-        return KEEP
+        return out
     a = attributes(rest)
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
         return GONE
-    out = KEEP
-    for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{a.get('class', '')} {a.get('id', '')}").lower()):
-        if w in EXACT or w.startswith(START):
-            return NAMED
-        out = max(out, WEAKLY if w in WEAK else HEADER if w == "header" else KEEP)
+    for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{a.get('class', '')} {a.get('id', '')}").lower().split():
+        words = _WORD.findall(name)
+        if len(words) > 1 and (words[0] in BEFORE or words[-1] in AFTER):
+            continue
+        for w in words:
+            out = max(out, NAMED if w in EXACT else WEAKLY if w in WEAK else HEADER if w == "header" else KEEP)
     return out
 
 
@@ -288,9 +296,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
     small_batches(pages.sparkSession)
     source = pages.select(F.col(id_col).alias("__id"), F.col(html_col).alias("__html"), *(F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)))
     carried = [c for c in source.columns if c != "__html"]
-    ddl = ", ".join(f"{c} {t}" for c, t in source.dtypes if c != "__html") + ", text string, n_chars bigint"
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    schema = pa.schema([*(pa.field(c, kinds[t]) for c, t in source.dtypes if c != "__html"), pa.field("text", pa.string()), pa.field("n_chars", pa.int64())])
+    fields = [field_of(source, c, c) for c in carried]
+    ddl = ", ".join(x for _, x in fields) + ", text string, n_chars bigint"
+    schema = pa.schema([*(f for f, _ in fields), pa.field("text", pa.string()), pa.field("n_chars", pa.int64())])
 
     def make():
         def run(cols):
