@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows and bytes of an Arrow batch at most (a row that is longer stands alone).
 BATCH_ROWS, BATCH_BYTES = 10_000, "4m"
@@ -20,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def field_of(df: DataFrame, column: str, name: str) -> tuple[pa.Field, str]:
+    """The Arrow field and the DDL of a column of any plain type, under another name."""
+    kind = df.schema[column].dataType
+    return pa.field(name, to_arrow_type(kind)), f"{name} {kind.simpleString()}"
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the bytes of an Arrow batch; texts of any length then fit a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -29,11 +36,13 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder in the storage that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in local tests, a temporary
-    folder of this machine serves.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the session is local, as in tests, a
+    temporary folder of this machine serves; on a cluster each executor would write to a disk of its own.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/sablewright-shared"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

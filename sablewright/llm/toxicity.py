@@ -7,6 +7,7 @@ term leaves few weights that are not zero: these alone are sent to the tasks.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 
@@ -16,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from sablewright.llm.common import by_batch, held, small_batches, table
+from sablewright.llm.common import by_batch, field_of, held, small_batches, table
 
-#: Hash bits; labelled rows that the fit uses at most (about); longest text of a row that the fit may choose.
-BITS, FIT_ROWS, FIT_CHARS = 20, 6_000, 50_000
+#: Hash bits; labelled rows that the fit uses at most.
+BITS, FIT_ROWS = 20, 6_000
 HEADS = (4, 5, 6, 7, 8)
 CACHE_WORDS = 100_000
 _WORDS = re.compile(r"\w+").findall
@@ -111,23 +112,46 @@ def best_shift(z: np.ndarray, y: np.ndarray) -> float:
     return float((z[k] + after[k]) / 2)
 
 
-def fit(rows: list[tuple[str, int]], epochs: int = 3, seed: int = 11) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights from (text, label) rows; the order of the rows does not matter, they are sorted and then shuffled.
+def fit_features(found: list[tuple[np.ndarray, int]], epochs: int = 3, seed: int = 11, folds: int = 4) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights from (sorted table positions, label) rows; the order of the rows does not matter, they are sorted and then shuffled.
 
-    Every fifth row is kept out of training. As few texts are toxic, the raw score that separates these rows best lies
-    below 0; the bias is shifted so that a probability of 0.5 stands there.
+    As few texts are toxic, the raw score that separates the classes best lies below 0. It is found on scores that models
+    trained without a fold of the rows give to that fold; the bias is shifted so that a probability of 0.5 stands there.
+    Rows of one class alone, or none, teach nothing: all texts then score the same, below 0.5, so that nothing is rejected.
     """
-    rows = sorted((t or "", int(y)) for t, y in rows)
-    f, model, r = Features(), Ftrl(), np.random.default_rng(seed)
-    found = [(np.unique(f(t)).astype(np.int32), y) for t, y in rows]
+    found = sorted(found, key=lambda x: (x[0].tobytes(), x[1]))
+    y = np.array([y > 0 for _, y in found], int)
+    r = np.random.default_rng(seed)
     order = r.permutation(len(found))
-    train, held = order[len(order) // 5 :], order[: len(order) // 5]
-    for _ in range(epochs):
-        for i in r.permutation(train):
-            model.learn(*found[i])
-    z = np.array([model.bias + model.weights(found[i][0]).sum() for i in held])
-    at, w, bias = model.compact()
-    return at, w, bias - best_shift(z, np.array([found[i][1] for i in held], int))
+    if not 0 < y.sum() < len(y):
+        prior = min((y.sum() + 1) / (len(y) + 4), 0.25)
+        return np.zeros(0, np.int32), np.zeros(0, np.float32), math.log(prior / (1 - prior))
+
+    def learnt(rows: np.ndarray) -> Ftrl:
+        model = Ftrl()
+        for _ in range(epochs):
+            for i in r.permutation(rows):
+                model.learn(found[i][0], y[i])
+        return model
+
+    z = np.zeros(len(found))
+    for k in range(folds):
+        model = learnt(order[np.arange(len(order)) % folds != k])
+        for i in order[k::folds]:
+            z[i] = model.bias + model.weights(found[i][0]).sum()
+    at, w, bias = learnt(order).compact()
+    return at, w, bias - best_shift(z, y)
+
+
+def fit(rows: list[tuple[str, int]], epochs: int = 3, seed: int = 11) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights from (text, label) rows."""
+    f = Features()
+    return fit_features([(positions(f, t), int(y)) for t, y in rows], epochs, seed)
+
+
+def positions(features: Features, text: str | None) -> np.ndarray:
+    """The different table positions of a text's features, in order."""
+    return np.unique(features(text or "")).astype(np.int32)
 
 
 class Scorer:
@@ -150,21 +174,31 @@ def _scorer(compact):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = FIT_ROWS):
-    """Fit on at most about ``max_rows`` labelled documents, chosen by a hash of the id; rows with a null label or id are not used.
+    """Fit on at most ``max_rows`` labelled documents, chosen by a hash of the id; rows with a null label or id are not used.
 
-    The chosen ids are bounded, so their broadcast is. Texts of over ``FIT_CHARS`` characters are not chosen for the fit
-    (they are scored like all others), so what the driver gathers has a bound too. A document id with several labels takes its highest.
+    Whole texts of any length take part: their features leave the tasks, at most as many as the table has places, so what
+    the driver gathers has a bound. The chosen ids are bounded, so their broadcast is. A document id with several labels
+    takes its highest; rows that share an id or repeat count towards the bound each for itself.
     """
+    small_batches(docs.sparkSession)
     crc = lambda c: F.crc32(c.cast("string").cast("binary"))
-    usable = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where(F.col("__id").isNotNull() & F.col("__y").isNotNull() & (crc(F.col("__id")) % 5 != 0))
-    n = usable.count()
-    keep = max_rows / max(n, 1)
+    usable = labels.select(F.col(id_col).cast("string").alias("__id"), F.col(label_col).cast("int").alias("__y")).where(F.col("__id").isNotNull() & F.col("__y").isNotNull() & (crc(F.col("__id")) % 5 != 0))
+    keep = max_rows / max(usable.count(), 1)
+    chance = F.xxhash64("__id").bitwiseAND(F.lit((1 << 63) - 1))
     if keep < 1:
-        usable = usable.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int(keep * (1 << 20)))
-    usable = usable.groupBy("__id").agg(F.max("__y").alias("__y"))
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.coalesce(F.length("__text"), F.lit(0)) <= FIT_CHARS)
-    rows = texts.join(F.broadcast(usable), "__id").select("__text", "__y").collect()
-    return fit([(r[0], r[1]) for r in rows])
+        usable = usable.where(chance < int(keep * (1 << 63)))
+    usable = usable.groupBy("__id").agg(F.max("__y").alias("__y")).orderBy(chance, "__id").limit(max_rows)
+    texts = docs.select(F.col(id_col).cast("string").alias("__id"), F.col(text_col).alias("__text"))
+    rows = texts.join(F.broadcast(usable), "__id").select("__id", "__text", "__y")
+    rows = rows.orderBy(F.xxhash64("__id", "__text"), "__id").limit(max_rows)
+    schema = pa.schema([("at", pa.binary()), ("y", pa.int64())])
+
+    def make():
+        f = Features()
+        return lambda cols: {"at": [zlib.compress(np.diff(positions(f, t), prepend=np.int32(0)).tobytes(), 1) for t in cols["__text"]], "y": cols["__y"]}
+
+    found = rows.mapInArrow(by_batch(make, schema), "at binary, y long").collect()
+    return fit_features([(np.cumsum(np.frombuffer(zlib.decompress(x.at), np.int32), dtype=np.int32), int(x.y > 0)) for x in found])
 
 
 def score_texts(docs: DataFrame, compact, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,32 +208,45 @@ def score_texts(docs: DataFrame, compact, id_col: str = "doc_id", text_col: str
     repeated results; other columns are not carried. One narrow pass; no shuffle.
     """
     small_batches(docs.sparkSession)
-    kind = dict(docs.dtypes)[id_col]
-    schema = pa.schema([pa.field("__id", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]), pa.field("score", pa.float64())])
+    own, ddl = field_of(docs, id_col, "__id")
+    schema = pa.schema([own, pa.field("score", pa.float64())])
 
     def make():
         score = _scorer(compact)
         return lambda cols: {"__id": cols["__id"], "score": [score(t or "") for t in cols["__text"]]}
 
-    out = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(by_batch(make, schema), f"__id {kind}, score double")
+    out = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(by_batch(make, schema), f"{ddl}, score double")
     kept_out = F.coalesce(F.crc32(F.col("__id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return out.select(F.col("__id").alias(id_col), kept_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def rejected_rows(docs: DataFrame, compact, text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns and ``rejected``: whether the text scores 0.5 or more.
+def rejected_rows(docs: DataFrame, compact, text_col: str = "text", flag: str = "rejected") -> DataFrame:
+    """``docs`` with all its columns and ``flag``: whether the text scores 0.5 or more. A column of that name is replaced.
 
     Rows keep their own decision even if ids repeat or are null; no shuffle.
     """
     small_batches(docs.sparkSession)
+    docs = docs.drop(flag)
 
     def run(batches):
         score = _scorer(compact)
         for b in batches:
             out = [score(t or "") >= 0.5 for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.bool_())], names=[*b.schema.names, "rejected"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.bool_())], names=[*b.schema.names, flag])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(flag, BooleanType())]))
+
+
+def accepted_rows(docs: DataFrame, compact, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores below 0.5. No shuffle."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        score = _scorer(compact)
+        for b in batches:
+            yield b.filter(pa.array([score(t or "") < 0.5 for t in b.column(b.schema.get_field_index(text_col)).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("rejected", BooleanType())]))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op8_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
