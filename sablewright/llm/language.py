@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sablewright.llm.common import by_batch, held, small_batches, table
+from sablewright.llm.common import by_batch, field_of, held, small_batches, table
 
 BITS, DIM, GRAMS = 17, 16, (2, 3, 4)
-#: Labelled rows that the fit uses at most (about), and the longest text of a row that it may choose.
-FIT_ROWS, FIT_CHARS = 4_000, 50_000
+#: Labelled rows that the fit uses at most; spans of words that a row trains as, and words of a span, at most.
+FIT_ROWS, SPANS, SPAN_WORDS = 4_000, 4, 40
 CACHE_WORDS = 200_000
 _WORDS = re.compile(r"[^\W\d_]+").findall
 UNDETERMINED = "und"
@@ -86,25 +86,32 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.5, seed: int = 5, precision: float = 0.99) -> LanguageModel:
-    """The model from (text, label) rows; a tenth is kept out of training for calibration and rejection.
+def spans_of(text: str | None, seed: int = 5) -> list[str]:
+    """Up to ``SPANS`` spans of a text's words, drawn from the whole text, so that short texts are learnt as well as long ones."""
+    words = _WORDS((text or "").lower())
+    if len(words) < 8:
+        return [" ".join(words)] if words else []
+    r = np.random.default_rng([seed, zlib.crc32(text.encode("utf-8", "replace"))])
+    return [" ".join(words[a : a + int(r.integers(3, SPAN_WORDS))]) for a in r.integers(0, len(words) - 2, SPANS)]
 
-    Each row trains as up to four spans of its words, so that short texts are learnt as well as long ones.
-    """
-    rows = sorted((t or "", y) for t, y in rows)
+
+def fit(rows: list[tuple[str, str]], **how) -> LanguageModel:
+    """The model from (text, label) rows."""
+    return fit_spans([(spans_of(t), y) for t, y in rows], **how)
+
+
+def fit_spans(rows: list[tuple[list[str], str]], epochs: int = 6, rate: float = 0.5, seed: int = 5, precision: float = 0.99) -> LanguageModel:
+    """The model from (spans, label) rows; a tenth is kept out of training for calibration and rejection."""
+    rows = sorted(rows)
     labels = sorted({y for _, y in rows})
     if not labels:
         return LanguageModel([], np.zeros((1, DIM)), np.zeros((DIM, 0)), np.zeros(0), 1.0, 0.0)
     r = np.random.default_rng(seed)
     cache: dict[str, list[int]] = {}
     bags, ys, held = [], [], []
-    for i, (text, y) in enumerate(rows):
-        words = _WORDS(text.lower())
-        if not words:
-            continue
-        spans = [words] if len(words) < 8 else [words[a : a + int(r.integers(3, 40))] for a in r.integers(0, len(words) - 2, 4)]
+    for i, (spans, y) in enumerate(rows):
         for s in spans:
-            at = np.array([h for w in s for h in (cache.get(w) or cache.setdefault(w, subwords(w)))], np.int32)
+            at = np.array([h for w in s.split(" ") for h in (cache.get(w) or cache.setdefault(w, subwords(w)))], np.int32)
             bags.append(at)
             ys.append(labels.index(y))
             held.append(i % 10 == 0)
@@ -146,15 +153,27 @@ def calibrate(z: np.ndarray, y: np.ndarray, precision: float) -> tuple[float, fl
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = FIT_ROWS) -> LanguageModel:
-    """Fit on at most about ``max_rows`` rows with a label and text whose id's crc32 modulo 3 is not 1, chosen by a hash."""
-    crc = F.crc32(F.col(id_col).cast("string").cast("binary"))
-    usable = docs.select(id_col, F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang")).where(F.col("__lang").isNotNull() & F.col(id_col).isNotNull() & F.col("__text").isNotNull() & (crc % 3 != 1))
-    n = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (crc % 3 != 1)).count()
-    keep = max_rows / max(n, 1)
+    """Fit on at most ``max_rows`` rows with a label and text whose id's crc32 modulo 3 is not 1, chosen by a hash of id and text.
+
+    Texts of any length take part; only the spans that they train as leave the tasks, so what the driver gathers has a bound.
+    """
+    small_batches(docs.sparkSession)
+    crc = F.crc32(F.col("__id").cast("binary"))
+    usable = docs.select(F.col(id_col).cast("string").alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang"))
+    usable = usable.where(F.col("__lang").isNotNull() & F.col("__id").isNotNull() & (crc % 3 != 1))
+    keep = max_rows / max(usable.count(), 1)
+    usable = usable.where(F.col("__text").isNotNull())
     if keep < 1:
-        usable = usable.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(keep * (1 << 20)))
-    rows = usable.where(F.length("__text") <= FIT_CHARS).select("__text", "__lang").collect()
-    return fit([(r[0], r[1]) for r in rows])
+        # many rows may share an id, so the text counts too
+        usable = usable.where(F.xxhash64("__id", "__text").bitwiseAND(F.lit((1 << 63) - 1)) < int(keep * (1 << 63)))
+    schema = pa.schema([("h", pa.int64()), ("spans", pa.list_(pa.string())), ("lang", pa.string())])
+
+    def make():
+        return lambda cols: {"h": cols["h"], "spans": [spans_of(t) for t in cols["__text"]], "lang": cols["__lang"]}
+
+    rows = usable.select(F.xxhash64("__id", "__text").alias("h"), "__text", "__lang").mapInArrow(by_batch(make, schema), "h long, spans array<string>, lang string")
+    # repeats of one row share its hash, and may be more than the bound
+    return fit_spans([(r.spans, r.lang) for r in rows.orderBy("h").limit(max_rows).collect()])
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,8 +183,8 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     results; other columns are not carried. One narrow pass; no shuffle. The model's table has a fixed size.
     """
     small_batches(docs.sparkSession)
-    kind = dict(docs.dtypes)[id_col]
-    schema = pa.schema([pa.field("__id", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]), pa.field("lang_pred", pa.string()), pa.field("score", pa.float64()), pa.field("rejected", pa.bool_())])
+    own, ddl = field_of(docs, id_col, "__id")
+    schema = pa.schema([own, pa.field("lang_pred", pa.string()), pa.field("score", pa.float64()), pa.field("rejected", pa.bool_())])
     model._empty()
     key = zlib.crc32(model.table.tobytes() + model.bias.tobytes())
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -179,7 +198,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
         return run
 
-    out = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(by_batch(make, schema), f"__id {kind}, lang_pred string, score double, rejected boolean")
+    out = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(by_batch(make, schema), f"{ddl}, lang_pred string, score double, rejected boolean")
     kept_out = F.coalesce(F.crc32(F.col("__id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return out.select(F.col("__id").alias(id_col), kept_out.alias("held_out"), "lang_pred", "score", "rejected")
 
