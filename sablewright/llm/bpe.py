@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sablewright.llm.common import by_batch, held, small_batches
+from sablewright.llm.common import by_batch, field_of, held, small_batches
 
 #: Pieces whose ids, and pairs of tokens whose borders, a worker keeps; beyond it the memory is emptied, which changes no result.
 CACHE_PIECES, CACHE_PAIRS = 150_000, 200_000
@@ -252,12 +252,11 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     whole text is encoded, in memory proportional to the longest text. One narrow pass; no shuffle.
     """
     small_batches(docs.sparkSession)
-    kind = dict(docs.dtypes)[id_col]
+    own, id_ddl = field_of(docs, id_col, "__id")
     fields = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
     if with_ids:
         fields.append(pa.field("ids", pa.list_(pa.int32())))
-    ids = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    schema = pa.schema([pa.field("__id", ids), *fields])
+    schema = pa.schema([own, *fields])
 
     def make():
         c = codec(path, pattern)
@@ -277,7 +276,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
 
         return run
 
-    ddl = f"__id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    ddl = f"{id_ddl}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     out = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(by_batch(make, schema), ddl)
     return out.withColumnRenamed("__id", id_col)
 

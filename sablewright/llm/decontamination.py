@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sablewright.llm.common import settled, small_batches, table
+from sablewright.llm.common import field_of, settled, small_batches, table
 from sablewright.llm.words import hashed, words_of
 
 #: Bits of a word's code; bits of the latent space's buckets; its rank and what the sketch has beyond it; words in a passage.
@@ -281,14 +281,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     small_batches(spark)
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    kind, item_kind = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
+    (own, own_ddl), (item, item_ddl) = field_of(docs, id_col, "__id"), field_of(benchmark, item_col, "__item")
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    coded = settled(source.mapInArrow(_coded(kinds[kind]), f"__id {kind}, __text string, codes binary"))
+    coded = settled(source.mapInArrow(_coded(own.type), f"{own_ddl}, __text string, codes binary"))
     idf = passage_idf(coded)
     space = latent_space(coded, idf)
-    schema = pa.schema([("__id", kinds[kind]), ("__item", kinds[item_kind]), ("cosine", pa.float64()), ("common_share", pa.float64()), ("first_word", pa.int64())])
-    ddl = f"__id {kind}, __item {item_kind}, cosine double, common_share double, first_word bigint"
+    schema = pa.schema([own, item, ("cosine", pa.float64()), ("common_share", pa.float64()), ("first_word", pa.int64())])
+    ddl = f"{own_ddl}, {item_ddl}, cosine double, common_share double, first_word bigint"
     blocks = max(1, math.ceil(benchmark.count() / block_items))
     out = None
     for k in range(blocks):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sablewright.llm.boosting import BoostedTrees, isotonic, threshold_for
-from sablewright.llm.common import by_batch, small_batches
+from sablewright.llm.common import by_batch, field_of, small_batches
 
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("secret", "local_phone", "national_id", "iban", "account", "written_email")
@@ -268,8 +268,8 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def _map(docs: DataFrame, ddl: str, fields: list[pa.Field], id_col: str, text_col: str, row) -> DataFrame:
     small_batches(docs.sparkSession)
-    kind = dict(docs.dtypes)[id_col]
-    schema = pa.schema([pa.field("__id", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]), *fields])
+    own, id_ddl = field_of(docs, id_col, "__id")
+    schema = pa.schema([own, *fields])
     m = model()
 
     def make():
@@ -279,7 +279,7 @@ def _map(docs: DataFrame, ddl: str, fields: list[pa.Field], id_col: str, text_co
 
         return run
 
-    out = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(by_batch(make, schema), f"__id {kind}, {ddl}")
+    out = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(by_batch(make, schema), f"{id_ddl}, {ddl}")
     return out.withColumnRenamed("__id", id_col)
 
 

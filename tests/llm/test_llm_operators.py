@@ -345,6 +345,43 @@ def test_toxicity_edges(spark):
     assert toxicity.rejected_rows(odd(spark), c).columns == [*odd(spark).columns, "rejected"]
 
 
+def test_toxicity_without_both_classes(spark):
+    """Labels of one class, or none, reject nothing."""
+    for rows in ([], [("a b c", 0)] * 9, [("a b c", 1)] * 9):
+        c = toxicity.fit(rows)
+        assert toxicity.Scorer(c).score("a b c") < 0.5 and toxicity.Scorer(c).score("") < 0.5
+    docs = odd(spark)
+    none = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert toxicity.accepted_rows(docs.withColumn("rejected", F.lit("x")), none).count() == docs.count()
+
+
+def test_fit_rows_are_bounded(spark):
+    """One id repeated very often does not go beyond the bound, and long texts take part."""
+    one, two = [i for i in range(1, 100) if zlib.crc32(str(i).encode()) % 3 != 1 and zlib.crc32(str(i).encode()) % 5][:2]
+    docs = spark.createDataFrame([(one, f"words of row {k}", "en") for k in range(500)] + [(two, LONG + " awful", "en")], "doc_id long, text string, lang string")
+    seen = []
+    keep, toxicity.fit_features = toxicity.fit_features, seen.extend
+    try:
+        toxicity.train(docs, spark.createDataFrame([(one, 0), (two, 1)], "doc_id long, toxic int"), max_rows=20)
+        assert len(seen) == 20
+        seen.clear()
+        toxicity.train(docs.where(F.col("doc_id") == two), spark.createDataFrame([(two, 1)], "doc_id long, toxic int"))
+        assert [(x.tolist(), y) for x, y in seen] == [(toxicity.positions(toxicity.Features(), LONG + " awful").tolist(), 1)]
+    finally:
+        toxicity.fit_features = keep
+    assert language.train(docs, max_rows=20).labels == ["en"]
+
+
+def test_ids_of_other_types(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.co now", "en"), (None, None, None)], "doc_id long, text string, lang string")
+    for kind in ("smallint", "decimal(20,0)", "string", "date"):
+        d = docs.withColumn("doc_id", F.lit("2020-01-02").cast("date") if kind == "date" else F.col("doc_id").cast(kind))
+        none = toxicity.train(d, d.select("doc_id", F.lit(1).alias("toxic")))
+        for out in (pii.find_spans(d), bpe.encode_texts(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), language.identify(d, language.train(d)), toxicity.score_texts(d, none), html.extract(d, "doc_id", "text", ())):
+            assert out.schema["doc_id"].dataType == d.schema["doc_id"].dataType and sorted(map(repr, out.select("doc_id").collect())) == sorted(map(repr, d.select("doc_id").collect()))
+        assert decontamination.contaminated(d, d.select(F.col("doc_id").alias("item_id"), "text")).schema["doc_id"].dataType == d.schema["doc_id"].dataType
+
+
 # --- op7
 
 
@@ -438,6 +475,21 @@ def test_named_parts():
     assert html.main_text(f"<div class='content'>{STORY}<div class='promo'><p>Buy now, and buy more.</p></div></div>") == want
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "with-nav", "comments-open", "commentary", "promontory", "hasSidebar"])
+def test_other_words(name):
+    """Words that only begin like a pruned one, and states of other elements, prune nothing, however small the element."""
+    page = "<body><article>{}<div class='{}'><p>A few words, in brief.</p></div></article></body>"
+    assert html.main_text(page.format(STORY, name)) == html.main_text(page.format(STORY, "x"))
+    assert html.main_text(page.format(STORY, "comments")) == html.main_text(f"<body><article>{STORY}</article></body>")
+
+
+@pytest.mark.parametrize("page", ["<form>{}</form>", "<form id=aspnet><div>{}</div></form>", "<form><article>{}</article></form>", "<form><input name=q><div class=content>{}</div><button>Go</button></form>"])
+def test_page_wide_form(page):
+    want = html.main_text(f"<body><article>{STORY}</article></body>")
+    assert html.main_text(f"<body><nav>Home</nav>{page.format(STORY)}</body>") == want
+    assert html.main_text(f"<body><article>{STORY}</article><form><p>Your mail, please, to go on.</p><label>Name</label></form></body>") == want
+
+
 def test_html_edges(spark):
     df = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "u", "<p>x</p>"), (2, None, "<b>" * 20000 + "deep" + "<p>" * 3000)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = [(r.page_id, r.url, r.text, r.n_chars) for r in html.extract(df).collect()]

@@ -84,6 +84,16 @@ def test_op8(spark, sf):
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.5) for i, r in rows.items())
 
 
+def test_op8_labels(spark):
+    """On a larger table, the labels of held-out documents are found again."""
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").collect()}
+    held = [(labels[r["doc_id"]], r["predicted"]) for r in run(spark, sf, "op8_ftrl_toxicity") if r["held_out"] and r["doc_id"] in labels]
+    toxic, clean = [p for y, p in held if y], [p for y, p in held if not y]
+    print(sum(toxic), len(toxic), sum(clean), len(clean))
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.02 * len(clean)
+
+
 def test_op7(spark, sf, texts):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     flat = lambda t: re.findall(rb"[a-z0-9\x80-\xff]+", t.lower().encode())
