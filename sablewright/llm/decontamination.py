@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from sablewright.llm.common import field_of, settled, small_batches, table
 from sablewright.llm.words import hashed, words_of
@@ -181,8 +182,8 @@ def common_weight(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> float:
 
 
 def window_size(words: int) -> int:
-    """The window for an item of so many words: a multiple of the step, at most about a quarter longer than the item."""
-    size = max(16, -(-words // STEP) * STEP)
+    """The window for a question of so many words: a multiple of the step, at most about a quarter longer than a long one."""
+    size = -(-max(words, 1) // STEP) * STEP
     while size & (size - 1) and size > 64 and (low := size & -size) < size // 8:
         size += low
     return size
@@ -193,7 +194,7 @@ class Items:
 
     def __init__(self, rows: list[tuple], idf: np.ndarray, space: np.ndarray, share: float, cosine: float):
         self.share, self.cosine, self.idf, self.space, self.mask = share, cosine, idf, space, np.uint16(len(space) - 1)
-        self.ids, self.words, self.weight, self.answer, codes = [], [], [], [], []
+        self.ids, self.words, self.weight, self.answer, self.reach, codes = [], [], [], [], [], []
         by_size: dict[int, list[int]] = {}
         for item, text in rows:
             question, answer = (words_of(x) for x in answer_of(text or ""))
@@ -201,8 +202,10 @@ class Items:
             if not question:
                 continue
             c = codes_of([b" ".join(question).decode("utf-8", "replace")])[0]
-            by_size.setdefault(window_size(len(question) + len(answer)), []).append(len(self.ids))
+            by_size.setdefault(window_size(len(question)), []).append(len(self.ids))
             self.ids.append(item)
+            # an answer may stand before or after the question, with some words between
+            self.reach.append(len(answer) + STEP if answer else 0)
             self.words.append(question)
             self.weight.append(idf[c].astype(np.float64) ** 2 + 1e-6)
             self.answer.append(set(answer))
@@ -229,7 +232,7 @@ class Items:
             return
         for size, (items, vectors, energy) in self.by_size.items():
             mass = np.concatenate(([0.0], np.cumsum(energy[codes])))
-            step = max(STEP, size // 64 * STEP)
+            step = STEP // 2 if size == STEP else max(STEP, size // 64 * STEP)
             count = np.where(length > 0, np.maximum(1, -(-(length - size // 2) // step)), 0)
             text = np.repeat(np.arange(len(texts)), count)
             starts = (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * step
@@ -263,7 +266,7 @@ class Items:
             if split[0] != t:
                 split = t, words_of(texts[t] or "")
             here, own = split[1][lo:hi], self.words[i]
-            if not self.answer[i] <= set(here):
+            if not self.answer[i] <= set(split[1][max(0, lo - self.reach[i]) : hi + self.reach[i]]):
                 continue
             number = {w: k for k, w in enumerate(dict.fromkeys(own))}
             got = common_weight(np.array([number[w] for w in own]), np.array([number[w] for w in here if w in number]), self.weight[i]) / self.energy[i]
@@ -272,27 +275,34 @@ class Items:
         return found
 
 
+def _blocks(coded: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, share: float, cosine: float, block_items: int) -> Iterator:
+    """Blocks of different (item, text) rows, each ready and sent to the tasks. Statistics and space come from all of ``coded``."""
+    spark = coded.sparkSession
+    rows = benchmark.select(F.col(item_col).alias("__item"), F.col(item_text_col).alias("__text")).where("__text is not null").distinct()
+    blocks = max(1, math.ceil(rows.count() / block_items))
+    idf = passage_idf(coded)
+    space = latent_space(coded, idf)
+    for k in range(blocks):
+        # ids may repeat or be null; their texts differ
+        block = rows.where(F.pmod(F.xxhash64("__item", "__text"), F.lit(blocks)) == k).collect()
+        yield spark.sparkContext.broadcast(Items(sorted((tuple(r) for r in block), key=str), idf, space, share, cosine))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE, cosine: float = COSINE, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """One row for each document and benchmark item found in it: both ids, ``cosine``, ``common_share``, ``first_word``.
 
     Whole documents are searched; null texts count as empty and never match, items without words match nothing. Repeated
-    rows give repeated results. Other columns are not carried. Empty tables give an empty result. Statistics and the
-    latent space come from all of ``docs``.
+    rows of ``docs`` give repeated results, those of ``benchmark`` count once. Other columns are not carried. Empty tables
+    give an empty result. Statistics and the latent space come from all of ``docs``.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     (own, own_ddl), (item, item_ddl) = field_of(docs, id_col, "__id"), field_of(benchmark, item_col, "__item")
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     coded = settled(source.mapInArrow(_coded(own.type), f"{own_ddl}, __text string, codes binary"))
-    idf = passage_idf(coded)
-    space = latent_space(coded, idf)
     schema = pa.schema([own, item, ("cosine", pa.float64()), ("common_share", pa.float64()), ("first_word", pa.int64())])
     ddl = f"{own_ddl}, {item_ddl}, cosine double, common_share double, first_word bigint"
-    blocks = max(1, math.ceil(benchmark.count() / block_items))
     out = None
-    for k in range(blocks):
-        rows = benchmark.where(F.pmod(F.xxhash64(item_col), F.lit(blocks)) == k).select(item_col, item_text_col).collect()
-        sent = spark.sparkContext.broadcast(Items(sorted((tuple(r) for r in rows), key=str), idf, space, share, cosine))
+    for sent in _blocks(coded, benchmark, item_col, item_text_col, share, cosine, block_items):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = sent.value
@@ -307,5 +317,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.select(F.col("__id").alias(id_col), F.col("__item").alias(item_col), "cosine", "common_share", "first_word")
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", share: float = SHARE, cosine: float = COSINE, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no item of ``benchmark`` is found; each row by its own text.
+
+    Null and empty texts stay. Nothing is joined or shuffled but the statistics. Columns whose names begin with ``__`` are
+    not carried.
+    """
+    small_batches(docs.sparkSession)
+    docs = docs.select(*(c for c in docs.columns if not c.startswith("__")))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                codes = [c.tobytes() for c in codes_of(b.column(b.schema.get_field_index(text_col)).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes, pa.binary())], names=[*b.schema.names, "__codes"])
+
+    coded = settled(docs.mapInArrow(code, StructType([*docs.schema.fields, StructField("__codes", BinaryType())])))
+    out, n = coded, len(docs.columns)
+    for sent in _blocks(coded.select(F.col("__codes").alias("codes")), benchmark.withColumn("__none", F.lit(0)), "__none", item_text_col, share, cosine, block_items):
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            items = sent.value
+            for b in batches:
+                found = items.search(b.column(b.schema.get_field_index(text_col)).to_pylist(), [np.frombuffer(c.as_buffer(), np.uint16) for c in b.column(n)])
+                yield b.filter(pa.array([not x for x in found], pa.bool_()))
+
+        out = out.mapInArrow(run, coded.schema)
+    return out.select(*docs.columns)
+
+
 def op7_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
