@@ -94,18 +94,24 @@ class Ftrl:
         return at.astype(np.int32), w[at].astype(np.float32), float(self.bias)
 
 
-def best_shift(z: np.ndarray, y: np.ndarray) -> float:
+#: The least share of toxic rows among those at or above the raw score that counts as the border.
+LEAST_PRECISION = 0.5
+
+
+def best_shift(z: np.ndarray, y: np.ndarray) -> float | None:
     """The raw score that separates two classes with the best F1; of equally good ones the middle of the widest gap.
 
-    0 if a class is missing.
+    None if a class is missing or no border has the least precision: the scores tell nothing then.
     """
     if not y.any() or y.all():
-        return 0.0
+        return None
     order = np.argsort(-z, kind="stable")
     z, y = z[order], y[order]
     hits = np.cumsum(y)
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    cut = np.append(z[:-1] != z[1:], True)
+    cut = np.append(z[:-1] != z[1:], True) & (hits >= LEAST_PRECISION * np.arange(1, len(y) + 1)) & (np.arange(1, len(y) + 1) < len(y))
+    if not cut.any():
+        return None
     after = np.append(z[1:], z[-1] - 2)
     best = np.flatnonzero(cut & (f1 >= f1[cut].max() - 1e-12))
     k = max(best, key=lambda i: z[i] - after[i])
@@ -117,15 +123,17 @@ def fit_features(found: list[tuple[np.ndarray, int]], epochs: int = 3, seed: int
 
     As few texts are toxic, the raw score that separates the classes best lies below 0. It is found on scores that models
     trained without a fold of the rows give to that fold; the bias is shifted so that a probability of 0.5 stands there.
-    Rows of one class alone, or none, teach nothing: all texts then score the same, below 0.5, so that nothing is rejected.
+    Rows of one class alone, too few rows, or none, teach nothing: all texts then score the same, below 0.5, so that nothing
+    is rejected.
     """
     found = sorted(found, key=lambda x: (x[0].tobytes(), x[1]))
     y = np.array([y > 0 for _, y in found], int)
     r = np.random.default_rng(seed)
     order = r.permutation(len(found))
+    prior = min((y.sum() + 1) / (len(y) + 4), 0.25)
+    nothing = np.zeros(0, np.int32), np.zeros(0, np.float32), math.log(prior / (1 - prior))
     if not 0 < y.sum() < len(y):
-        prior = min((y.sum() + 1) / (len(y) + 4), 0.25)
-        return np.zeros(0, np.int32), np.zeros(0, np.float32), math.log(prior / (1 - prior))
+        return nothing
 
     def learnt(rows: np.ndarray) -> Ftrl:
         model = Ftrl()
@@ -139,8 +147,11 @@ def fit_features(found: list[tuple[np.ndarray, int]], epochs: int = 3, seed: int
         model = learnt(order[np.arange(len(order)) % folds != k])
         for i in order[k::folds]:
             z[i] = model.bias + model.weights(found[i][0]).sum()
+    shift = best_shift(z, y)
+    if shift is None:
+        return nothing
     at, w, bias = learnt(order).compact()
-    return at, w, bias - best_shift(z, y)
+    return at, w, bias - shift
 
 
 def fit(rows: list[tuple[str, int]], epochs: int = 3, seed: int = 11) -> tuple[np.ndarray, np.ndarray, float]:
