@@ -8,40 +8,48 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sablewright.llm.bpe import encode_texts
 from sablewright.llm.common import by_batch, settled, small_batches, table
-from sablewright.llm.decontamination import contaminated
-from sablewright.llm.near_duplicates import jaccard_classes
+from sablewright.llm.decontamination import uncontaminated
+from sablewright.llm.near_duplicates import one_of_each
 from sablewright.llm.pii import base_spans, model, redact
-from sablewright.llm.toxicity import rejected_rows, train
+from sablewright.llm.toxicity import accepted_rows, train
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below 0.5 stay; the model learns from the labels of documents that are still there."""
-    return rejected_rows(docs, train(docs, table(spark, sf_dir, "labels"))).where("not rejected").select(*COLUMNS)
+    """Documents scored below 0.5 stay; the model learns from the labels of documents that are still there.
+
+    Without labels of both classes nothing goes. Null texts count as empty; every row, repeated ones and those with a null
+    id too, is judged by its own text.
+    """
+    return accepted_rows(docs.select(*COLUMNS), train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least id stays; rows that repeat an id count once."""
-    classes = jaccard_classes(docs).where("class_id is not null and class_id <> doc_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(classes, "doc_id", "left_anti")
-    # repeated rows of one id are copies of each other; rows without an id are not
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id is null")).select(*COLUMNS)
+    """Of each class of near duplicates the document with the least id stays.
+
+    Rows that share an id are judged each by its own text; of rows that repeat id and text one stays. Rows with a null id
+    and texts without words belong to no class and stay.
+    """
+    return one_of_each(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    hits = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").where("doc_id is not null").distinct()
-    return docs.select(*COLUMNS).join(hits, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts stay. Every row, repeated ones and those with a null id too, is judged by its own text.
+    """
+    return uncontaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; its personal data are replaced by their kinds."""
+    """Every document stays; its personal data are replaced by their kinds.
+
+    Null and empty texts, and the counts of unchanged ones, stay as they are; rows are independent of each other.
+    """
     small_batches(spark)
     m = model()
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])
@@ -66,7 +74,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document."""
+    """The token ids of every document; a null text has none. Rows are independent of each other."""
     import public_tokenizers as P
 
     return encode_texts(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, with_ids=True)
