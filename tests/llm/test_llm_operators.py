@@ -346,8 +346,8 @@ def test_toxicity_edges(spark):
 
 
 def test_toxicity_without_both_classes(spark):
-    """Labels of one class, or none, reject nothing."""
-    for rows in ([], [("a b c", 0)] * 9, [("a b c", 1)] * 9):
+    """Labels of one class, none, too few, or such that say nothing, reject nothing."""
+    for rows in ([], [("a b c", 0)] * 9, [("a b c", 1)] * 9, [("a b c", 1), ("b c d", 0)], [("a b c", k % 2) for k in range(40)], [("a b c d", int(k == 0)) for k in range(25)]):
         c = toxicity.fit(rows)
         assert toxicity.Scorer(c).score("a b c") < 0.5 and toxicity.Scorer(c).score("") < 0.5
     docs = odd(spark)
@@ -412,6 +412,23 @@ def test_decontamination_paraphrase(spark):
     assert decontamination.contaminated(empty(spark), b).count() == 0 and decontamination.contaminated(df, b.limit(0)).count() == 0
 
 
+def test_long_answers_short_items_and_shared_ids(spark):
+    """Word-for-word copies are found also if the answer is much longer than the question, the item short, or ids shared or null."""
+    r = random.Random(12)
+    say = lambda n: " ".join("w%dx" % r.randrange(4000) for _ in range(n))
+    items = [(1, say(12) + "? Answer: " + say(60)), (None, say(6)), (None, say(9)), (4, say(30)), (4, say(25)), (4, None)]
+    docs = [(k, f"{say(r.randint(5, 90))} {t} {say(r.randint(5, 90))}") for k, (_, t) in enumerate(items) if t] + [(k, say(150)) for k in range(90, 130)]
+    docs += [(90, docs[0][1]), (None, docs[3][1]), (None, say(50)), (91, None), (91, "")]
+    b = spark.createDataFrame(items * 2, "item_id long, text string")
+    df = odd(spark, docs)
+    for block in (2, 50):
+        got = sorted((r.doc_id is None, r.doc_id or 0, r.item_id or 0) for r in decontamination.contaminated(df, b, block_items=block).collect())
+        assert got == [(False, 0, 1), (False, 1, 0), (False, 2, 0), (False, 3, 4), (False, 4, 4), (False, 90, 1), (True, 0, 4)]
+        left = decontamination.uncontaminated(df.drop("__id"), b, block_items=block)
+        assert left.columns == df.drop("__id").columns
+        assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == sorted((i or 0, t or "") for k, (i, t) in enumerate(docs) if k not in (0, 1, 2, 3, 4, 45, 46))
+
+
 def test_pruning_loses_nothing():
     r = np.random.default_rng(2)
     idf = r.uniform(1, 8, 1 << 16).astype(np.float32)
@@ -537,10 +554,10 @@ def near_rows(seed, groups, most):
     return rows
 
 
-@pytest.mark.parametrize("block_sets", [1500, 4])
-def test_jaccard_random(spark, block_sets):
+@pytest.mark.parametrize("few,block_sets", [(8, 1500), (1, 1500), (1, 4), (3, 4), (99, 4)])
+def test_jaccard_random(spark, few, block_sets):
     rows = near_rows(4, 25, 14)
-    got = near_duplicates.jaccard_classes(odd(spark, rows), block_sets=block_sets)
+    got = near_duplicates.jaccard_classes(odd(spark, rows), few=few, block_sets=block_sets)
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in got.collect()) == brute_classes(rows)
 
 
@@ -550,6 +567,35 @@ def test_jaccard_edges(spark):
     assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in got} == {(1, 1, 2), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 1, 2), (None, None, 0), (7, 7, 0), (8, 8, 0), (9, 9, 0)}
     assert near_duplicates.jaccard_classes(empty(spark)).count() == 0
     assert near_duplicates.bands_for(0.8, 0.9999, 7) == 40
+    assert near_duplicates.bands_and_rows(0.8, 0.999999, 448) == (59, 7) and near_duplicates.bands_and_rows(0.8, 0.999999, 700)[1] == 8
+
+
+def test_jaccard_words_are_told_apart(spark):
+    """Two words of one length whose checksums are equal are still two words."""
+    assert zlib.crc32(b"uejgtcuo") == zlib.crc32(b"iiwucoup")
+    rows = [(k, " ".join(w if x == "_" else x for x in "a _ b c _ d e f _ g h".split())) for k, w in enumerate(("uejgtcuo", "iiwucoup"))]
+    assert {r.class_id for r in near_duplicates.jaccard_classes(odd(spark, rows)).collect()} == {0, 1}
+
+
+@pytest.mark.parametrize("few", [8, 1])
+def test_jaccard_shared_ids(spark, few):
+    """Rows that share an id link each for itself, and the least id of a class may be shared by several classes."""
+    rows = [(i // 3, t) for i, t in near_rows(8, 15, 6)]
+    got = near_duplicates.jaccard_classes(odd(spark, rows), few=few)
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got.collect()) == brute_classes(rows)
+
+
+def test_one_of_each(spark):
+    r = random.Random(3)
+    say = lambda n: " ".join("w%d" % r.randrange(900) for _ in range(n))
+    a, b, c = say(90), say(90), say(90)
+    near = a.replace(a.split()[20], "other", 1)
+    rows = [(1, a), (2, near), (2, b), (2, b), (3, c), (3, say(9)), (4, b + " more"), (5, a), (None, a), (None, a), (6, ""), (6, ""), (6, None), (7, "  "), (8, c), (8, c)]
+    got = near_duplicates.one_of_each(odd(spark, rows))
+    assert got.columns == odd(spark, rows).columns
+    want = [(1, a), (2, b), (3, c), (3, rows[5][1]), (None, a), (None, a), (6, ""), (7, "  ")]
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted((i or 0, t or "") for i, t in want)
+    assert near_duplicates.one_of_each(empty(spark)).count() == 0
 
 
 def test_components_random(spark):
