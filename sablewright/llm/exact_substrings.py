@@ -5,15 +5,22 @@ is not needed for that: of each such window one anchor is selected, its least q-
 window alone. Equal windows have equal anchors at equal offsets, so only suffixes around anchors that repeat are
 sorted.
 
-1. Every document gives one row for each anchor: the anchor's hash, a hash of the context (the bytes of all windows it
+1. Rows are sorted by id, those of one id (or none) by text, and numbered in that order; so every row is a document of its
+   own, and earlier means a lesser number.
+2. Every document gives one row for each anchor: the anchor's hash, a hash of the context (the bytes of all windows it
    was selected for) and the place. Copies within a task are settled there. Rows meet by anchor, sorted: a context that
-   stood earlier is removed as a whole, and the first places of different contexts of one anchor go on.
-2. These contexts meet by anchor as bytes. What is left of the anchor (reversed) and what follows it are sorted by
+   stood earlier is removed as a whole, and the first places of different contexts of one anchor go on. Contexts are taken
+   for equal if 104 bits of hashes are (40 of the anchor, 64 of the context): among 10**13 contexts two unlike ones agree
+   with a chance of about 10**-6.
+3. These contexts meet by anchor as bytes. What is left of the anchor (reversed) and what follows it are sorted by
    multikey quicksort and blind tries; the prefixes that neighbours share tell, for each offset, which windows are equal.
-3. The ranges of each document are joined with its text.
+   No hash decides here.
+4. The ranges of each document are joined with its text.
 
-Anchors with very many different contexts are dealt out by context instead (step 1) and by window digest (step 2), so
-that no task gets them whole.
+Anchors with very many different contexts are split by content, so that no task gets them whole: in step 2 they are dealt
+out by context; in step 3 the windows' offsets are halved, and each half meets by the longer string that all its windows
+share, again and again while a group is too large. It is sorted as any other then. At the end of that stands one offset,
+and a group is one window, of which all but the first place are later.
 """
 
 from __future__ import annotations
@@ -23,16 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sablewright.llm.common import settled, small_batches, table
+from sablewright.llm.common import field_of, settled, small_batches, table
 from sablewright.llm.suffixes import deep_shallow_sort
 from sablewright.llm.words import _BYTE, _powers
 
 LENGTH, GRAM = 100, 24
-#: Different contexts of an anchor in one task from which on it is dealt out by context; and in all, by window.
+#: Different contexts of an anchor in one task from which on it is dealt out by context; contexts of a group that are sorted together at most.
 HOT_IN_TASK, HOT = 256, 20_000
 #: Rows of a batch of thin rows; rows that a task of step 1 holds for settling copies.
 THIN_ROWS, HELD = 50_000, 400_000
@@ -112,10 +121,11 @@ def _places(length: int, gram: int, hot_in_task: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        unpack = zstandard.ZstdDecompressor().decompress
         with np.errstate(over="ignore"):
             for b in batches:
-                for key, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    a, c, p, lo, hi = anchors((t.as_py() or "").encode("utf-8", "replace"), length, gram)
+                for key, z in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    a, c, p, lo, hi = anchors(unpack(z.as_py()), length, gram)
                     if len(a):
                         low = (a.astype(np.int64) << 24) | ((p - lo) << 8) | (hi - lo)
                         held.append(np.stack([low, c.view(np.int64), np.full(len(a), key, np.int64), lo]))
@@ -172,9 +182,18 @@ def _meet(length: int):
     return run
 
 
-def _contexts(length: int):
+#: A context in a group: the group, whose windows have anchors at offsets from ``lo`` to ``hi``, and the bytes from ``start`` to the end of the window at ``end``.
+_CONTEXT = pa.schema([("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("doc", pa.int64()), ("start", pa.int64()), ("place", pa.int64()), ("end", pa.int64()), ("bytes", pa.binary())])
+_CONTEXT_DDL = "key long, lo int, hi int, doc long, start long, place long, end long, bytes binary"
+
+
+def _rows(out: list[tuple], schema: pa.Schema, most: int = 20_000) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(out), most):
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out[k : k + most], strict=True), schema, strict=True)], schema=schema)
+
+
+def _contexts(length: int, gram: int):
     """The bytes of the contexts to compare, cut from their documents."""
-    schema = pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("place", pa.int64()), ("end", pa.int64()), ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -182,47 +201,62 @@ def _contexts(length: int):
             out = []
             for doc, z, places in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 data = unpack(z.as_py())
-                out += [(x["anchor"], doc, x["start"], x["place"], x["end"], data[x["start"] : x["end"] + length]) for x in places]
-            for k in range(0, len(out), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out[k : k + 20_000], strict=True), schema, strict=True)], schema=schema)
+                out += [(x["anchor"], 0, length - gram, doc, x["start"], x["place"], x["end"], data[x["start"] : x["end"] + length]) for x in places]
+            yield from _rows(out, _CONTEXT)
+
+    return run
+
+
+def _halved(length: int):
+    """Contexts in two groups of half the offsets each, where they have windows there; a group shares what all its windows hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for _, lo, hi, doc, start, place, end, context in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                middle = (lo + hi) // 2
+                for x, y in ((lo, middle), (middle + 1, hi)):
+                    if place - end <= y and place - start >= x:
+                        core = context[place - x - start : place + length - y - start]
+                        out.append((xxhash.xxh64_intdigest(core, x << 16 | y) - (1 << 63), x, y, doc, start, place, end, context))
+            yield from _rows(out, _CONTEXT)
 
     return run
 
 
-def _sorted_windows(length: int, gram: int):
-    """From contexts sorted by anchor, document and place: the ranges of windows that stand earlier."""
+def _sorted_windows(length: int):
+    """From contexts sorted by group, document and place: the ranges of windows that stand earlier."""
     schema = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
     def compare(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        anchor, doc, start, place, end, context = zip(*rows, strict=True)
+        key, lo, hi, doc, start, place, end, context = zip(*rows, strict=True)
         n = len(rows)
         cls = {}
         for side in ("left", "right"):
             order, shared, k = [], [], 0
             while k < n:
                 j = k
-                while j < n and anchor[j] == anchor[k]:
+                while j < n and key[j] == key[k]:
                     j += 1
                 cut = [context[i][: place[i] - start[i]][::-1] if side == "left" else context[i][place[i] - start[i] :] for i in range(k, j)]
                 o, s = deep_shallow_sort(cut)
                 order += [k + i for i in o]
-                shared += [-1, *s[1:]]  # the first of an anchor shares nothing with the one before
+                shared += [-1, *s[1:]]  # the first of a group shares nothing with the one before
                 k = j
             cls[side] = np.array(order), np.array(shared)
-        doc, start, place, end = (np.array(x, np.int64) for x in (doc, start, place, end))
-        # several contexts may begin at the same place of a document whose rows repeat; the same window is not earlier
+        lo, hi, doc, start, place, end = (np.array(x, np.int64) for x in (lo, hi, doc, start, place, end))
         dup = np.zeros((n, length), bool)
-        for offset in range(length - gram + 1):
-            here = np.flatnonzero((place - offset >= start) & (place - offset <= end))
+        for offset in range(int(lo.min()), int(hi.max()) + 1):
+            here = np.flatnonzero((place - offset >= start) & (place - offset <= end) & (lo <= offset) & (offset <= hi))
             if len(here) < 2:
                 continue
-            key = np.zeros(n, np.int64)
+            same = np.zeros(n, np.int64)
             for side, need in (("left", offset), ("right", length - offset)):
                 order, shared = cls[side]
                 of = np.empty(n, np.int64)
                 of[order] = np.cumsum(shared < need)
-                key = key * (n + 1) + of
-            _, first, back = np.unique(key[here], return_index=True, return_inverse=True)
+                same = same * (n + 1) + of
+            _, first, back = np.unique(same[here], return_index=True, return_inverse=True)
             lead = here[first][back]
             dup[here, offset] = (doc[here] != doc[lead]) | (place[here] != place[lead])
         if not dup.any():
@@ -249,19 +283,28 @@ def _sorted_windows(length: int, gram: int):
     return run
 
 
-def _windows(length: int):
-    """A row for each window of a context, with its digest; for anchors that have too many contexts for one task."""
-    schema = pa.schema([("digest", pa.binary()), ("doc", pa.int64()), ("start", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for doc, start, end, context in zip(*(b.column(k).to_pylist() for k in (1, 2, 4, 5)), strict=True):
-                out += [(hashlib.md5(context[k : k + length]).digest(), doc, start + k) for k in range(end - start + 1)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+def equal_windows(contexts: DataFrame, length: int, hot: int) -> DataFrame:
+    """(``doc``, ``start``, ``end``) of the windows in ``contexts`` that stand earlier in their group.
 
-    return run
+    Groups of more than ``hot`` contexts are halved by offset first; each round doubles their rows at most, and there are as
+    many rounds as the offsets can be halved.
+    """
+    found = None
+    while True:
+        size = contexts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        size = settled(size.select("key", (F.col("n") > hot).alias("large")))
+        few = contexts.join(size.where("not large").select("key"), "key", "left_semi")
+        part = few.repartition("key").sortWithinPartitions("key", "doc", "start").mapInArrow(_sorted_windows(length), "doc long, start long, end long")
+        found = settled(part if found is None else found.unionByName(part))
+        many = contexts.join(size.where("large").select("key"), "key", "left_semi").select(*contexts.columns)
+        if many.isEmpty():
+            return found
+        # one offset: the members of a group are places of one window
+        whole = many.where("lo = hi").select(F.expr(f"substring(bytes, cast(place - lo - start as int) + 1, {length})").alias("window"), "doc", (F.col("place") - F.col("lo")).alias("start"))
+        first = whole.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("first"))
+        later = whole.join(first, "window").where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
+        found = found.unionByName(later.select("doc", "start", (F.col("start") + length).alias("end")))
+        contexts = settled(many.where("lo < hi").mapInArrow(_halved(length), _CONTEXT_DDL))
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -275,22 +318,29 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=1).compress
-    schema = pa.schema([("doc", pa.int64()), ("z", pa.binary())])
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack((t.as_py() or "").encode("utf-8", "replace")) for t in b.column(1)], pa.binary())], schema=schema)
+def _numbered(own: pa.Field):
+    """Rows in order get ascending numbers: the partition's and their own in it. Texts leave packed."""
+    schema = pa.schema([("doc", pa.int64()), own, ("z", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        at = TaskContext.get().partitionId() << 36
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(range(at, at + b.num_rows), pa.int64()), b.column(0), pa.array([pack((t.as_py() or "").encode("utf-8", "replace")) for t in b.column(1)], pa.binary())], schema=schema)
+            at += b.num_rows
+
+    return run
 
 
-def _kept(with_text: bool):
-    fields = [("doc", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
+def _kept(own: pa.Field, with_text: bool):
+    fields = [own, ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     schema = pa.schema(fields + [("kept", pa.binary())] * with_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             out = []
-            for doc, z, ranges in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            for key, z, ranges in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 data = unpack(z.as_py())
                 runs = merged([(r["start"], r["end"]) for r in ranges or ()])
                 parts, at = [], 0
@@ -298,54 +348,46 @@ def _kept(with_text: bool):
                     parts.append(data[at:a])
                     at = e
                 kept = b"".join([*parts, data[at:]])
-                row = (doc, len(data), sum(e - a for a, e in runs), len(runs), hashlib.sha256(kept).hexdigest())
+                row = (key, len(data), sum(e - a for a, e in runs), len(runs), hashlib.sha256(kept).hexdigest())
                 out.append((*row, kept) if with_text else row)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            yield from _rows(out, schema, 100_000)
 
     return run
 
 
-#: Stands for a null id inside; it comes before all ids.
-_NULL_ID = -(1 << 63)
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot_in_task: int = HOT_IN_TASK, hot: int = HOT, with_text: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, and ``kept`` bytes if asked.
 
-    A null text counts as empty; texts shorter than ``length`` lose nothing. Earlier means a smaller id (null first) or
-    the same id and an earlier start. Rows that share an id are taken for the same document: neither is earlier than the
-    other, and what is removed from one is removed from all. Other columns are not carried. An empty table gives
-    an empty result.
+    A null text counts as empty; texts shorter than ``length`` lose nothing. Earlier means a smaller id (null first), or
+    the same row and an earlier start. Rows that share an id, or have none, are documents of their own: they follow each
+    other by a hash of their texts, so of rows that repeat the first keeps what the others lose. Ids may be of any plain
+    type. Other columns are not carried. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.col(text_col).alias("text"))
-    places = source.mapInArrow(_places(length, gram, hot_in_task), _PLACES_DDL)
+    own, own_ddl = field_of(docs, id_col, "__id")
+    # rows that repeat are told apart by their places in the input, so that many of them don't meet in one task
+    source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).withColumn("__h", F.xxhash64("__text")).withColumn("__n", F.monotonically_increasing_id())
+    order = [F.col("__id").asc_nulls_first(), F.col("__h"), F.col("__n")]
+    packed = source.repartitionByRange(*order).sortWithinPartitions(*order).select("__id", "__text")
+    packed = settled(packed.mapInArrow(_numbered(own), f"doc long, {own_ddl}, z binary"))
+
+    places = packed.select("doc", "z").mapInArrow(_places(length, gram, hot_in_task), _PLACES_DDL)
     low = F.col("a").bitwiseAND(F.lit(_SETTLED | _DEALT))
     dealt = places.withColumn("k", F.when(low == 0, F.shiftright("a", 24)).otherwise(F.xxhash64("a", "c", "doc"))).repartition("k").drop("k")
     met = settled(dealt.sortWithinPartitions(F.shiftright("a", 24), F.col("a").bitwiseAND(F.lit(~_DEALT)), "c", "doc", "lo").mapInArrow(_meet(length), _RANGES_DDL))
 
     known = met.where("anchor is null").select("doc", "start", "end")
-    # a context that several tasks dealt out, or rows that repeat, stands once
+    # what a document gathers here is bounded by its own length
     contexts = met.where("anchor is not null").groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "place", "end")).alias("places"))
-    packed = source.mapInArrow(_packed, "doc long, z binary")
-    cut = packed.dropDuplicates(["doc"]).join(contexts, "doc").select("doc", "z", "places")
-    cut = settled(cut.mapInArrow(_contexts(length), "anchor long, doc long, start long, place long, end long, bytes binary"))
-    many = settled(cut.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor"))
-    few = cut.join(many, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "doc", "start")
-    found = settled(few.mapInArrow(_sorted_windows(length, gram), "doc long, start long, end long"))
-    if many.limit(1).count():
-        w = cut.join(many, "anchor", "left_semi").select(*cut.columns).mapInArrow(_windows(length), "digest binary, doc long, start long")
-        w = settled(w.distinct())
-        lead = w.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("lead"), F.count("*").alias("n")).where("n > 1")
-        later = w.join(lead, "digest").where((F.col("doc") != F.col("lead.doc")) | (F.col("start") != F.col("lead.start")))
-        found = found.unionByName(later.select("doc", "start", (F.col("start") + length).alias("end")))
+    cut = packed.join(contexts, "doc").select("doc", "z", "places")
+    cut = settled(cut.mapInArrow(_contexts(length, gram), _CONTEXT_DDL))
+    found = equal_windows(cut, length, hot)
 
     ranges = known.unionByName(found).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    joined = packed.join(ranges, "doc", "left").select("doc", "z", "ranges")
-    out = joined.mapInArrow(_kept(with_text), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
-    return out.withColumn("doc", F.when(F.col("doc") != _NULL_ID, F.col("doc"))).withColumnRenamed("doc", id_col)
+    joined = packed.join(ranges, "doc", "left").select("__id", "z", "ranges")
+    out = joined.mapInArrow(_kept(own, with_text), f"{own_ddl}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return out.withColumnRenamed("__id", id_col)
 
 
 def op2_deep_shallow_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
