@@ -94,13 +94,14 @@ def test_pii_edges(spark):
 
 
 def brute_repeats(rows, length):
+    """Rows in the order in which they count as earlier."""
     seen, out = {}, []
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+    for n, (i, t) in enumerate(rows):
         b = (t or "").encode()
         gone = np.zeros(len(b), bool)
         for s in range(len(b) - length + 1):
-            lead = seen.setdefault(b[s : s + length], (i, s))
-            if lead != (i, s):
+            lead = seen.setdefault(b[s : s + length], (n, s))
+            if lead != (n, s):
                 gone[s : s + length] = True
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         out.append((i, len(b), int(gone.sum()), int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum()), hashlib.sha256(kept).hexdigest()))
@@ -118,7 +119,23 @@ def test_repeats_random(spark, hot_in_task, hot):
     rows += [(100, "ab" * 60), (101, "ab" * 50), (102, None), (103, ""), (104, rows[3][1]), (None, rows[5][1])]
     df = odd(spark, rows).repartition(5)
     got = exact_substrings.remove_repeats(df, length=30, gram=8, hot_in_task=hot_in_task, hot=hot)
-    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_repeats(rows, 30)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_repeats(rows[-1:] + rows[:-1], 30)
+
+
+@pytest.mark.parametrize("hot_in_task,hot", [(256, 20_000), (1, 1)])
+def test_repeats_of_null_and_shared_ids(spark, hot_in_task, hot):
+    """Rows without ids, and those that share one, are documents of their own, in the order of their texts' hashes."""
+    r = random.Random(15)
+    passages = ["".join(r.choice("abcd é") for _ in range(r.randint(30, 60))) for _ in range(5)]
+    text = lambda: "".join(r.choice(passages) if r.random() < 0.6 else "".join(r.choice("xyz ") for _ in range(25)) for _ in range(r.randint(0, 5)))
+    rows = [(r.choice([None, 1, 2, 3, 3, 3, 9]), text()) for _ in range(50)]
+    rows += [rows[3], rows[4], rows[5], (None, None), (3, ""), (None, "q" * 120), (7, "q" * 120), (7, "".join(map(chr, range(200, 320))))]
+    df = odd(spark, rows).repartition(3)
+    order = df.select("doc_id", "text").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).collect()
+    got = exact_substrings.remove_repeats(df, length=30, gram=8, hot_in_task=hot_in_task, hot=hot)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_repeats([tuple(x) for x in order], 30)
+    named = exact_substrings.remove_repeats(df.withColumn("doc_id", F.format_string("%03d", "doc_id")), length=30, gram=8)
+    assert named.schema["doc_id"].dataType.simpleString() == "string" and named.count() == len(rows)
 
 
 def test_repeats_edges(spark):
