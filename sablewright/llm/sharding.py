@@ -3,7 +3,8 @@
 From the sizes of the old shards and the capacities of the new ones, a minimum-cost flow (staying is free, each byte
 moved costs one) says how many bytes go from each old shard to each new one. Each old shard is laid out as a line of
 documents, in blocks by a hash; the flow cuts that line into one stretch that stays and stretches that move. Only
-sizes of blocks reach the driver, a number fixed by parameters; single documents are cut by a window within a block.
+sizes of blocks reach the driver, one row for each ``BLOCK_ROWS`` documents or fewer; single documents are cut by a window
+within a block.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 
 from sablewright.llm.common import settled, table
 
-SHARDS, BLOCKS = 8, 1024
+SHARDS = 8
+#: Blocks of an old shard at least, rows of a block beyond that, and bytes of a rewritten file, about.
+BLOCKS, BLOCK_ROWS, FILE_BYTES = 1024, 1_000_000, 512 << 20
 
 
 def equal_capacities(total: int, n: int) -> list[int]:
@@ -83,11 +86,12 @@ def stretches(flow: dict[tuple[int, int], int], n_old: int) -> list[list[tuple[i
     return out
 
 
-def reshard(docs: DataFrame, old: Column, n_old: int, n_new: int = SHARDS, capacities: list[int] | None = None, id_col: str = "doc_id", text_col: str = "text", blocks: int = BLOCKS) -> DataFrame:
+def reshard(docs: DataFrame, old: Column, n_old: int, n_new: int = SHARDS, capacities: list[int] | None = None, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: id, ``size``, ``text_crc32``, ``old_shard``, ``shard`` and ``slot`` (gapless from 0 in each shard).
 
-    ``old`` gives the present shard (null or out of range: 0). A null text has size 1 and checksum 0. Repeated rows are
-    placed each for itself; an empty table gives an empty result. Other columns are not carried.
+    ``old`` gives the present shard (null or out of range: 0). A null text has size 1 and checksum 0. Repeated rows, and those
+    with a null id, are placed each for itself, spread over the blocks; an empty table gives an empty result. Other columns
+    but those in ``keep`` are not carried.
     The shards' sizes differ from the capacities by at most about a document for each stretch that meets in them.
     """
     spark = docs.sparkSession
@@ -97,8 +101,11 @@ def reshard(docs: DataFrame, old: Column, n_old: int, n_new: int = SHARDS, capac
         (F.coalesce(F.octet_length(raw), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(raw), F.lit(0)).cast("long").alias("text_crc32"),
         F.when((old >= 0) & (old < n_old), old.cast("int")).otherwise(0).alias("old_shard"),
+        *(F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)),
     )
-    thin = settled(thin.withColumn("block", F.pmod(F.xxhash64("__id", "text_crc32"), F.lit(blocks)).cast("int")))
+    blocks = blocks or max(BLOCKS, docs.count() // (BLOCK_ROWS * n_old))
+    # the row's place in the input spreads rows that repeat; once written, it does not change
+    thin = settled(thin.withColumn("block", F.pmod(F.xxhash64("__id", "text_crc32", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")))
     held = thin.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes")).collect()  # n_old x blocks rows at most
     supply, begin = [0] * n_old, {}
     for old_shard, block, size in sorted(held):
@@ -129,23 +136,47 @@ def reshard(docs: DataFrame, old: Column, n_old: int, n_new: int = SHARDS, capac
         rows.append((old_shard, block, new, free[new]))
         free[new] += count
     placed = placed.join(small(rows, "old_shard int, block int, shard int, first long"), ["old_shard", "block", "shard"])
-    return placed.select(F.col("__id").alias(id_col), "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("n")).alias("slot"))
+    return placed.select(F.col("__id").alias(id_col), "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("n")).alias("slot"), *(F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)))
 
 
-def rewrite_shards(data_dir: str, plan: DataFrame, id_col: str = "doc_id") -> list[int]:
+#: Where a row stands in a folder of Parquet files.
+PLACE = ("__file", "__row")
+
+
+def located(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The rows of a folder of Parquet files, with the file and the place in it of each; these tell rows apart whatever their ids."""
+    return spark.read.parquet(data_dir).select("*", F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
+
+
+def rewrite_shards(data_dir: str, plan: DataFrame, file_bytes: int = FILE_BYTES) -> list[int]:
     """Move the rows of a dataset in folders ``shard=K`` as ``plan`` says; returns the shards whose files were rewritten.
 
-    Folders that neither lose nor gain a row are not touched. The rows of the others are first copied to shared
-    storage, so that a failure while folders are replaced loses nothing. Ids must be unique.
+    ``plan`` is ``reshard`` of ``located(spark, data_dir)`` with ``keep=PLACE``. Folders that neither lose nor gain a row
+    are not touched. The rows of the others are first copied to shared storage, so that a failure while folders are
+    replaced loses nothing; then files of about ``file_bytes`` bytes of text replace the folders' old ones, and folders left without
+    rows are deleted.
     """
     spark = plan.sparkSession
+    plan = settled(plan.select("old_shard", "shard", "size", *PLACE))  # what it was made from is about to change
     moved = plan.where(F.col("old_shard") != F.col("shard"))
     changed = sorted({x for r in moved.select("old_shard", "shard").distinct().collect() for x in r})
-    if changed:
-        rows = spark.read.parquet(data_dir).where(F.col("shard").isin(changed)).withColumnRenamed("shard", "__was")
-        rows = rows.join(plan.select(id_col, "shard"), id_col).drop("__was")
-        copy = settled(rows)
-        copy.repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(data_dir)
+    if not changed:
+        return []
+    held = {r.shard: r.bytes for r in plan.where(F.col("shard").isin(changed)).groupBy("shard").agg(F.sum("size").alias("bytes")).collect()}
+    files = F.lit(1)
+    for k, size in held.items():
+        files = F.when(F.col("shard") == k, -(-size // file_bytes)).otherwise(files)
+    rows = located(spark, data_dir).where(F.col("shard").isin(changed)).drop("shard")
+    goes = plan.where(F.col("old_shard").isin(changed)).select("shard", *PLACE)
+    rows = rows.join(goes, list(PLACE)).withColumn("__part", F.pmod(F.xxhash64(*PLACE), files.cast("long")).cast("int")).drop(*PLACE)
+    copy = settled(rows)
+    if copy.count() != plan.where(F.col("old_shard").isin(changed)).count():
+        raise ValueError("the plan was not made from the files as they are now")
+    copy = copy.repartition(sum(-(-size // file_bytes) for size in held.values()), "shard", "__part").drop("__part")
+    copy.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(data_dir)
+    for k in set(changed) - set(held):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{data_dir}/shard={k}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return changed
 
 
