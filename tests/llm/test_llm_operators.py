@@ -223,19 +223,48 @@ def test_reshard_edges(spark):
     assert sharding.reshard(empty(spark), F.lit(0), 3).count() == 0
 
 
+def reshard_files(spark, where, n_old, n_new, **how):
+    plan = sharding.reshard(sharding.located(spark, where), F.col("shard"), n_old, n_new, blocks=8, keep=sharding.PLACE).checkpoint()
+    return plan, sharding.rewrite_shards(where, plan, **how)
+
+
 def test_rewrite(spark, tmp_path):
     docs = spark.createDataFrame([(i, "x" * (50 if i < 30 else 5), i % 2 if i < 40 else 2) for i in range(60)], "doc_id long, text string, shard int")
     where = str(tmp_path / "data")
     docs.repartition(2).write.partitionBy("shard").parquet(where)
-    now = spark.read.parquet(where)
-    plan = sharding.reshard(now, F.col("shard"), 3, 4, blocks=8).checkpoint()
-    total = now.agg(F.sum(F.length("text") + 1)).first()[0]
-    changed = sharding.rewrite_shards(where, plan)
+    total = docs.agg(F.sum(F.length("text") + 1)).first()[0]
+    plan, changed = reshard_files(spark, where, 3, 4)
     after = spark.read.parquet(where)
     assert sorted(r[:] for r in after.select("doc_id", "shard").collect()) == sorted(r[:] for r in plan.select("doc_id", "shard").collect())
     sizes = [r[1] for r in after.groupBy("shard").agg(F.sum(F.length("text") + 1)).collect()]
     assert len(sizes) == 4 and max(sizes) - min(sizes) <= 2 * 51 and sum(sizes) == total and changed
     assert sharding.rewrite_shards(where, plan.withColumn("old_shard", F.col("shard"))) == []
+    with pytest.raises(ValueError):  # the files are other ones now
+        sharding.rewrite_shards(where, plan)
+
+
+@pytest.mark.parametrize("n_new", [2, 4, 7])
+def test_rewrite_keeps_every_row(spark, tmp_path, n_new):
+    """Null ids, ids that several texts share, repeated rows, null texts; folders left empty go, large shards have several files."""
+    r = random.Random(n_new)
+    rows = [(r.choice([None, None, 1, 2, k]), r.choice([None, "", "same text", "t" * r.randint(1, 90)]), r.choice([0, 0, 0, 1, 2, 3]), "x") for k in range(203)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int, size string")
+    where = str(tmp_path / "data")
+    docs.repartition(3).write.partitionBy("shard").parquet(where)
+    plan, changed = reshard_files(spark, where, 4, n_new, file_bytes=400)
+    after = spark.read.parquet(where)
+    both = lambda d: sorted((r.doc_id or -1, r.text or "", r.text is None, r.size) for r in d.collect())
+    assert both(after) == both(docs) and changed
+    assert sorted((p.name for p in (tmp_path / "data").glob("shard=*"))) == [f"shard={k}" for k in range(n_new)]
+    got = after.groupBy("shard").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("n")).collect()
+    assert max(x.n for x in got) - min(x.n for x in got) <= 2 * 91
+    assert n_new > 2 or min(len(list((tmp_path / "data" / f"shard={k}").glob("*.parquet"))) for k in range(n_new)) > 1
+
+
+def test_reshard_splits_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "same")] * 900, "doc_id long, text string")
+    got = sharding.reshard(docs, F.lit(0), 1, 3).groupBy("shard").count().collect()
+    assert sorted(r["count"] for r in got) == [300, 300, 300]
 
 
 # --- op5
