@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from itertools import chain
+from bisect import bisect_left
+from itertools import accumulate, chain
 
 import pyarrow as pa
 import regex
@@ -51,11 +52,23 @@ class PrefixTable:
         return self
 
     def edit(self, start: int, end: int, new: bytes) -> PrefixTable:
-        """Replace ``data[start:end]``; entries up to ``start`` are kept, later ones are computed again."""
-        tail = self.data[end:]
+        """Replace ``data[start:end]``. Entries up to ``start`` are kept; later ones are computed until they agree with the old ones.
+
+        An entry follows from as many bytes and entries before it as the longest token has, so that after an agreement of that
+        length all the rest would agree, and is taken over.
+        """
+        tail, old, reach = self.data[end:], self.last[end:], self.bpe.longest
         self.data = self.data[:start]
         del self.last[start:]
-        return self.append(new + tail)
+        self.append(new)
+        begin = len(self.data)
+        self.data += tail
+        for at in range(0, len(tail), reach):
+            if at and self.last[-reach:] == old[at - reach : at] and len(self.last) >= reach:
+                self.last += old[at:]
+                break
+            self.bpe._fill(self.data, self.last, begin + at, begin + min(at + reach, len(tail)))
+        return self
 
     def ids(self) -> list[int]:
         out, end, size = [], len(self.data), self.bpe.size
@@ -76,6 +89,7 @@ class PrefixBpe:
         for t, r in ranks.items():
             self.token[r] = t
         self.size = [len(t) for t in self.token]
+        self.longest = max(self.size)
         self.tails = {t[i:] for t in ranks for i in range(len(t))}
         self.split = [(r, r) for r in range(len(self.token))]
         self.pair: dict[tuple[int, int], int] = {}
@@ -122,9 +136,9 @@ class PrefixBpe:
                     return True
                 a = inner
 
-    def _fill(self, data: bytes, last: list[int], begin: int) -> None:
+    def _fill(self, data: bytes, last: list[int], begin: int, stop: int | None = None) -> None:
         ranks, tails, fits, size = self.ranks, self.tails, self._fits, self.size
-        for end in range(begin + 1, len(data) + 1):
+        for end in range(begin + 1, (len(data) if stop is None else stop) + 1):
             start = end - 1
             while start >= 0:
                 part = data[start:end]
@@ -170,21 +184,28 @@ class TextCodec:
 
         self.bpe = bpe
         white = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
-        self.any = regex.compile(white).findall
+        self.any = regex.compile(white)
         latin = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{_WHITE}{_LATIN_L}{_LATIN_N}]").replace(r"\p{L}", f"[{_LATIN_L}]").replace(r"\p{N}", f"[{_LATIN_N}]")
         latin = latin.replace(r"\S", f"[^{_WHITE}]").replace(r"\s", f"[{_WHITE}]")
         #: A pattern with other classes than the usual ones has no short cut for Latin-1 texts.
-        self.latin = re.compile(latin).findall if r"\p" not in latin else None
+        self.latin = re.compile(latin) if r"\p" not in latin else None
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def split(self, text: str) -> list[str]:
+    def _pattern(self, text: str):
         if self.latin is not None:
             try:
                 text.encode("latin-1")
-                return self.latin(text)
+                return self.latin
             except UnicodeEncodeError:
                 pass
-        return self.any(text)
+        return self.any
+
+    def split(self, text: str) -> list[str]:
+        return self._pattern(text).findall(text)
+
+    def split_from(self, text: str, at: int):
+        """The pieces from a place on, one after another."""
+        return (m[0] for m in self._pattern(text).finditer(text, at))
 
     def encode(self, text: str) -> list[int]:
         pieces, known = self.split(text), self.known
@@ -209,8 +230,9 @@ class TextCodec:
 class GrowingText:
     """A text that is appended to or edited, with its ids kept exact.
 
-    Only pieces that the change can reach are split and encoded again: a match of the pattern depends on the
-    characters up to one after its end, or three after its start for contractions.
+    Only pieces that the change can reach are split and encoded again. Before it, a match of the pattern depends on the
+    characters up to one after its end, or three after its start for contractions. After it, matches depend on nothing
+    before them (the pattern must not look back): from the first border that old and new pieces share on, the old ones hold.
     """
 
     REACH = 3
@@ -223,16 +245,25 @@ class GrowingText:
         return self.edit(len(self.text), len(self.text), more)
 
     def edit(self, start: int, end: int, new: str) -> GrowingText:
-        keep, at = 0, 0
-        for p in self.pieces:
-            if at + len(p) + 1 > start or at + self.REACH > start:
-                break
-            at += len(p)
-            keep += 1
+        """Replace ``text[start:end]``."""
+        ends = list(accumulate(map(len, self.pieces)))
+        keep = bisect_left(ends, start)  # pieces that end before the change
+        while keep and (ends[keep - 1] + 1 > start or ends[keep - 1] - len(self.pieces[keep - 1]) + self.REACH > start):
+            keep -= 1
+        at = ends[keep - 1] if keep else 0
         self.text = self.text[:start] + new + self.text[end:]
-        again = self.codec.split(self.text[at:])
-        self.pieces[keep:] = again
-        self.encoded[keep:] = [tuple(self.codec.bpe.piece(p.encode())) for p in again]
+        grown = len(new) - (end - start)
+        again, after = [], len(self.pieces)
+        for p in self.codec.split_from(self.text, at):
+            again.append(p)
+            at += len(p)
+            if at - grown >= end and at >= start + len(new):
+                k = bisect_left(ends, at - grown, keep)
+                if k < len(ends) and ends[k] == at - grown:
+                    after = k + 1
+                    break
+        self.pieces[keep:after] = again
+        self.encoded[keep:after] = [tuple(self.codec.bpe.piece(p.encode("utf-8", "replace"))) for p in again]
         return self
 
     def ids(self) -> list[int]:
