@@ -182,6 +182,37 @@ def test_bpe_random(codec):
     assert codec.encode(long) == e.encode_ordinary(long)
 
 
+def test_bpe_edits_stay_local(codec):
+    """An edit of a long text, or of a long piece, works on its neighbourhood alone."""
+    r = random.Random(5)
+    text = " ".join("".join(r.choice("abcdefé") for _ in range(r.randint(1, 9))) for _ in range(10_000))
+    g = bpe.GrowingText(codec, text)
+    done, piece = [], codec.bpe.piece
+    codec.bpe.piece = lambda p: done.append(p) or piece(p)
+    try:
+        for at, size, new in ((7, 1, "q"), (30_000, 0, " new words"), (20_000, 500, ""), (len(text) - 600, 3, "日 1")):
+            done.clear()
+            g.edit(at, at + size, new)
+            assert len(done) <= 12 and g.text[at : at + len(new)] == new
+    finally:
+        del codec.bpe.piece
+    assert g.ids() == codec.encode(g.text)
+    data = bytes(r.choice(b"abcdeing th") for _ in range(20_000))
+    t = bpe.PrefixTable(codec.bpe, data)
+    filled, fill = [], codec.bpe._fill
+    codec.bpe._fill = lambda d, last, begin, stop=None: filled.append((len(d) if stop is None else stop) - begin) or fill(d, last, begin, stop)
+    try:
+        t.edit(50, 53, b"zz")
+    finally:
+        del codec.bpe._fill
+    assert sum(filled) < 2_000 and t.last == bpe.PrefixTable(codec.bpe, t.data).last
+    for _ in range(300):
+        data = bytes(r.choice(b"ab ing") for _ in range(r.randint(0, 400)))
+        a, b = sorted((r.randint(0, len(data)), r.randint(0, len(data))))
+        t = bpe.PrefixTable(codec.bpe, data).edit(a, b, b"in" * r.randint(0, 3))
+        assert t.last == bpe.PrefixTable(codec.bpe, t.data).last
+
+
 def test_bpe_table(codec):
     t = bpe.PrefixTable(codec.bpe, b"thethingth").append(b"ing and")
     assert t.ids() == bpe.PrefixTable(codec.bpe, b"thethingthing and").ids()
