@@ -291,14 +291,14 @@ def equal_windows(contexts: DataFrame, length: int, hot: int) -> DataFrame:
     """
     found = None
     while True:
-        size = contexts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        size = settled(size.select("key", (F.col("n") > hot).alias("large")))
-        few = contexts.join(size.where("not large").select("key"), "key", "left_semi")
+        large = settled(contexts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"))
+        last = large.isEmpty()
+        few = contexts if last else contexts.join(large, "key", "left_anti").select(*contexts.columns)
         part = few.repartition("key").sortWithinPartitions("key", "doc", "start").mapInArrow(_sorted_windows(length), "doc long, start long, end long")
         found = settled(part if found is None else found.unionByName(part))
-        many = contexts.join(size.where("large").select("key"), "key", "left_semi").select(*contexts.columns)
-        if many.isEmpty():
+        if last:
             return found
+        many = contexts.join(large, "key", "left_semi").select(*contexts.columns)
         # one offset: the members of a group are places of one window
         whole = many.where("lo = hi").select(F.expr(f"substring(bytes, cast(place - lo - start as int) + 1, {length})").alias("window"), "doc", (F.col("place") - F.col("lo")).alias("start"))
         first = whole.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("first"))
@@ -318,15 +318,25 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _numbered(own: pa.Field):
-    """Rows in order get ascending numbers: the partition's and their own in it. Texts leave packed."""
-    schema = pa.schema([("doc", pa.int64()), own, ("z", pa.binary())])
+def _packed(schema: pa.Schema):
+    """Rows whose last column is the text, with the text packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            z = pa.array([pack((t.as_py() or "").encode("utf-8", "replace")) for t in b.columns[-1]], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], z], schema=schema)
+
+    return run
+
+
+def _numbered(schema: pa.Schema):
+    """Rows in order get ascending numbers: the partition's and their own in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 36
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(range(at, at + b.num_rows), pa.int64()), b.column(0), pa.array([pack((t.as_py() or "").encode("utf-8", "replace")) for t in b.column(1)], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(range(at, at + b.num_rows), pa.int64()), *b.columns], schema=schema)
             at += b.num_rows
 
     return run
@@ -367,10 +377,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(spark)
     own, own_ddl = field_of(docs, id_col, "__id")
     # rows that repeat are told apart by their places in the input, so that many of them don't meet in one task
-    source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).withColumn("__h", F.xxhash64("__text")).withColumn("__n", F.monotonically_increasing_id())
+    source = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__h"), F.monotonically_increasing_id().alias("__n"), F.col(text_col).alias("__text"))
+    packed = source.mapInArrow(_packed(pa.schema([own, ("__h", pa.int64()), ("__n", pa.int64()), ("z", pa.binary())])), f"{own_ddl}, __h long, __n long, z binary")
     order = [F.col("__id").asc_nulls_first(), F.col("__h"), F.col("__n")]
-    packed = source.repartitionByRange(*order).sortWithinPartitions(*order).select("__id", "__text")
-    packed = settled(packed.mapInArrow(_numbered(own), f"doc long, {own_ddl}, z binary"))
+    packed = packed.repartitionByRange(*order).sortWithinPartitions(*order).select("__id", "z")
+    packed = settled(packed.mapInArrow(_numbered(pa.schema([("doc", pa.int64()), own, ("z", pa.binary())])), f"doc long, {own_ddl}, z binary"))
 
     places = packed.select("doc", "z").mapInArrow(_places(length, gram, hot_in_task), _PLACES_DDL)
     low = F.col("a").bitwiseAND(F.lit(_SETTLED | _DEALT))
