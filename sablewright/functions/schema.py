@@ -9,32 +9,34 @@ from pyspark.sql import functions as F
 
 # They must equal those of existing data.
 ENTITY_TYPES = ("method", "model", "algorithm", "dataset", "problem", "task", "equation", "software", "metric", "domain")
-ENTITY_TYPE_NAMES = {
-    "method": ("method", "methods", "physics method", "technique", "approach"),
-    "model": ("model", "models", "architecture"),
-    "algorithm": ("algorithm", "algorithms"),
-    "dataset": ("dataset", "datasets", "data set", "corpus", "benchmark"),
-    "problem": ("problem", "problems"),
-    "task": ("task", "tasks"),
-    "equation": ("equation", "equations", "pde"),
-    "software": ("software", "tool", "framework", "library"),
-    "metric": ("metric", "metrics", "measure"),
-    "domain": ("domain", "field"),
-}
+#: Spellings and the types that they mean.
+ENTITY_TYPE_OF = {
+    "method": "method", "methods": "method", "physics method": "method", "technique": "method", "approach": "method",
+    "model": "model", "models": "model", "architecture": "model",
+    "algorithm": "algorithm", "algorithms": "algorithm",
+    "dataset": "dataset", "datasets": "dataset", "data set": "dataset", "corpus": "dataset", "benchmark": "dataset",
+    "problem": "problem", "problems": "problem",
+    "task": "task", "tasks": "task",
+    "equation": "equation", "equations": "equation", "pde": "equation",
+    "software": "software", "tool": "software", "framework": "software", "library": "software",
+    "metric": "metric", "metrics": "metric", "measure": "metric",
+    "domain": "domain", "field": "domain",
+}
 PREDICATES = ("USES_METHOD", "USES_MODEL", "USES_DATASET", "USES_SOFTWARE", "SOLVES", "EVALUATED_BY", "IMPROVES", "OUTPERFORMS", "COMPARES_WITH", "EXTENDS", "BASED_ON", "UNKNOWN")
-PREDICATE_NAMES = {
-    "USES_METHOD": ("uses method", "use method"),
-    "USES_MODEL": ("uses model", "use model"),
-    "USES_DATASET": ("uses dataset", "use dataset", "evaluates on", "evaluated on"),
-    "USES_SOFTWARE": ("uses software", "use software"),
-    "SOLVES": ("solves", "solve", "addresses", "was employed to address", "employed to solve"),
-    "EVALUATED_BY": ("evaluated by", "measured by"),
-    "IMPROVES": ("improves", "improve"),
-    "OUTPERFORMS": ("outperforms", "outperform"),
-    "COMPARES_WITH": ("compares with", "compared with"),
-    "EXTENDS": ("extends", "extend", "proposes"),
-    "BASED_ON": ("based on", "is based on"),
-}
+#: Spellings and the predicates that they mean.
+PREDICATE_OF = {
+    "uses method": "USES_METHOD", "use method": "USES_METHOD",
+    "uses model": "USES_MODEL", "use model": "USES_MODEL",
+    "uses dataset": "USES_DATASET", "use dataset": "USES_DATASET", "evaluates on": "USES_DATASET", "evaluated on": "USES_DATASET",
+    "uses software": "USES_SOFTWARE", "use software": "USES_SOFTWARE",
+    "solves": "SOLVES", "solve": "SOLVES", "addresses": "SOLVES", "was employed to address": "SOLVES", "employed to solve": "SOLVES",
+    "evaluated by": "EVALUATED_BY", "measured by": "EVALUATED_BY",
+    "improves": "IMPROVES", "improve": "IMPROVES",
+    "outperforms": "OUTPERFORMS", "outperform": "OUTPERFORMS",
+    "compares with": "COMPARES_WITH", "compared with": "COMPARES_WITH",
+    "extends": "EXTENDS", "extend": "EXTENDS", "proposes": "EXTENDS",
+    "based on": "BASED_ON", "is based on": "BASED_ON",
+}
 #: Relation of the older graph to predicate, and back.
 RELATION_PREDICATE = {"proposes": "EXTENDS", "uses": "USES_METHOD", "improves": "IMPROVES", "compares_with": "COMPARES_WITH", "evaluates_on": "USES_DATASET", "measures_with": "EVALUATED_BY", "studies": "SOLVES"}
 PREDICATE_RELATION = {"USES_METHOD": "uses", "USES_MODEL": "uses", "USES_DATASET": "uses", "USES_SOFTWARE": "uses", "SOLVES": "studies", "EVALUATED_BY": "measures_with", "IMPROVES": "improves", "OUTPERFORMS": "compares_with", "COMPARES_WITH": "compares_with", "EXTENDS": "proposes", "BASED_ON": "uses", "UNKNOWN": "studies"}
@@ -55,13 +57,13 @@ def _words(c: Column) -> Column:
 
 def entity_type(c: Column) -> Column:
     """A type of the vocabulary, or null."""
-    return F.try_element_at(_lookup({n: t for t, names in ENTITY_TYPE_NAMES.items() for n in names}), _words(c))
+    return F.try_element_at(_lookup(ENTITY_TYPE_OF), _words(c))
 
 
 def predicate(c: Column) -> Column:
     """A predicate of the vocabulary; UNKNOWN for what is in none of its spellings."""
     upper = F.translate(F.upper(F.trim(F.coalesce(c, F.lit("")))), "- ", "__")
-    names = _lookup({n: p for p, spelled in PREDICATE_NAMES.items() for n in spelled})
+    names = _lookup(PREDICATE_OF)
     older = F.try_element_at(_lookup(RELATION_PREDICATE), F.replace(_words(c), F.lit(" "), F.lit("_")))
     return F.when(upper.isin(*PREDICATES), upper).otherwise(F.coalesce(F.try_element_at(names, _words(c)), older, F.lit("UNKNOWN")))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 #: White space as in Unicode.
 SPACE = r"(?U)\s+"
@@ -16,6 +17,7 @@ CITATION = r"\*\*\[([^\]]+)\]\*\*|(?<!\*)\[([^\]]+)\](?!\*)"
 SEARCH_REQUESTS = (r"(?i)(?:帮我)?(?:找|搜|查)[^，。；;!?！？]{0,120}(?:论文|文献)", r"(?i)\b(?:find|search(?:\s+for)?|look\s+for)\b.{0,120}\bpapers?\b")
 QUOTED_TITLE = "[\"“]([^\"”]{4,200})[\"”]"
 ANALYSIS_TAIL = r"(?i)[，,；;]?\s*(?:并|然后|再)?\s*(?:分析|回答|解释|总结|评估|对比|比较)(?:以下|下面)?[\s\S]*$"
+PHRASE = r"[A-Za-z][A-Za-z0-9_-]*(?:\s+[A-Za-z][A-Za-z0-9_-]*){0,5}"
 LATIN_TOKEN = r"[A-Za-z][A-Za-z0-9]*(?:[-_/][A-Za-z0-9]+)*"
 CHINESE_FILLER = "帮我|请|搜索|查找|找几篇|找一些|找|检索|相关|类似|相似|论文|文献|的"
 QUOTA_ERROR = r"(?i)insufficient[_\\]?quota|allocated quota exceeded|increase your quota limit|exceeded your current quota"
@@ -47,6 +49,11 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), SPACE), lambda t: t != "")
 
 
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at either end; ``trim`` takes spaces alone."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def collapsed(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), SPACE, " "))
 
@@ -88,6 +95,19 @@ def citations(c: Column) -> Column:
     return F.array_distinct(F.filter(bare, lambda t: t != ""))
 
 
+def phrases(c: Column) -> Column:
+    """Runs of up to six Latin words, each once, the longest first; of equally long ones the first."""
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(PHRASE), F.lit(0)))
+    placed = F.transform(found, lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("x")))
+    return F.transform(F.array_sort(placed), lambda s: s.x)
+
+
+def has_word(c: Column, words: tuple[str, ...]) -> Column:
+    """Whether the lower-case text holds one of the words."""
+    low, out = F.lower(F.coalesce(c, F.lit(""))), F.lit(False)
+    for w in words:
+        out = out | F.contains(low, F.lit(w))
+    return out
 
 
 def has_any(c: Column, words: tuple[str, ...]) -> Column:
@@ -166,19 +186,19 @@ def error_kind(c: Column) -> Column:
 
 def without_reasoning(c: Column) -> Column:
     """A model's answer without its reasoning block, and with at most one empty line in a row."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"(?is)<think>.*?</think>", ""), r"\n{3,}", "\n\n"))
+    return stripped(F.regexp_replace(F.regexp_replace(c, r"(?is)<think>.*?</think>", ""), r"\n{3,}", "\n\n"))
 
 
 def fenced(c: Column, language: str = "") -> Column:
     """The content of the first code fence, or the whole text."""
     found = F.regexp_extract(c, rf"(?s)```(?:{language or '[A-Za-z]*'})?\s*\n?(.*?)```", 1)
-    return F.trim(F.when(found != "", found).otherwise(c))
+    return stripped(F.when(found != "", found).otherwise(c))
 
 
 def requested_fields(c: Column) -> Column:
     """Labels of lines that end in a colon; none if there are fewer than two."""
     lines = F.transform(F.split(F.coalesce(c, F.lit("")), r"\r?\n"), lambda x: F.regexp_extract(F.trim(x), FIELD_LINE, 1))
-    found = F.array_distinct(F.filter(F.transform(lines, F.trim), lambda t: t != ""))
+    found = F.array_distinct(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda t: t != ""))
     return F.when(F.size(found) >= 2, found).otherwise(F.array().cast("array<string>"))
 
 
@@ -189,3 +209,16 @@ def missing_fields(answer: Column, fields: Column) -> Column:
 
 def heading_summary(content: Column, most: int = 500) -> Column:
     return F.substring(F.coalesce(content, F.lit("")), 1, most)
+
+
+def truncated(c: Column, kind: DataType, most: int) -> Column:
+    """A value of any nested type with every string in it, map keys aside, cut to ``most`` characters."""
+    if isinstance(kind, StringType):
+        return F.substring(c, 1, most)
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: truncated(x, kind.elementType, most))
+    if isinstance(kind, MapType):
+        return F.transform_values(c, lambda _, v: truncated(v, kind.valueType, most))
+    if isinstance(kind, StructType):
+        return F.when(c.isNotNull(), F.struct(*(truncated(c[f.name], f.dataType, most).alias(f.name) for f in kind)))
+    return c

@@ -42,7 +42,7 @@ def sections(docs: DataFrame, id_col: str = "paper_id", text_col: str = "markdow
 def title_of(text: Column, fallback: Column) -> Column:
     """The title of a Markdown text: its first heading or plain line within 20 lines, at most 100 characters."""
     lines = F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), 1, 20)
-    fits = F.filter(F.transform(lines, F.trim), lambda x: (x != "") & ~x.startswith("---") & (~x.startswith("#") | x.startswith("# ")))
+    fits = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("---") & (~x.startswith("#") | x.startswith("# ")))
     first = F.try_element_at(fits, F.lit(1))
     return F.coalesce(F.substring(F.regexp_replace(first, r"^#\s+", ""), 1, 100), fallback)
 

@@ -1,14 +1,19 @@
 """The evidence graph: claim checks, entity and fact resolution, counts and projections.
 
 Resolution runs in rounds over whole tables instead of one mention after the other: exact names and aliases first, then
-scored candidates that share a blocking key, and what is left becomes new. New ids come from type and normal name, so
-equal mentions coincide in any order.
+scored candidates (the nearest by vector and those that share a blocking key), and what is left becomes new. New ids come
+from type and normal name, so equal mentions coincide in any order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sablewright.functions.names import blocking_keys_of, entity_score, fact_score, normal_name
 from sablewright.functions.schema import PREDICATES, STANCES, USABLE, entity_type, fact_signature, hashed_id, predicate, relation_of_predicate
@@ -53,11 +58,88 @@ def evidence_hits(items: DataFrame, chunks: DataFrame, key: list[str], item_text
     return items.join(chunks, key).withColumn("found", F.contains(evidence_form(F.col(chunk_text)), evidence_form(F.col(item_text))))
 
 
+#: Characters of a mention's contexts that count.
+CONTEXT = 1000
+
+
 def mentions(claims: DataFrame, ascii_only: bool = False) -> DataFrame:
-    """One row for each type and normal name: a name as written, its mentions' contexts joined to 1000 characters."""
+    """One row for each type and normal name: a name as written, and its mentions' different contexts joined to 1000 characters.
+
+    A context and the space after it take two characters at least, so that half as many contexts are all that can count.
+    """
     both = claims.select(F.col("subject_type").alias("type"), F.col("subject").alias("name"), "evidence").unionByName(claims.select(F.col("object_type").alias("type"), F.col("object").alias("name"), "evidence"))
     named = both.withColumn("normal", normal_name(F.col("name"), ascii_only)).where("normal <> '' and type is not null")
-    return named.groupBy("type", "normal").agg(F.min("name").alias("name"), F.count("*").alias("n"), F.substring(F.array_join(F.array_sort(F.collect_set("evidence")), " "), 1, 1000).alias("context"))
+    names = named.groupBy("type", "normal").agg(F.min("name").alias("name"), F.count("*").alias("n"))
+    first = Window.partitionBy("type", "normal").orderBy("evidence")
+    contexts = named.where("evidence <> ''").select("type", "normal", "evidence").distinct().withColumn("__k", F.row_number().over(first)).where(F.col("__k") <= CONTEXT // 2)
+    joined = contexts.groupBy("type", "normal").agg(F.substring(F.array_join(F.array_sort(F.collect_list("evidence")), " "), 1, CONTEXT).alias("context"))
+    return names.join(joined, ["type", "normal"], "left").withColumn("context", F.coalesce("context", F.lit("")))
+
+
+def resolution_text(name: Column, kind: Column, context: Column, domain: Column | None = None, relation: Column | None = None) -> Column:
+    """The text whose vector stands for a mention: its parts that are not empty, joined by bars."""
+    parts = [name, kind, domain, F.substring(context, 1, 500), relation]
+    return F.concat_ws(" | ", *(F.nullif(p, F.lit("")) for p in parts if p is not None))
+
+
+#: Vectors that are compared with the other side at a time.
+BLOCK_VECTORS = 5_000
+
+
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, group: str, most: int = 8, vector: str = "embedding", block: int = BLOCK_VECTORS) -> DataFrame:
+    """(left_id, right_id, similarity): for each left vector its nearest right ones of the same group by cosine, exactly.
+
+    The left side is the set of queries. It is sent in blocks of bounded size; each task goes over its right vectors once and
+    keeps the best so far, so that what leaves it is bounded too. Null, empty and zero vectors have no neighbours.
+    """
+    spark = left.sparkSession
+    queries = left.select(F.col(left_id).alias("l"), F.col(group).alias("g"), F.col(vector).cast("array<double>").alias("v")).where(F.col("l").isNotNull() & F.col("g").isNotNull() & (F.size("v") > 0))
+    source = right.select(F.col(right_id).alias("r"), F.col(group).alias("g"), F.col(vector).cast("array<double>").alias("v")).where(F.col("r").isNotNull() & F.col("g").isNotNull() & (F.size("v") > 0))
+    left_kind, right_kind = queries.schema["l"].dataType, source.schema["r"].dataType
+    schema = pa.schema([("left_id", to_arrow_type(left_kind)), ("right_id", to_arrow_type(right_kind)), ("similarity", pa.float64())])
+    ddl = f"left_id {left_kind.simpleString()}, right_id {right_kind.simpleString()}, similarity double"
+    blocks = -(-queries.count() // block)
+    out = None
+    for k in range(blocks):
+        rows = sorted(map(tuple, queries.where(F.pmod(F.xxhash64("l"), F.lit(blocks)) == k).collect()), key=str)
+        by_group: dict = {}
+        for q, g, v in rows:
+            by_group.setdefault(g, ([], []))[0].append(q)
+            by_group[g][1].append(v)
+        sent = spark.sparkContext.broadcast({g: (ids, _unit(np.array(v))) for g, (ids, v) in by_group.items()})
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            best: dict = {}
+            for b in batches:
+                ids, groups, vectors = (b.column(i).to_pylist() for i in range(3))
+                for g in set(groups) & sent.value.keys():
+                    at = [i for i, x in enumerate(groups) if x == g]
+                    queries, unit = sent.value[g]
+                    near = unit @ _unit(np.array([vectors[i] for i in at])).T
+                    for j, q in enumerate(queries):
+                        # ties with the last that counts go on, so that the order of rows does not matter
+                        row = near[j]
+                        cut = -np.inf if len(at) <= most else np.partition(row, -most)[-most]
+                        own = best.setdefault(q, [])
+                        own += [(-float(row[i]), ids[at[i]]) for i in np.flatnonzero(row >= cut) if row[i] == row[i]]
+                        if len(own) > most:
+                            best[q] = sorted(own)[:most]
+            rows = [{"left_id": q, "right_id": r, "similarity": -s} for q, own in best.items() for s, r in own]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+        part = source.mapInArrow(run, ddl)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], ddl)
+    w = Window.partitionBy("left_id").orderBy(F.desc("similarity"), "right_id")
+    return out.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; a zero row becomes nan and is near to nothing."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def blocked(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: str = "blocking_keys", type_col: str = "type") -> DataFrame:
@@ -68,43 +150,74 @@ def blocked(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys
 
 
 def candidates(mention: DataFrame, entities: DataFrame, most: int = 8) -> DataFrame:
-    """For each mention at most ``most`` blocked entities, the newest first."""
+    """(mention_id, entity_id, similarity): for each mention the ``most`` nearest entities and the ``most`` newest that share a
+    blocking key, of its type, each once.
+
+    The similarity is the cosine of the nearest, 0 for entities that only share a key. Without ``embedding`` columns only
+    the latter are candidates.
+    """
     m = mention.withColumn("blocking_keys", blocking_keys_of(F.col("normal"))).withColumn("mention_id", F.concat_ws(":", "type", "normal"))
-    pairs = blocked(m, entities, "mention_id", "entity_id")
-    dated = pairs.join(entities.select(F.col("entity_id").alias("right_id"), "updated_at"), "right_id")
+    # the newest of all that share a key are among the newest of each key, so that a frequent key makes no more rows
+    of_key = Window.partitionBy("type", "key").orderBy(F.desc("updated_at"), "entity_id")
+    keyed = entities.select("entity_id", "type", "updated_at", F.explode("blocking_keys").alias("key")).withColumn("__n", F.row_number().over(of_key)).where(F.col("__n") <= most)
+    pairs = m.select(F.col("mention_id").alias("left_id"), "type", F.explode("blocking_keys").alias("key")).join(keyed, ["type", "key"])
+    pairs = pairs.select("left_id", F.col("entity_id").alias("right_id"), "updated_at").distinct()
     w = Window.partitionBy("left_id").orderBy(F.desc("updated_at"), "right_id")
-    return dated.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select(F.col("left_id").alias("mention_id"), F.col("right_id").alias("entity_id"))
+    found = pairs.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("left_id", "right_id", F.lit(0.0).alias("similarity"))
+    if "embedding" in mention.columns and "embedding" in entities.columns:
+        found = nearest(m, entities, "mention_id", "entity_id", "type", most).unionByName(found)
+        found = found.groupBy("left_id", "right_id").agg(F.max_by("similarity", F.abs("similarity")).alias("similarity"))
+    return found.select(F.col("left_id").alias("mention_id"), F.col("right_id").alias("entity_id"), "similarity")
+
+
+def route(score: Column, merge: float = MERGE, new: float = NEW) -> Column:
+    """What a best score (null: no candidate) leads to; what is ambiguous waits for a decision and is new without one."""
+    return F.when(score >= merge, "rule_merge").when(F.coalesce(score, F.lit(0.0)) < new, "new").otherwise("ambiguous_unresolved")
+
+
+def scored_candidates(rest: DataFrame, entities: DataFrame, most: int = 8) -> DataFrame:
+    """(mention_id, entity_id, score, rank): each mention's candidates by score, the best ``most``."""
+    e = entities.select("entity_id", F.col("type").alias("e_type"), "canonical_normalized", "aliases", F.col("context").alias("e_context"))
+    m = rest.withColumn("mention_id", F.concat_ws(":", "type", "normal"))
+    pairs = m.drop("embedding").join(candidates(rest, entities, most), "mention_id").join(e, "entity_id")
+    none = F.array().cast("array<string>")
+    score = entity_score(F.col("type") == F.col("e_type"), F.col("normal"), F.col("canonical_normalized"), F.coalesce("aliases", none), tokens(normal_name(F.col("context"))), tokens(normal_name(F.col("e_context"))), F.col("similarity"))
+    w = Window.partitionBy("mention_id").orderBy(F.desc("score"), "entity_id")
+    return pairs.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("mention_id", "entity_id", "score", "rank")
 
 
-def resolved_entities(mention: DataFrame, entities: DataFrame) -> DataFrame:
-    """Each mention's entity and route: exact, rule_merge, ambiguous_unresolved or new.
+def resolved_entities(mention: DataFrame, entities: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
+    """Each mention's entity and route: exact, rule_merge, ambiguous_unresolved, new, or what a decision says.
 
-    Exact names and aliases leave first (equi-joins); the rest is scored against its blocked candidates and merged at .88
-    or more. Below .55, and without a candidate, it is new; between, it is new and marked ambiguous.
+    Exact names and aliases leave first (equi-joins); the rest is scored against its candidates and merged at .88 or more.
+    Below .55, and without a candidate, it is new; between, it waits for a decision. ``decisions`` (mention_id, decision,
+    entity_id) are those of a model or person; a merge into an entity that is no candidate, and a missing one, leave
+    the mention new and marked ambiguous. Both tables may have ``embedding`` columns.
     """
     m = mention.withColumn("mention_id", F.concat_ws(":", "type", "normal"))
     spelled = entities.select("entity_id", "type", F.explode(F.array_union(F.array("canonical_normalized"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("normal"))
     exact = m.join(spelled.groupBy("type", "normal").agg(F.min("entity_id").alias("entity_id")), ["type", "normal"]).select("mention_id", "type", "normal", "name", "entity_id", F.lit("exact").alias("route"), F.lit(1.0).alias("score"))
     rest = m.join(exact.select("mention_id"), "mention_id", "left_anti")
-    e = entities.select("entity_id", F.col("type").alias("e_type"), "canonical_normalized", "aliases", F.col("context").alias("e_context"))
-    pairs = rest.join(candidates(rest.select(*mention.columns), entities), "mention_id").join(e, "entity_id")
-    score = entity_score(F.col("type") == F.col("e_type"), F.col("normal"), F.col("canonical_normalized"), F.coalesce("aliases", F.array().cast("array<string>")), tokens(F.col("context")), tokens(F.col("e_context")), F.lit(0.0))
-    w = Window.partitionBy("mention_id").orderBy(F.desc("score"), "entity_id")
-    best = pairs.withColumn("score", score).withColumn("n", F.row_number().over(w)).where("n = 1").select("mention_id", F.col("entity_id").alias("best"), "score")
+    ranked = scored_candidates(rest.select(*mention.columns), entities)
+    best = ranked.where("rank = 1").select("mention_id", F.col("entity_id").alias("best"), "score")
     new_id = hashed_id("E", F.col("type"), F.col("normal"))
-    routed = rest.join(best, "mention_id", "left").select(
-        "mention_id", "type", "normal", "name",
-        F.when(F.col("score") >= MERGE, F.col("best")).otherwise(new_id).alias("entity_id"),
-        F.when(F.col("score") >= MERGE, "rule_merge").when(F.coalesce("score", F.lit(0.0)) < NEW, "new").otherwise("ambiguous_unresolved").alias("route"),
-        F.coalesce("score", F.lit(0.0)).alias("score"),
-    )
+    j = rest.join(best, "mention_id", "left").withColumn("route", route(F.col("score")))
+    if decisions is not None:
+        allowed = decisions.join(ranked.select("mention_id", "entity_id"), ["mention_id", "entity_id"], "left_semi").where("decision = 'merge'").select("mention_id", "decision", "entity_id")
+        made = allowed.unionByName(decisions.where("decision = 'new'").select("mention_id", "decision", F.lit(None).cast("string").alias("entity_id"))).dropDuplicates(["mention_id"])
+        j = j.join(made.select("mention_id", "decision", F.col("entity_id").alias("decided")), "mention_id", "left")
+        waits = F.col("route") == "ambiguous_unresolved"
+        j = j.withColumn("best", F.when(waits & (F.col("decision") == "merge"), F.col("decided")).otherwise(F.col("best")))
+        j = j.withColumn("route", F.when(waits & (F.col("decision") == "merge"), "decided_merge").when(waits & (F.col("decision") == "new"), "new").otherwise(F.col("route")))
+    merged = F.col("route").isin("rule_merge", "decided_merge")
+    routed = j.select("mention_id", "type", "normal", "name", F.when(merged, F.col("best")).otherwise(new_id).alias("entity_id"), "route", F.coalesce("score", F.lit(0.0)).alias("score"))
     return exact.unionByName(routed)
 
 
 def grown_entities(entities: DataFrame, resolved: DataFrame, now: Column) -> DataFrame:
     """Entities with the aliases that merges add (unless another entity of the type has them), and new entities."""
     taken = entities.select("entity_id", "type", F.explode(F.array_union(F.array("canonical_normalized"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("normal"))
-    fresh = resolved.where("route = 'rule_merge'").select("entity_id", "type", "normal").join(taken.select("type", "normal").distinct(), ["type", "normal"], "left_anti")
+    fresh = resolved.where("route in ('rule_merge', 'decided_merge')").select("entity_id", "type", "normal").join(taken.select("type", "normal").distinct(), ["type", "normal"], "left_anti")
     added = fresh.groupBy("entity_id").agg(F.array_sort(F.collect_set("normal")).alias("__more"))
     old = entities.join(added, "entity_id", "left").withColumn("aliases", F.array_union(F.coalesce("aliases", F.array().cast("array<string>")), F.coalesce("__more", F.array().cast("array<string>")))).drop("__more")
     made = resolved.where("route in ('new', 'ambiguous_unresolved')").groupBy("entity_id").agg(F.min("type").alias("type"), F.min("name").alias("canonical_name"), F.min("normal").alias("canonical_normalized"), F.min("route").alias("resolution_status"))
@@ -112,22 +225,46 @@ def grown_entities(entities: DataFrame, resolved: DataFrame, now: Column) -> Dat
     return old.unionByName(made, allowMissingColumns=True)
 
 
+def fact_candidates(rest: DataFrame, known: DataFrame, most: int = 8) -> DataFrame:
+    """(signature, fact_id, similarity): for each fact the nearest known ones of its predicate; only where it has none, the
+    newest that share its subject or object.
+
+    A join on either is the union of two equi-joins. Without ``embedding`` columns there are only the latter.
+    """
+    near = None
+    if "embedding" in rest.columns and "embedding" in known.columns:
+        near = nearest(rest, known, "signature", "fact_id", "predicate", most).select(F.col("left_id").alias("signature"), F.col("right_id").alias("fact_id"), "similarity")
+    left = rest.select("signature", "subject_id", "object_id")
+    k = known.select("fact_id", F.col("subject_id").alias("ks"), F.col("object_id").alias("ko"), "updated_at")
+    if near is not None:
+        left = left.join(near.select("signature"), "signature", "left_anti")
+    # the newest of all that share either are among the newest of the subject and of the object
+    newest = lambda c: k.withColumn("__k", F.row_number().over(Window.partitionBy(c).orderBy(F.desc("updated_at"), "fact_id"))).where(F.col("__k") <= most).drop("__k")
+    pairs = left.join(newest("ks"), F.col("subject_id") == F.col("ks")).unionByName(left.join(newest("ko"), F.col("object_id") == F.col("ko"))).select("signature", "fact_id", "updated_at").distinct()
+    w = Window.partitionBy("signature").orderBy(F.desc("updated_at"), "fact_id")
+    shared = pairs.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).select("signature", "fact_id", F.lit(0.0).alias("similarity"))
+    return shared if near is None else near.unionByName(shared)
+
+
 def resolved_facts(facts: DataFrame, known: DataFrame) -> DataFrame:
     """Each fact (subject_id, predicate, object_id) with the known fact it is, or a new one: signature, then score.
 
-    Candidates share the subject or the object: two equi-joins instead of one join on a disjunction.
+    Both tables may have ``embedding`` columns; of facts with one signature any vector counts, as they say the same.
     """
-    f = facts.select("subject_id", "predicate", "object_id").distinct().withColumn("signature", fact_signature(F.col("subject_id"), F.col("predicate"), F.col("object_id")))
+    own = ["subject_id", "predicate", "object_id"]
+    f = facts.groupBy(*own).agg(F.first("embedding").alias("embedding")) if "embedding" in facts.columns else facts.select(*own).distinct()
+    f = f.withColumn("signature", fact_signature(F.col("subject_id"), F.col("predicate"), F.col("object_id")))
+    if "updated_at" not in known.columns:
+        known = known.withColumn("updated_at", F.lit(None).cast("timestamp"))
     k = known.select(F.col("fact_id"), F.col("signature").alias("k_signature"), F.col("subject_id").alias("ks"), F.col("predicate").alias("kp"), F.col("object_id").alias("ko"))
-    exact = f.join(k, f.signature == k.k_signature).groupBy(*f.columns).agg(F.min("fact_id").alias("fact_id")).withColumn("route", F.lit("exact")).withColumn("score", F.lit(1.0))
+    exact = f.join(k.groupBy("k_signature").agg(F.min("fact_id").alias("fact_id")), f.signature == F.col("k_signature")).select(*own, "signature", "fact_id", F.lit("exact").alias("route"), F.lit(1.0).alias("score"))
     rest = f.join(exact.select("signature"), "signature", "left_anti")
-    pairs = rest.join(k, rest.subject_id == k.ks).unionByName(rest.join(k, rest.object_id == k.ko)).distinct()
-    scored = pairs.withColumn("score", fact_score(F.col("subject_id") == F.col("ks"), F.col("predicate") == F.col("kp"), F.col("object_id") == F.col("ko"), F.lit(0.0)))
+    scored = rest.drop("embedding").join(fact_candidates(rest, known), "signature").join(k, "fact_id")
+    scored = scored.withColumn("score", fact_score(F.col("subject_id") == F.col("ks"), F.col("predicate") == F.col("kp"), F.col("object_id") == F.col("ko"), F.col("similarity")))
     w = Window.partitionBy("signature").orderBy(F.desc("score"), "fact_id")
     best = scored.withColumn("n", F.row_number().over(w)).where("n = 1").select("signature", F.col("fact_id").alias("best"), "score")
     routed = rest.join(best, "signature", "left")
-    route = F.when(F.col("score") >= FACT_MERGE, "rule_merge").when(F.coalesce("score", F.lit(0.0)) < FACT_NEW, "new").otherwise("ambiguous_unresolved")
-    routed = routed.select(*f.columns, F.when(F.col("score") >= FACT_MERGE, F.col("best")).otherwise(hashed_id("F", F.col("signature"))).alias("fact_id"), route.alias("route"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    routed = routed.select(*own, "signature", F.when(F.col("score") >= FACT_MERGE, F.col("best")).otherwise(hashed_id("F", F.col("signature"))).alias("fact_id"), route(F.col("score"), FACT_MERGE, FACT_NEW).alias("route"), F.coalesce("score", F.lit(0.0)).alias("score"))
     return exact.unionByName(routed)
 
 
@@ -163,26 +300,31 @@ def recounted(facts: DataFrame, claims: DataFrame, touched: DataFrame) -> DataFr
     return marked.select("fact_id", *(F.when(F.col("__t"), F.coalesce(f"__{c}", F.lit(0))).otherwise(F.col(c)).alias(c) if c.endswith("_count") else F.col(c) for c in facts.columns if c != "fact_id"))
 
 
-def reviewed(edges: DataFrame, claims: DataFrame, edge_ids: list[str], status: str) -> tuple[DataFrame, DataFrame]:
-    """Edges and claims after a review; a claim follows the edge that shows it."""
+def reviewed(edges: DataFrame, claims: DataFrame, edge_ids: list[str] | DataFrame, status: str) -> tuple[DataFrame, DataFrame]:
+    """Edges and claims after a review of some edges (ids, or a table of them); a claim follows the edge that shows it."""
     if status not in ("confirmed", "rejected"):
         raise ValueError("a review confirms or rejects")
-    hit = F.col("edge_id").isin(*edge_ids)
-    shown = edges.where(hit).select("claim_id").distinct().withColumn("__hit", F.lit(True))
-    new_claims = claims.join(shown, "claim_id", "left").withColumn("review_status", F.when(F.col("__hit"), status).otherwise(F.col("review_status"))).drop("__hit")
-    return edges.withColumn("review_status", F.when(hit, status).otherwise(F.col("review_status"))), new_claims
+    if isinstance(edge_ids, list):
+        edge_ids = edges.sparkSession.createDataFrame([(x,) for x in edge_ids], "edge_id string")
+    ids = edge_ids.select("edge_id").distinct().withColumn("__hit", F.lit(True))
+    shown = edges.join(ids, "edge_id", "left_semi").select("claim_id").distinct().withColumn("__hit", F.lit(True))
+    follow = F.when(F.col("__hit"), status).otherwise(F.col("review_status"))
+    new_claims = claims.join(shown, "claim_id", "left").withColumn("review_status", follow).select(*claims.columns)
+    return edges.join(ids, "edge_id", "left").withColumn("review_status", follow).select(*edges.columns), new_claims
 
 
 def edges_of(claims: DataFrame) -> DataFrame:
-    """The projection of claims as edges of the older graph, newest claim of an edge id."""
+    """The projection of claims as edges of the older graph; of claims with one edge id the newest, then the least claim id."""
     target = hashed_id("N", F.col("object_type"), F.col("object"), size=20)
     out = claims.select(
         hashed_id("", F.col("paper_id"), target, F.col("predicate"), F.col("stance"), F.col("claim_id"), size=64).alias("edge_id"),
         "claim_id", F.col("paper_id").alias("source_paper_id"), target.alias("target_node_id"), F.col("object").alias("target_name"), relation_of_predicate(F.col("predicate")).alias("relation"), "review_status", "evidence",
+        *(["updated_at"] if "updated_at" in claims.columns else []),
     )
-    return out.dropDuplicates(["edge_id"])
+    w = Window.partitionBy("edge_id").orderBy(*([F.desc("updated_at")] if "updated_at" in claims.columns else []), "claim_id")
+    return out.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def coverage(facts: DataFrame, entities: DataFrame, routes: DataFrame) -> DataFrame:
-    """How many mentions took each route."""
+def coverage(routes: DataFrame) -> DataFrame:
+    """How many mentions or facts took each route."""
     return routes.groupBy("route").agg(F.count("*").alias("n"))

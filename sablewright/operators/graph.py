@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sablewright.functions.schema import REVIEW_STATUSES, USABLE
+from sablewright.functions.text import GRAPH_WORDS, has_word, phrases
+from sablewright.shared import settled
 
 
 def neighbours(edges: DataFrame, start: DataFrame, relation: str | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -18,27 +20,38 @@ def shortest_paths(edges: DataFrame, start: str, goal: str | None, most_depth: i
     """(node, depth, path) of what is reached from ``start`` in at most ``most_depth`` steps, by one shortest path each.
 
     Each round joins only the newest nodes to the edges and leaves out what was reached before, so a node is expanded
-    once; of several shortest paths the least is kept.
+    once; of several shortest paths the least is kept. Every front is written, so that no round computes the ones before it
+    again, and it ends when nothing new is reached.
     """
     spark = edges.sparkSession
     e = edges.select(F.col(src).cast("string").alias("a"), F.col(dst).cast("string").alias("b")).distinct()
     reached = front = spark.createDataFrame([(str(start), 0, [str(start)])], "node string, depth int, path array<string>")
     for depth in range(1, most_depth + 1):
         step = front.join(e, front.node == e.a).select(F.col("b").alias("node"), F.lit(depth).alias("depth"), F.concat("path", F.array("b")).alias("path"))
-        front = step.join(reached.select("node"), "node", "left_anti").groupBy("node", "depth").agg(F.min("path").alias("path"))
+        front = settled(step.groupBy("node", "depth").agg(F.min("path").alias("path")).join(reached.select("node"), "node", "left_anti"))
+        if front.isEmpty():
+            break
         reached = reached.unionByName(front)
     return reached if goal is None else reached.where(F.col("node") == str(goal))
 
 
-def links(edges: DataFrame, src: str, target: str, reason: Column, most_reasons: int | None = None) -> DataFrame:
+#: Sources of a target that meet in one task, about.
+BLOCK_SOURCES = 2_000
+
+
+def links(edges: DataFrame, src: str, target: str, reason: Column, most_reasons: int | None = None, block: int = BLOCK_SOURCES) -> DataFrame:
     """Pairs of sources that share targets, with the number of shared targets and the sorted reasons.
 
-    Each source counts once for a target. The join is on the target; the order of the pair keeps each once.
+    Each source counts once for a target. The join is on the target and, where it has very many sources, on a pair of their
+    blocks too, so that a frequent target is dealt to many tasks; the order of the pair keeps each once.
     """
     one = edges.groupBy(src, target).agg(F.min(reason).alias("reason"))
-    a, b = one.alias("a"), one.alias("b")
-    pairs = a.join(b, (F.col(f"a.{target}") == F.col(f"b.{target}")) & (F.col(f"a.{src}") < F.col(f"b.{src}")))
-    out = pairs.groupBy(F.col(f"a.{src}").alias("left_id"), F.col(f"b.{src}").alias("right_id")).agg(F.count("*").alias("n_shared"), F.array_sort(F.collect_list(F.col("a.reason"))).alias("reasons"))
+    size = one.groupBy(target).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("__blocks"), F.count("*").alias("__n")).where("__n > 1")
+    dealt = one.join(size, target).withColumn("__own", F.pmod(F.xxhash64(src), "__blocks").cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    a = dealt.select(F.col(target).alias("__t"), F.col("__own").alias("__x"), F.col("__other").alias("__y"), F.col(src).alias("left_id"), "reason")
+    b = dealt.select(F.col(target).alias("__t"), F.col("__other").alias("__x"), F.col("__own").alias("__y"), F.col(src).alias("right_id"))
+    pairs = a.join(b, ["__t", "__x", "__y"]).where("left_id < right_id")
+    out = pairs.groupBy("left_id", "right_id").agg(F.count("*").alias("n_shared"), F.array_sort(F.collect_list("reason")).alias("reasons"))
     return out if most_reasons is None else out.withColumn("reasons", F.slice("reasons", 1, most_reasons))
 
 
@@ -69,6 +82,27 @@ def related_papers(edges: DataFrame, phrase: str, n: int = 12) -> DataFrame:
     return searched(edges, phrase, n=n).select(F.col("source_paper_id").alias("paper_id")).distinct()
 
 
+def question_papers(questions: DataFrame, edges: DataFrame, n: int = 12, key: str = "question_id", text: str = "question") -> DataFrame:
+    """(key, phrase, paper_id): the papers that the graph proposes for questions that ask for relations.
+
+    Of a question's phrases, the longest first, the first counts that stands in a usable edge's target or evidence; the papers
+    of the ``n`` newest such edges are proposed. Questions are a set of bounded size; phrases meet edges in blocks.
+    """
+    asked = questions.where(has_word(F.col(text), GRAPH_WORDS)).select(key, F.posexplode(phrases(F.col(text))).alias("__k", "phrase"))
+    usable = edges.where(F.col("review_status").isin(*USABLE)).select("edge_id", "source_paper_id", "updated_at", F.lower(F.concat_ws("\n", "target_name", "evidence")).alias("__text"))
+    wanted = asked.select(F.lower("phrase").alias("__p")).distinct()
+    blocks = max(1, -(-wanted.count() // 5_000))
+    hits = None
+    for k in range(blocks):
+        part = F.broadcast(wanted.where(F.pmod(F.xxhash64("__p"), F.lit(blocks)) == k))
+        found = usable.join(part, F.contains("__text", "__p")).select("__p", "edge_id", "source_paper_id", "updated_at")
+        hits = found if hits is None else hits.unionByName(found)
+    newest = Window.partitionBy("__p").orderBy(F.desc("updated_at"), "edge_id")
+    hits = hits.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= n)
+    first = asked.join(hits.select("__p").distinct(), F.lower("phrase") == F.col("__p"), "left_semi").groupBy(key).agg(F.min_by("phrase", "__k").alias("phrase"))
+    return first.join(hits, F.lower("phrase") == F.col("__p")).select(key, "phrase", F.col("source_paper_id").alias("paper_id")).distinct()
+
+
 def merged_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Nodes by type and normal name; existing ids stay."""
     w = Window.partitionBy("node_type", "normalized_name").orderBy("__new", "node_id")

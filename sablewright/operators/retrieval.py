@@ -132,6 +132,18 @@ def two_level(chunks: DataFrame, vectors: DataFrame, papers: DataFrame, query: s
     return hybrid(inside, vectors, query, query_vector, n, id_col=id_col)
 
 
+def cases_run(cases: DataFrame, chunks: DataFrame, words: int, n: int, case: str = "case_id", id_col: str = "doc_id") -> DataFrame:
+    """(case, id, rank): for each case the chunks that hold all of its first words, the ``n`` with most of them first.
+
+    Cases are a set of bounded size; their words are, too. Each chunk is looked at once, and gives rows only for cases that it fits.
+    """
+    asked = cases.select(case, F.array_distinct(F.slice(tokens(F.col("text")), 1, words)).alias("__t")).where(F.size("__t") > 0)
+    w = chunks.select(id_col, tokens(F.col("text")).alias("__w"))
+    hits = w.join(F.broadcast(asked.withColumn("__a", F.col("__t")[0])), F.array_contains("__w", F.col("__a")) & (F.size(F.array_intersect("__w", "__t")) == F.size("__t")))
+    scored = hits.select(case, id_col, F.size(F.filter("__w", lambda x: F.array_contains("__t", x))).alias("score"))
+    return top_in(scored, n, [case], "score", id_col)
+
+
 def section_filtered(hits: DataFrame, sections: Sequence[str], section_col: str = "section", more_than: int = 3, at_least: int = 3) -> DataFrame:
     """Hits of the wanted sections or without one, if there are more than three hits and at least three stay; else all."""
     all_rows = Window.partitionBy(F.lit(1))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sablewright.functions.names import acronym_of, blocking_keys_of, entity_score, normal_name, token_jaccard
 from sablewright.functions.schema import fact_signature, hashed_id
 from sablewright.functions.text import evidence_form, tokens
-from sablewright.operators import chunking, evaluation, evidence, graph
+from sablewright.operators import evaluation, evidence, graph
 from sablewright.plans.registry import query
 from sablewright.sources.tables import table
 
@@ -18,9 +18,9 @@ def fact_counts(spark: SparkSession, d: str) -> DataFrame:
     return evidence.fact_counts(table(spark, d, "lineitem").withColumnRenamed("l_partkey", "fact_id"), stance="l_returnflag", status="l_linestatus", usable=("F",), waiting="O", support="R", contradict="A")
 
 
-@query("WITH e AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_quantity >= 45) SELECT a.l_suppkey AS left_id, b.l_suppkey AS right_id, count(*) AS n_shared, string_agg(a.l_partkey::VARCHAR, ',' ORDER BY a.l_partkey) AS reasons FROM e a JOIN e b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2")
+@query("WITH e AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) SELECT a.l_suppkey AS left_id, b.l_suppkey AS right_id, count(*) AS n_shared, string_agg(a.l_partkey::VARCHAR, ',' ORDER BY a.l_partkey) AS reasons FROM e a JOIN e b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2")
 def paper_links(spark: SparkSession, d: str) -> DataFrame:
-    edges = table(spark, d, "lineitem").where("l_quantity >= 45").select("l_suppkey", "l_partkey")
+    edges = table(spark, d, "lineitem").select("l_suppkey", "l_partkey")
     out = graph.links(edges, "l_suppkey", "l_partkey", F.col("l_partkey"))
     return out.withColumn("reasons", F.array_join(F.transform("reasons", lambda x: x.cast("string")), ","))
 
@@ -58,10 +58,10 @@ def entity_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", hashed_id("E", F.col("p_type"), F.col("p_name")).alias("entity_id"))
 
 
-@query("SELECT DISTINCT l_suppkey || '|USES_DATASET|' || l_partkey AS signature, 'F' || substr(sha256(l_suppkey || '|USES_DATASET|' || l_partkey), 1, 24) AS fact_id FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT DISTINCT l_suppkey || '|USES_DATASET|' || l_partkey AS signature, 'F' || substr(sha256(l_suppkey || '|USES_DATASET|' || l_partkey), 1, 24) AS fact_id FROM lineitem")
 def fact_signatures(spark: SparkSession, d: str) -> DataFrame:
     s = fact_signature(F.col("l_suppkey").cast("string"), F.lit("USES_DATASET"), F.col("l_partkey").cast("string"))
-    return table(spark, d, "lineitem").where("l_linenumber = 1").select(s.alias("signature")).distinct().withColumn("fact_id", hashed_id("F", F.col("signature")))
+    return table(spark, d, "lineitem").select(s.alias("signature")).distinct().withColumn("fact_id", hashed_id("F", F.col("signature")))
 
 
 @query("SELECT doc_id, sha256(text) AS content_sha256, md5(text) AS content_md5 FROM documents WHERE text IS NOT NULL")
@@ -70,24 +70,24 @@ def content_hashes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.sha2(raw, 256).alias("content_sha256"), F.md5(raw).alias("content_md5"))
 
 
-_KEYS = "k AS (SELECT p_partkey, p_type, lower(p_name) AS n, unnest(['name:' || lower(p_name), 'first:' || split_part(lower(p_name), ' ', 1), 'prefix:' || substr(lower(p_name), 1, 8)]) AS key FROM part WHERE p_size <= 5)"
+_KEYS = "k AS (SELECT p_partkey, p_type, lower(p_name) AS n, unnest(['name:' || lower(p_name), 'first:' || split_part(lower(p_name), ' ', 1), 'prefix:' || substr(lower(p_name), 1, 8)]) AS key FROM part)"
 
 
-def _small_parts(spark: SparkSession, d: str) -> DataFrame:
+def _parts(spark: SparkSession, d: str) -> DataFrame:
     low = F.lower("p_name")
     keys = F.array(F.concat(F.lit("name:"), low), F.concat(F.lit("first:"), F.split(low, " ")[0]), F.concat(F.lit("prefix:"), F.substring(low, 1, 8)))
-    return table(spark, d, "part").where("p_size <= 5").select("p_partkey", F.col("p_type").alias("type"), low.alias("normal"), keys.alias("blocking_keys"))
+    return table(spark, d, "part").select("p_partkey", F.col("p_type").alias("type"), low.alias("normal"), keys.alias("blocking_keys"))
 
 
 @query(f"WITH {_KEYS} SELECT DISTINCT a.p_partkey AS left_id, b.p_partkey AS right_id FROM k a JOIN k b ON a.p_type = b.p_type AND a.key = b.key AND a.p_partkey < b.p_partkey")
 def blocking_candidates(spark: SparkSession, d: str) -> DataFrame:
-    p = _small_parts(spark, d)
+    p = _parts(spark, d)
     return evidence.blocked(p, p, "p_partkey", "p_partkey").where("left_id < right_id")
 
 
 @query(f"WITH {_KEYS}, c AS (SELECT DISTINCT a.p_partkey AS left_id, b.p_partkey AS right_id, string_split(a.n, ' ') AS x, string_split(b.n, ' ') AS y FROM k a JOIN k b ON a.p_type = b.p_type AND a.key = b.key AND a.p_partkey < b.p_partkey) SELECT left_id, right_id, round(len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))), 6) AS jaccard FROM c")
 def token_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = _small_parts(spark, d)
+    p = _parts(spark, d)
     t = p.select("p_partkey", F.split("normal", " ").alias("t"))
     pairs = evidence.blocked(p, p, "p_partkey", "p_partkey").where("left_id < right_id")
     both = pairs.join(t.select(F.col("p_partkey").alias("left_id"), F.col("t").alias("x")), "left_id").join(t.select(F.col("p_partkey").alias("right_id"), F.col("t").alias("y")), "right_id")
@@ -169,24 +169,3 @@ def entity_scores(spark: SparkSession, d: str) -> DataFrame:
     b = p.select(F.col("p_partkey").alias("right_id"), F.col("normal").alias("y"), F.col("context").alias("cy"))
     both = pairs.join(a, "left_id").join(b, "right_id")
     return both.select("left_id", "right_id", entity_score(F.lit(True), F.col("x"), F.col("y"), F.array().cast("array<string>"), F.col("cx"), F.col("cy"), F.lit(0.0)).alias("score"))
-
-
-@query()
-def html_sections(spark: SparkSession, d: str) -> DataFrame:
-    """Sections of the pages, their headings written as Markdown first."""
-    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style|nav|footer)\b.*?</\1>", ""), r"(?i)<h([1-6])[^>]*>", "\n# ")
-    plain = F.regexp_replace(F.regexp_replace(text, r"(?i)</h[1-6]>|</?p[^>]*>|<br[^>]*>", "\n"), r"<[^>]*>", "")
-    return chunking.sections(table(spark, d, "pages").select(F.col("page_id").alias("paper_id"), plain.alias("markdown")))
-
-
-@query()
-def markdown_chunks(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", chunking.packed_sentences(F.col("text")).alias("c"))
-    return docs.select("doc_id", F.posexplode("c").alias("chunk_index", "content"))
-
-
-@query()
-def merge_short_chunks(spark: SparkSession, d: str) -> DataFrame:
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
-    docs = table(spark, d, "documents").select("doc_id", chunking.merged_short(lines).alias("m"))
-    return docs.select("doc_id", F.posexplode("m").alias("chunk_index", "m")).select("doc_id", "chunk_index", "m.content", "m.merged")

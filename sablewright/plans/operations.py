@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sablewright.functions.scores import importance
 from sablewright.operators import memory, queues, sessions
 from sablewright.plans.registry import query
-from sablewright.sources.changes import changed, latest, upsert, within_bytes
+from sablewright.sources.changes import changed, latest, upsert
 from sablewright.sources.tables import table, timed
 from sablewright.streaming import jobs as streaming
 
@@ -110,9 +110,9 @@ def memory_merge(spark: SparkSession, d: str) -> DataFrame:
     return memory.similar_pairs(m).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("WITH g AS (SELECT user_id, event_type AS type, least(sum(value / 5), 10e0) AS w FROM events WHERE value > 0 GROUP BY 1, 2) SELECT user_id, type, round(w, 6) AS weight FROM g")
+@query("WITH g AS (SELECT user_id, event_type AS type, least(sum(greatest(value, 0) / 5), 10e0) AS w FROM events GROUP BY 1, 2) SELECT user_id, type, round(w, 6) AS weight FROM g")
 def memory_reinforce(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("value > 0").select("user_id", F.col("event_type").alias("type"), F.col("event_type").alias("content"), F.col("value").alias("importance"))
+    e = table(spark, d, "events").select("user_id", F.col("event_type").alias("type"), F.col("event_type").alias("content"), F.greatest(F.lit(0.0), "value").alias("importance"))
     none = spark.createDataFrame([], "user_id long, type string, content string, weight double, last_accessed timestamp, access_count long")
     return memory.reinforced(none, e, _now()).select("user_id", "type", F.round("weight", 6).alias("weight"))
 
@@ -170,12 +170,6 @@ def latest_wins(spark: SparkSession, d: str) -> DataFrame:
     return latest(table(spark, d, "lineitem"), ["l_orderkey"], [F.desc("l_extendedprice"), F.asc("l_linenumber")]).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query()
-def truncated_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Texts cut to 8192 bytes between characters."""
-    return table(spark, d, "documents").select("doc_id", within_bytes(F.col("text"), 8192).alias("text"))
-
-
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2, 3")
 def event_windows_tumbling(spark: SparkSession, d: str) -> DataFrame:
     out = streaming.tumbling(table(spark, d, "events"), "1 hour")
@@ -199,14 +193,6 @@ def latest_state(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"), F.max_by("value", "event_id").alias("value"))
 
 
-@query()
-def capacity_slots(spark: SparkSession, d: str) -> DataFrame:
-    """Start times of token-limited calls: each user's events as calls whose tokens follow the value."""
-    e = timed(table(spark, d, "events"), "ts")
-    calls = e.select(F.col("user_id").cast("string").alias("scheduler"), F.col("event_id").alias("seq"), (F.unix_micros("ts") / F.lit(1e6)).alias("at"), F.greatest(F.lit(1), F.coalesce("value", F.lit(0.0))).cast("long").alias("tokens"))
-    return streaming.reserved(calls, 8000.0)
-
-
 @query("WITH r AS (SELECT user_id, event_type, sum(value) AS v FROM events GROUP BY 1, 2) SELECT event_type, count(*) AS n_users, round(sum(v), 6) AS total FROM r GROUP BY event_type")
 def diagnostics_merge(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.sum("value").alias("v"))

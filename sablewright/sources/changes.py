@@ -36,6 +36,12 @@ def changed(df: DataFrame, condition: Column, **values: Column) -> DataFrame:
     return df.withColumns({c: F.when(condition, v).otherwise(F.col(c) if c in df.columns else F.lit(None)) for c, v in values.items()})
 
 
+def appended(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``old`` and the rows of ``new`` after it, in the columns and types of ``old``; what ``new`` lacks is null, what it has beyond them is left out."""
+    fit = [(F.col(f.name).cast(f.dataType) if f.name in new.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in old.schema]
+    return old.unionByName(new.select(*fit))
+
+
 def without(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     """Cascade delete: rows whose key is in ``gone`` go."""
     return df.join(gone.select(*keys).distinct(), keys, "left_anti")

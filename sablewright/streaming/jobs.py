@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -58,14 +58,19 @@ def reserve(rows: pd.DataFrame, next_slot: float, limit: float) -> tuple[pd.Data
 
 
 def reserved(calls: DataFrame, limit: float, key: str = "scheduler") -> DataFrame:
-    """Batch form: start times of all calls of each scheduler, in order of time."""
+    """Batch form: (key, seq, ready_at, wait_seconds) of all calls of each scheduler, in order of time.
 
-    def run(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out, _ = reserve(rows, 0.0, limit)
-        out.insert(0, key, k[0])
-        return out
-
-    return calls.groupBy(key).applyInPandas(run, f"{key} string, seq long, ready_at double, wait_seconds double")
+    A call's slot ends at the greatest, over it and all calls before it, of the call's time and what it and those after
+    it use up. That is a running sum and a running maximum, so no frame holds a scheduler's calls.
+    """
+    if limit <= 0:
+        return calls.select(key, "seq", F.col("at").alias("ready_at"), F.lit(0.0).alias("wait_seconds"))
+    w = Window.partitionBy(key).orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    used = F.greatest(F.lit(0.05), F.greatest(F.lit(1), F.col("tokens")) / F.lit(float(limit)) * 60)
+    c = calls.withColumn("__used", used).withColumn("__sum", F.sum("__used").over(w))
+    c = c.withColumn("__lead", F.max(F.col("at") - (F.col("__sum") - F.col("__used"))).over(w))
+    ready = F.greatest(F.col("at"), F.col("__sum") + F.col("__lead") - F.col("__used"))
+    return c.select(key, "seq", ready.alias("ready_at"), (ready - F.col("at")).alias("wait_seconds"))
 
 
 def reserved_stream(calls: DataFrame, limit: float, key: str = "scheduler") -> DataFrame:
@@ -81,32 +86,34 @@ def reserved_stream(calls: DataFrame, limit: float, key: str = "scheduler") -> D
     return calls.groupBy(key).applyInPandasWithState(run, f"{key} string, seq long, ready_at double, wait_seconds double", "slot double", "append", GroupStateTimeout.NoTimeout)
 
 
-def rate_after(outcomes: list[str], configured: int, floor: int = 4000, threshold: int = 20) -> list[int]:
-    """The admitted rate after each outcome: halved by a rate limit, a tenth more after ``threshold`` successes."""
-    rate, streak, out = configured, 0, []
-    for o in outcomes:
-        if o == "rate_limit":
-            rate, streak = max(min(max(1, floor), configured), min(configured, max(1, rate // 2))), 0
-        elif o == "success":
-            streak += 1
-            if streak >= max(1, threshold) and rate < configured:
-                rate, streak = min(configured, max(rate + 1, (rate * 11 + 9) // 10)), 0
-        out.append(rate)
-    return out
-
-
-def breaker(outcomes: list[tuple[float, bool]], threshold: int = 3, pause: float = 300.0) -> list[tuple[bool, float | None]]:
-    """After each (time, ok): whether the breaker is open, and until when; a success closes it."""
-    failures, until, out = 0, None, []
-    for at, ok in outcomes:
-        if ok:
-            failures, until = 0, None
-        else:
-            failures += 1
-            if failures >= threshold:
-                until = at + pause
-        out.append((until is not None and until > at, until))
-    return out
+def rates(outcomes: Column, configured: int, floor: int = 4000, threshold: int = 20) -> Column:
+    """The admitted rate after each of an array of outcomes: halved by a rate limit, a tenth more after ``threshold`` successes."""
+    least, need = min(max(1, floor), configured), max(1, threshold)
+    start = F.struct(F.lit(configured).cast("long").alias("rate"), F.lit(0).alias("streak"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(s: Column, o: Column) -> Column:
+        halved = F.greatest(F.lit(least).cast("long"), F.least(F.lit(configured).cast("long"), F.greatest(F.lit(1).cast("long"), F.floor(s.rate / 2))))
+        grows = (o == "success") & (s.streak + 1 >= need) & (s.rate < configured)
+        more = F.least(F.lit(configured).cast("long"), F.greatest(s.rate + 1, F.floor((s.rate * 11 + 9) / 10)))
+        rate = F.when(o == "rate_limit", halved).when(grows, more).otherwise(s.rate)
+        streak = F.when((o == "rate_limit") | grows, 0).when(o == "success", s.streak + 1).otherwise(s.streak)
+        return F.struct(rate.alias("rate"), streak.alias("streak"), F.concat(s.out, F.array(rate)).alias("out"))
+
+    return F.aggregate(outcomes, start, step, lambda s: s.out)
+
+
+def breaker(calls: DataFrame, threshold: int = 3, pause: float = 300.0, key: str = "scheduler") -> DataFrame:
+    """After each call (key, seq, at, ok): the failures in a row, whether the breaker is open, and until when.
+
+    A success closes it. Failures in a row are counted since the last success.
+    """
+    w = Window.partitionBy(key).orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = calls.withColumn("__run", F.count_if("ok").over(w))
+    since = Window.partitionBy(key, "__run").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    failures = F.count_if(~F.col("ok")).over(since)
+    c = run.withColumn("failures", failures)
+    until = F.when(~F.col("ok") & (F.col("failures") >= threshold), F.col("at") + F.lit(float(pause)))
+    return c.select(key, "seq", "at", F.when(F.col("ok"), 0).otherwise(F.col("failures")).cast("long").alias("failures"), F.coalesce(until > F.col("at"), F.lit(False)).alias("open"), until.alias("until"))
 
 
 def worker(jobs: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> Any:

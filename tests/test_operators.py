@@ -1,6 +1,7 @@
 """Operators against plain Python definitions and small worked cases."""
 
 import datetime
+import random
 import re
 import zipfile
 
@@ -196,6 +197,127 @@ def test_sessions(spark):
     assert [(r.field, r.after) for r in sessions.changed_profiles(old, new, ("topics", "goals")).collect()] == [("topics", ["a", "b"])]
 
 
+def test_identity_by_history_switch_and_comparison(spark):
+    past = "array<struct<primary:string,paper_ids:array<string>,status:string>>"
+    rows = [
+        (1, "总结实验结果", None, None, [("P001", ["P001"], "resolved"), (None, [], "unresolved")]), (2, "分析新论文", "P001", "P002", []), (3, "把当前论文和 Paper Bee 对比一下", "P001", None, []),
+        (4, "帮我找 PINN 相关论文", "P001", None, []), (5, "帮我找几篇类似论文", "P001", None, []), (6, "分析 Graph Retrieval for Science Extended", None, None, []), (7, "see 2401.01234v2", "P001", None, []),
+    ]
+    t = spark.createDataFrame(rows, f"turn_id int, query string, focus string, target string, history {past}")
+    p = spark.createDataFrame([("P002", "Paper Bee", None), ("P003", "Graph Retrieval for Science", None), ("P004", "Graph Retrieval for Science Extended", None), ("2401.01234", "New", None)], "paper_id string, title string, doi string")
+    got = {r.turn_id: (r.paper_id, r.paper_ids, r.source, r.status, r.inherited, r.switched_from) for r in sessions.identified(t, p).collect()}
+    assert got == {
+        1: ("P001", ["P001"], "history_resolution", "resolved", True, None),
+        2: ("P002", ["P002"], "explicit_target", "switch", False, "P001"),
+        3: ("P001", ["P001", "P002"], "title_match", "resolved", True, None),
+        4: (None, [], "none", "unresolved", False, None),
+        5: ("P001", ["P001"], "session_focus", "resolved", True, None),
+        6: (None, ["P003", "P004"], "title_match", "ambiguous", False, None),
+        7: ("2401.01234", ["2401.01234"], "arxiv_id", "switch", False, "P001"),
+    }
+
+
+def entities_and_mentions(spark):
+    from sablewright.functions.names import blocking_keys_of
+
+    e = spark.createDataFrame([("E1", "method", "graph neural network", "", [1.0, 0.0, 0.0], T(1)), ("E2", "method", "quite another thing", "", [0.0, 1.0, 0.0], T(2)), ("E3", "model", "graph neural network", "", [1.0, 0.0, 0.0], T(3))], "entity_id string, type string, canonical_normalized string, context string, embedding array<double>, updated_at timestamp")
+    e = e.withColumn("aliases", F.array("canonical_normalized")).withColumn("blocking_keys", blocking_keys_of(F.col("canonical_normalized")))
+    m = spark.createDataFrame([("method", "graph neural networkx", "Graph neural networkx", "", [0.99, 0.1, 0.0]), ("method", "zzz", "zzz", "", [0.0, 0.0, 1.0]), ("method", "graph neural network", "GNN", "", [0.0, 0.0, 0.0])], "type string, normal string, name string, context string, embedding array<double>")
+    return m, e
+
+
+def test_resolution_with_vectors(spark):
+    """Near names merge with the help of their vectors; without vectors they can't; decisions settle what is ambiguous."""
+    m, e = entities_and_mentions(spark)
+    near = {(r.mention_id, r.entity_id): r.similarity for r in evidence.candidates(m, e).collect()}
+    assert near["method:graph neural networkx", "E1"] == pytest.approx(0.99 / (0.99**2 + 0.1**2) ** 0.5) and near["method:zzz", "E2"] == 0.0
+    assert not any(r == "E3" for _, r in near)
+    got = {r.normal: (r.entity_id, r.route) for r in evidence.resolved_entities(m.withColumn("context", F.lit("a b")), e.withColumn("context", F.lit("a b"))).collect()}
+    assert got["graph neural networkx"] == ("E1", "rule_merge") and got["graph neural network"] == ("E1", "exact") and got["zzz"][1] == "new"
+    plain = {r.normal: r.route for r in evidence.resolved_entities(m.drop("embedding"), e).collect()}
+    assert plain["graph neural networkx"] == "new" or plain["graph neural networkx"] == "ambiguous_unresolved"
+    d = spark.createDataFrame([("method:graph neural networkx", "merge", "E1"), ("method:zzz", "merge", "E1")], "mention_id string, decision string, entity_id string")
+    decided = {r.normal: (r.entity_id, r.route) for r in evidence.resolved_entities(m, e, d).collect()}
+    assert decided["graph neural networkx"] == ("E1", "decided_merge") and decided["zzz"][1] == "new"
+    wrong = d.withColumn("entity_id", F.lit("E3"))
+    assert {r.normal: r.route for r in evidence.resolved_entities(m, e, wrong).collect()}["graph neural networkx"] == "ambiguous_unresolved"
+
+
+def test_nearest_equals_brute_force(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    rows = [(k, int(k % 3), [float(x) for x in r.integers(-2, 3, 4)]) for k in range(120)] + [(500, 0, None), (501, 0, []), (502, None, [1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id int, g int, embedding array<double>")
+    got = {}
+    for x in evidence.nearest(df.where("id % 5 = 0"), df, "id", "id", "g", 4, block=7).collect():
+        got.setdefault(x.left_id, []).append((-round(x.similarity, 9), x.right_id))
+    unit = {k: np.array(v) / n for k, g, v in rows if v and (n := np.linalg.norm(v))}
+    for q, g, _ in rows:
+        if q % 5 == 0 and q in unit and g is not None:
+            want = sorted((-round(float(unit[q] @ unit[k]), 9), k) for k, h, _ in rows if h == g and k in unit)[:4]
+            assert [a for a, _ in sorted(got[q])] == pytest.approx([a for a, _ in want])
+    assert 500 not in got and 502 not in got
+
+
+def test_facts_with_vectors(spark):
+    """Facts of no near vector fall back to those that share subject or object; the newest eight count."""
+    known = spark.createDataFrame([(f"F{k}", f"a|SOLVES|o{k}", "a", "SOLVES", f"o{k}", [1.0, 0.0], T(k + 1)) for k in range(12)], "fact_id string, signature string, subject_id string, predicate string, object_id string, embedding array<double>, updated_at timestamp")
+    new = spark.createDataFrame([("a", "IMPROVES", "x", [1.0, 0.0]), ("b", "SOLVES", "o3", [1.0, 0.1]), ("a", "SOLVES", "o1", [0.0, 1.0])], "subject_id string, predicate string, object_id string, embedding array<double>")
+    f = new.withColumn("signature", F.concat_ws("|", "subject_id", "predicate", "object_id"))
+    c = evidence.fact_candidates(f, known).collect()
+    assert {x.fact_id for x in c if x.signature == "a|IMPROVES|x"} == {f"F{k}" for k in range(4, 12)}  # no fact of its predicate
+    assert len([x for x in c if x.signature == "b|SOLVES|o3"]) == 8 and all(x.similarity > 0.99 for x in c if x.signature == "b|SOLVES|o3")
+    got = {x.signature: (x.route, x.fact_id) for x in evidence.resolved_facts(new, known).collect()}
+    assert got["a|SOLVES|o1"] == ("exact", "F1") and got["a|IMPROVES|x"][0] == "new"
+
+
+def test_links_of_frequent_targets(spark):
+    r = random.Random(2)
+    e = [(r.randrange(30), r.choice([0, 0, 0, 1, 2])) for _ in range(300)]
+    df = spark.createDataFrame(e, "s int, t int")
+    got = [{(x.left_id, x.right_id): (x.n_shared, x.reasons) for x in graph.links(df, "s", "t", F.col("t"), block=b).collect()} for b in (4, 1000)]
+    own = {}
+    for s_, t_ in e:
+        own.setdefault(s_, set()).add(t_)
+    want = {(a, b): (len(own[a] & own[b]), sorted(own[a] & own[b])) for a in own for b in own if a < b and own[a] & own[b]}
+    assert got[0] == want and got[1] == want
+
+
+def test_question_papers(spark):
+    rows = [("1", "p", "Deep Graph Nets", "", "auto_verified", T(1)), ("2", "q", "graph", "", "confirmed", T(2)), ("3", "r", "Deep Graph Nets", "", "rejected", T(3))]
+    e = spark.createDataFrame(rows, "edge_id string, source_paper_id string, target_name string, evidence string, review_status string, updated_at timestamp")
+    q = spark.createDataFrame([(1, "哪些论文使用 deep graph nets 和 graph"), (2, "什么是 deep graph nets"), (3, "compare graph"), (4, "使用 nothing known")], "question_id int, question string")
+    assert sorted((r.question_id, r.phrase, r.paper_id) for r in graph.question_papers(q, e).collect()) == [(1, "deep graph nets", "p")]
+    assert sorted((r.question_id, r.phrase) for r in graph.question_papers(q.withColumn("question", F.replace("question", F.lit("compare graph"), F.lit("共同 graph"))), e).collect()) == [(1, "deep graph nets"), (3, "graph"), (3, "graph")]
+
+
+def test_memories_merge_along_chains(spark):
+    """What goes into a memory that goes itself counts for the one that stays."""
+    w = [f"w{k}" for k in range(12)]
+    rows = [("a", " ".join(w[:10]), 5.0), ("b", " ".join(w[1:11]), 4.0), ("c", " ".join(w[2:12]), 3.0), ("d", "else", 1.0)]
+    m = spark.createDataFrame([(i, "u", "t", c, x) for i, c, x in rows], "memory_id string, user_id string, type string, content string, weight double")
+    assert {r.memory_id: r.weight for r in memory.merged(m).collect()} == {"a": 6.0, "d": 1.0}
+
+
+def test_mentions_are_bounded(spark):
+    rows = [("x", "task", f"evidence {k:05d}", "y", "task") for k in range(700)] + [("x", "task", "", "y", "task")]
+    c = spark.createDataFrame(rows, "subject string, subject_type string, evidence string, object string, object_type string")
+    got = {r.name: r for r in evidence.mentions(c).collect()}
+    assert got["x"].n == 701 and got["x"].context == " ".join(f"evidence {k:05d}" for k in range(100))[:1000]
+
+
+def test_old_sessions_load(spark):
+    df = spark.createDataFrame([("s", ["p", "q"], None), ("t", None, None), ("u", ["p"], ("f", ["f"], "explicit_target", 1.0))], "session_id string, active_paper_ids array<string>, paper_focus struct<primary_paper_id:string,active_paper_ids:array<string>,source:string,confidence:double>")
+    got = {r.session_id: (r.paper_focus.primary_paper_id, r.paper_focus.source, r.user_id) for r in sessions.loaded(df).collect()}
+    assert got == {"s": ("p", "session_focus", "local-user"), "t": (None, None, "local-user"), "u": ("f", "explicit_target", "local-user")}
+
+
+def test_newest_edge_counts(spark):
+    c = spark.createDataFrame([("p", "task", "o", "SOLVES", "support", "C1", s, "e", T(k)) for k, s in ((1, "auto_verified"), (3, "rejected"), (2, "confirmed"))], "paper_id string, object_type string, object string, predicate string, stance string, claim_id string, review_status string, evidence string, updated_at timestamp")
+    assert [r.review_status for r in evidence.edges_of(c).collect()] == ["rejected"]
+
+
 def test_evaluation(spark):
     runs = spark.createDataFrame([(["a", "b"], ["a", "a", "c"], True, False, False, 120.0), ([], ["x"], False, True, True, 80.0)], "expected array<string>, ranked array<string>, citations_ok boolean, should_abstain boolean, abstained boolean, latency_ms double")
     r = evaluation.summary(runs).first()
@@ -236,13 +358,22 @@ def test_upsert_and_admission(spark):
     assert changes.admitted(up, known, 0, 100, 50, 20).where("sequence = 1").first().verdict == "skipped"
 
 
-def test_capacity_and_breaker():
+def test_capacity_and_breaker(spark):
     import pandas as pd
 
-    out, slot = streaming.reserve(pd.DataFrame({"seq": [1, 2, 3], "at": [0.0, 1.0, 100.0], "tokens": [800, 400, 80]}), 0.0, 8000.0)
+    frame = pd.DataFrame({"seq": [1, 2, 3], "at": [0.0, 1.0, 100.0], "tokens": [800, 400, 80]})
+    out, slot = streaming.reserve(frame, 0.0, 8000.0)
     assert list(out.ready_at) == [0.0, 6.0, 100.0] and slot == pytest.approx(100.6)
-    assert streaming.rate_after(["rate_limit"] + ["success"] * 20, 8000) == [4000] * 20 + [4400]
-    assert streaming.breaker([(0, False), (1, False), (2, False), (3, True)]) == [(False, None), (False, None), (True, 302.0), (False, None)]
+    r = random.Random(4)
+    many = pd.DataFrame({"seq": range(200), "at": [r.choice([1.0, 2.5]) * k * r.random() for k in range(200)], "tokens": [r.randint(0, 900) for _ in range(200)]})
+    for f in (frame, many):
+        want, _ = streaming.reserve(f, 0.0, 8000.0)
+        got = streaming.reserved(spark.createDataFrame(f.assign(scheduler="s")), 8000.0).orderBy("seq").collect()
+        assert [x.ready_at for x in got] == pytest.approx(list(want.sort_values("seq").ready_at))
+    rates = spark.createDataFrame([(["rate_limit"] + ["success"] * 20,)], "o array<string>").select(streaming.rates(F.col("o"), 8000)).first()[0]
+    assert rates == [4000] * 20 + [4400]
+    calls = spark.createDataFrame([("s", k, float(k), ok) for k, ok in enumerate([False, False, False, True, False])], "scheduler string, seq int, at double, ok boolean")
+    assert [(x.failures, x.open, x.until) for x in streaming.breaker(calls).orderBy("seq").collect()] == [(1, False, None), (2, False, None), (3, True, 302.0), (0, False, None), (1, False, None)]
 
 
 def test_streams_equal_batch(spark, tmp_path):

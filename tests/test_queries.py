@@ -3,7 +3,7 @@
 import oracle
 import pytest
 
-from sablewright.plans import graph, operations, registry, retrieval, service  # noqa: F401
+from sablewright.plans import graph, operations, registry, resolution, retrieval, service, texts  # noqa: F401
 
 
 @pytest.fixture(scope="module")
