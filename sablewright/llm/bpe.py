@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from sablewright.llm.common import by_batch, field_of, held, small_batches
 
 #: Pieces whose ids, and pairs of tokens whose borders, a worker keeps; beyond it the memory is emptied, which changes no result.
-CACHE_PIECES, CACHE_PAIRS = 150_000, 200_000
+CACHE_PIECES, CACHE_PAIRS = 400_000, 200_000
 _WHITE = r"\t-\r \x85\xa0"
 _LATIN_L = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 _LATIN_N = "0-9²³¹¼½¾"
@@ -90,7 +90,8 @@ class PrefixBpe:
             self.token[r] = t
         self.size = [len(t) for t in self.token]
         self.longest = max(self.size)
-        self.tails = {t[i:] for t in ranks for i in range(len(t))}
+        #: Each end of a token: its rank where it is a token itself, else -1.
+        self.ends = dict.fromkeys((t[i:] for t in ranks for i in range(len(t))), -1) | ranks
         self.split = [(r, r) for r in range(len(self.token))]
         self.pair: dict[tuple[int, int], int] = {}
         self._fits: dict[tuple[int, int], bool] = {}
@@ -137,24 +138,23 @@ class PrefixBpe:
                 a = inner
 
     def _fill(self, data: bytes, last: list[int], begin: int, stop: int | None = None) -> None:
-        ranks, tails, fits, size = self.ranks, self.tails, self._fits, self.size
+        ends, fits, size, split = self.ends.get, self._fits, self.size, self.split
+        known = fits.get
         for end in range(begin + 1, (len(data) if stop is None else stop) + 1):
             start = end - 1
-            while start >= 0:
-                part = data[start:end]
-                if part not in tails:
-                    start = -1
-                    break
-                t = ranks.get(part)
-                if t is not None:
+            while True:
+                t = ends(data[start:end])
+                if t is None:
+                    raise ValueError(f"the ranks can't encode byte {end - 1} of a piece")
+                if t >= 0:
                     if not start:
                         # a token that is the whole prefix is valid if it is its own encoding
-                        if self.split[t][0] != t or size[t] == 1:
+                        if split[t][0] != t or size[t] == 1:
                             last.append(t)
                             break
                     else:
                         key = (last[start - 1], t)
-                        ok = fits.get(key)
+                        ok = known(key)
                         if ok is None:
                             if len(fits) > CACHE_PAIRS:
                                 fits.clear()
@@ -162,11 +162,9 @@ class PrefixBpe:
                         if ok:
                             last.append(t)
                             break
+                if not start:
+                    raise ValueError(f"the ranks can't encode byte {end - 1} of a piece")
                 start -= 1
-            else:
-                start = -1
-            if start < 0:
-                raise ValueError(f"the ranks can't encode byte {end - 1} of a piece")
 
     def piece(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
