@@ -51,20 +51,32 @@ def _occurrences(term: str) -> Column:
     return F.size(F.filter("hits", lambda x: x == F.lit(term))).cast("double")
 
 
+def _scores(terms: Sequence[str], place: dict[str, int]) -> Column:
+    score = F.lit(0.0)
+    for t in dict.fromkeys(terms):
+        tf = _occurrences(t)
+        score = score + F.lit(float(terms.count(t))) * _idf(F.col(f"df_{place[t]}")) * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("doc_len") / F.col("avg_len")))
+    return score
+
+
 def bm25(chunks: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every chunk that holds a term; a term that the query repeats counts as often.
 
     Two scans and no shuffle of rows: the first gives one row of statistics, which is broadcast, the second scores in
     a projection.
     """
-    terms = query_terms(query)
+    return bm25_many(chunks, [query], id_col, text_col).select(id_col, "score")
+
+
+def bm25_many(chunks: DataFrame, queries: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, query, score) of every chunk and every one of a few queries (by number) whose terms it holds, in the same two scans."""
+    asked = [query_terms(q) for q in queries]
+    terms = list(dict.fromkeys(t for q in asked for t in q))
+    place = {t: k for k, t in enumerate(terms)}
     hits = term_hits(chunks, terms, id_col, text_col)
     scored = hits.where(F.size("hits") > 0).crossJoin(F.broadcast(hit_stats(hits, terms)))
-    score = F.lit(0.0)
-    for k, t in enumerate(dict.fromkeys(terms)):
-        tf = _occurrences(t)
-        score = score + F.lit(float(terms.count(t))) * _idf(F.col(f"df_{k}")) * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("doc_len") / F.col("avg_len")))
-    return scored.select(id_col, score.alias("score")).where("score > 0")
+    each = F.array(*(F.struct(F.lit(k).alias("query"), _scores(q, place).alias("score")) for k, q in enumerate(asked)))
+    return scored.select(id_col, F.inline(each)).where("score > 0")
 
 
 def top(df: DataFrame, n: int, score: str = "score", tie: str = "doc_id", rank: str = "rank") -> DataFrame:
@@ -167,6 +179,22 @@ def packed(hits: DataFrame, most_chars: int, order: Sequence[Column], length: Co
     return df.where(F.col("total") <= most_chars)
 
 
+def packed_by(rows: DataFrame, most_chars: int, group: str, order: str, length: Column) -> DataFrame:
+    """The leading rows of each group whose texts fit together, with the running ``total``; groups of any size.
+
+    No more rows that have a character can fit than characters, so that is how many of a group are looked at; each task
+    keeps that many before they meet. The first of them that does not fit ends the group; rows before it are summed up.
+    """
+    sized = rows.withColumn("__n", length.cast("long"))
+    w = Window.partitionBy(group).orderBy(order)
+    first = sized.where("__n > 0").select(group, order, "__n").withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= most_chars + 1)
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = first.withColumn("__t", F.sum("__n").over(run)).where(F.col("__t") > most_chars).groupBy(group).agg(F.min(order).alias("__end"))
+    g = F.col(group).eqNullSafe(F.col("__g"))
+    inside = sized.join(end.withColumnRenamed(group, "__g"), g, "left").where(F.col("__end").isNull() | (F.col(order) < F.col("__end"))).drop("__g", "__end")
+    return inside.withColumn("total", F.sum("__n").over(run)).drop("__n")
+
+
 # Words of a question that its variants replace, and by what.
 THIS_PAPER = "(这篇论文|该论文|本文)"
 THIS_PAPER_TAIL = "(的|主要|核心)?"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sablewright.functions.schema import hashed_id
-from sablewright.operators import chunking, evaluation, evidence, graph, protocol, queues, retrieval, search, sessions
+from sablewright.operators import chunking, evaluation, evidence, graph, memory, models, protocol, queues, retrieval, search, sessions
 from sablewright.plans.registry import query
 from sablewright.sources.changes import appended, without
 from sablewright.sources.tables import table, timed
@@ -471,3 +471,60 @@ def evaluation_runs(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT DISTINCT 'N' || substr(sha256('task|' || p_type), 1, 20) AS node_id FROM part")
 def legacy_node_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(hashed_id("N", F.lit("task"), F.col("p_type"), size=20).alias("node_id")).distinct()
+
+
+# --- model calls, paper memories
+
+
+def _stub(prompt: str) -> str:
+    """Stands for a model: fails for some prompts, is silent for others."""
+    if prompt.endswith("3"):
+        raise TimeoutError("late")
+    return "" if prompt.endswith("7") else f'{{"decision": "merge", "entity_id": "{prompt}"}}' if prompt.endswith("1") else prompt.upper()
+
+
+@query("""SELECT o_orderkey, CASE WHEN right('p' || o_orderkey, 1) IN ('3', '7') THEN 'none' WHEN right('p' || o_orderkey, 1) = '1' THEN '{"decision": "merge", "entity_id": "p' || o_orderkey || '"}' ELSE 'P' || o_orderkey END AS answer,
+CASE WHEN right('p' || o_orderkey, 1) = '3' THEN 'TimeoutError: late' WHEN right('p' || o_orderkey, 1) = '7' THEN 'empty_response' END AS error, CASE WHEN right('p' || o_orderkey, 1) IN ('3', '7') THEN 2 ELSE 1 END AS n_tries FROM orders""")
+def model_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of a model that sometimes fails, with tries and a fallback."""
+    p = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("prompt"))
+    return models.asked(p, "o_orderkey", "prompt", _stub, tries=2, wait=0.0, fallback="none")
+
+
+@query("SELECT o_orderkey, 'merge' AS decision, 'p' || o_orderkey AS entity_id FROM orders WHERE right(o_orderkey::VARCHAR, 1) = '1'")
+def model_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions on ambiguous mentions, from answers of which some are no decisions."""
+    return models.decided(model_calls(spark, d), "o_orderkey")
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'asked ' || turn || '|again ' || turn ELSE 'asked ' || turn || '|by rule' END AS variants, CASE WHEN turn % 3 = 1 THEN 'new ' || turn ELSE 'asked ' || turn END AS rewritten, turn % 2 = 0 AS has_prompt FROM conversations")
+def question_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Variants and rewritings of questions from a model's answers, with the rules and the question where it gives none."""
+    t = F.col("turn").cast("string")
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("asked "), t).alias("question")).withColumn("question_id", F.col("conv_id") * 1000 + F.col("turn"))
+    a = c.select("question_id", F.when(F.col("turn") % 3 == 0, F.concat(F.lit('Sure: ["asked '), t, F.lit('", "again '), t, F.lit('"]'))).otherwise("no list").alias("answer"))
+    line = F.when(F.col("turn") % 3 == 1, F.concat(F.lit(" new "), t)).when(F.col("turn") % 3 == 2, "two\nlines")
+    v = models.variants_of(c, a, lambda q: [q, "by rule"]).join(c.select("question_id", "conv_id", "turn", "question"), "question_id")
+    prompt = models.rewriting_prompt(F.col("question"), F.when(F.col("turn") % 2 == 0, "user: hm"), F.array().cast("array<string>"))
+    return v.select("conv_id", "turn", F.array_join("variants", "|").alias("variants"), models.rewritten(F.col("question"), line).alias("rewritten"), prompt.isNotNull().alias("has_prompt"))
+
+
+@query("""WITH m AS (SELECT doc_id, source, lang, (doc_id % 10) / 10e0 AS importance FROM documents WHERE source IS NOT NULL),
+k AS (SELECT * FROM m WHERE importance >= 0.3 AND doc_id % 4 <> 0)
+SELECT source AS name, count(*) AS n_papers, arg_max('d' || doc_id, (importance, doc_id::VARCHAR)) FILTER (WHERE true) AS definition FROM k GROUP BY source""")
+def concept_memories(spark: SparkSession, d: str) -> DataFrame:
+    """Concepts of the papers that stay, after every fourth paper is forgotten; those of little importance are not kept."""
+    docs = table(spark, d, "documents").where("source is not null").withColumn("id", F.col("doc_id").cast("string"))
+    c = docs.select(F.col("source").alias("name"), F.concat(F.lit("d"), "id").alias("definition"), F.array("lang").alias("aliases"), F.col("id").alias("paper_id"), (F.col("doc_id") % 10 / F.lit(10.0)).alias("importance"))
+    gone = docs.where("doc_id % 4 = 0").select(F.col("id").alias("paper_id"))
+    kept = memory.papers_forgotten({"raw": c, "concepts": memory.concepts_stored(c)}, gone)
+    again = memory.concepts_stored(kept["raw"])
+    return kept["concepts"].select("name", F.size("source_papers").cast("long").alias("n_papers")).join(again.select("name", "definition"), "name")
+
+
+@query("SELECT doc_id::VARCHAR AS paper_id, coalesce(source, '') AS title, 0 AS n_keywords, 1 AS n_datasets, 'parsed' AS status FROM documents")
+def paper_memories(spark: SparkSession, d: str) -> DataFrame:
+    """Memories of new papers."""
+    p = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.col("source").alias("title"), F.col("text").alias("abstract"), F.array("lang").alias("datasets"))
+    out = memory.paper_memories(p, F.timestamp_seconds(F.lit(0)))
+    return out.select("paper_id", "title", F.size("keywords").alias("n_keywords"), F.size("datasets").alias("n_datasets"), "status")

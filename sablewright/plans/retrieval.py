@@ -110,8 +110,8 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {', '.join(_bm25_sql(v, f'v{k}') for k, v in enumerate(VARIANTS))}, u AS ({' UNION ALL '.join(f'(SELECT * FROM v{k} ORDER BY score DESC, doc_id LIMIT 10)' for k in range(len(VARIANTS)))}), m AS (SELECT doc_id, max(score) AS score FROM u GROUP BY doc_id) SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM m ORDER BY score DESC, doc_id LIMIT 15")
 def multi_query_merge(spark: SparkSession, d: str) -> DataFrame:
-    lists = [R.top(R.bm25(_docs(spark, d), v), 10).select("doc_id", "score") for v in VARIANTS]
-    return _ranked(R.merged_variants(lists), "doc_id")
+    best = R.top_in(R.bm25_many(_docs(spark, d), VARIANTS), 10, ["query"], "score", "doc_id").select("doc_id", "score")
+    return _ranked(R.merged_variants([best]), "doc_id")
 
 
 _PAPERS = f"papers AS (SELECT source, {_COS.replace('embedding', 'e')} AS score FROM (SELECT source, any_value(embedding)::DOUBLE[] AS e, q FROM (SELECT d.source, first(v.embedding ORDER BY d.doc_id) AS embedding FROM documents d JOIN embeddings v ON v.vec_id = d.doc_id GROUP BY d.source), qv GROUP BY source, q) ORDER BY score DESC, source LIMIT 5)"
@@ -168,8 +168,6 @@ _PACK = "SELECT doc_id, sum(len(text)) OVER (PARTITION BY lang ORDER BY doc_id)
 
 @query(f"SELECT doc_id, lang, total::BIGINT AS total FROM ({_PACK}) WHERE total <= 50000")
 def context_pack(spark: SparkSession, d: str) -> DataFrame:
-    """The leading documents of each language that fit into 50 000 characters; one window for each language."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("lang").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return _docs(spark, d).where("text is not null").select("doc_id", "lang", F.sum(F.length("text")).over(w).alias("total")).where("total <= 50000")
+    """The leading documents of each language that fit into 50 000 characters."""
+    docs = _docs(spark, d).where("text is not null").select("doc_id", "lang", F.length("text").alias("n"))
+    return R.packed_by(docs, 50_000, "lang", "doc_id", F.col("n")).select("doc_id", "lang", "total")

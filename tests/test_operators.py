@@ -307,6 +307,47 @@ def test_mentions_are_bounded(spark):
     assert got["x"].n == 701 and got["x"].context == " ".join(f"evidence {k:05d}" for k in range(100))[:1000]
 
 
+def test_model_calls(spark):
+    """Exceptions and empty answers are tried again; the fallback stands in the end; null prompts are not asked."""
+    from sablewright.operators import models
+
+    def flaky(prompt, seen={}):  # noqa: B006  (kept between calls on purpose)
+        seen[prompt] = seen.get(prompt, 0) + 1
+        if prompt == "bad" or (prompt == "once" and seen[prompt] == 1):
+            raise ValueError("no")
+        return " " if prompt == "blank" else f" {prompt}! "
+
+    df = spark.createDataFrame([(1, "ok"), (2, "once"), (3, "bad"), (4, "blank"), (5, None)], "id int, q string").coalesce(1)
+    got = {r.id: (r.answer, r.error, r.n_tries) for r in models.asked(df, "id", "q", flaky, tries=2, wait=0.0, fallback="f").collect()}
+    assert got == {1: ("ok!", None, 1), 2: ("once!", None, 2), 3: ("f", "ValueError: no", 2), 4: ("f", "empty_response", 2), 5: ("f", "no_prompt", 0)}
+    assert models.asked(df.limit(0), "id", "q", flaky).count() == 0
+    a = spark.createDataFrame([("m", '{"decision": "merge", "entity_id": "E1"}'), ("n", '[{"decision": "new"}]'), ("o", "no JSON")], "mention_id string, answer string")
+    assert [tuple(r) for r in models.decided(a).collect()] == [("m", "merge", "E1")]
+
+
+def test_packed_by_group(spark):
+    r = random.Random(6)
+    rows = [(r.choice(["a", "b", None]), k, r.choice([0, 0, 3, 7, 40])) for k in range(400)]
+    got = sorted(((x.g or "", x.k, x.total) for x in retrieval.packed_by(spark.createDataFrame(rows, "g string, k int, n int").repartition(5), 100, "g", "k", F.col("n")).collect()))
+    want, held, shut = [], {}, set()
+    for g, k, n in rows:
+        held[g] = held.get(g, 0) + n
+        if held[g] > 100:
+            shut.add(g)
+        if g not in shut:
+            want.append((g or "", k, held[g]))
+    assert got == sorted(want)
+
+
+def test_papers_are_forgotten(spark):
+    c = spark.createDataFrame([("x", ["p", "q"]), ("y", ["p"])], "name string, source_papers array<string>")
+    s = spark.createDataFrame([("p", 1), ("q", 2)], "paper_id string, section_index int")
+    out = memory.papers_forgotten({"concepts": c, "sections": s}, s.where("paper_id = 'p'"))
+    assert [tuple(r) for r in out["concepts"].collect()] == [("x", ["q"])] and [tuple(r) for r in out["sections"].collect()] == [("q", 2)]
+    refl = spark.createDataFrame([("p", T(1)), ("p", T(3)), ("q", T(2))], "paper_id string, created_at timestamp")
+    assert [r.created_at for r in memory.recent_reflections(refl, 2).collect()] == [T(3), T(2)] and memory.recent_reflections(refl, 5, "q").count() == 1
+
+
 def test_old_sessions_load(spark):
     df = spark.createDataFrame([("s", ["p", "q"], None), ("t", None, None), ("u", ["p"], ("f", ["f"], "explicit_target", 1.0))], "session_id string, active_paper_ids array<string>, paper_focus struct<primary_paper_id:string,active_paper_ids:array<string>,source:string,confidence:double>")
     got = {r.session_id: (r.paper_focus.primary_paper_id, r.paper_focus.source, r.user_id) for r in sessions.loaded(df).collect()}
