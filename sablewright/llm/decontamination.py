@@ -39,25 +39,29 @@ _WORDS = 300_000
 _ANSWER = re.compile(r"(?:^|\n|\s)(?:answer|antwort|respuesta|réponse)\s*[:=]\s*", re.I)
 
 
+def code_kind(bits: int) -> type:
+    return np.uint16 if bits <= 16 else np.uint32
+
+
 def codes_of(texts: list[str | None], bits: int = BITS) -> list[np.ndarray]:
     """The word codes of each text."""
     h, counts = hashed(texts)
-    return np.split((h >> np.uint64(64 - bits)).astype(np.uint16), np.cumsum(counts)[:-1]) if texts else []
+    return np.split((h >> np.uint64(64 - bits)).astype(code_kind(bits)), np.cumsum(counts)[:-1]) if texts else []
 
 
-def _coded(kind: pa.DataType):
+def _coded(kind: pa.DataType, bits: int):
     schema = pa.schema([("__id", kind), ("__text", pa.string()), ("codes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                codes = [c.tobytes() for c in codes_of(b.column(1).to_pylist())]
+                codes = [c.tobytes() for c in codes_of(b.column(1).to_pylist(), bits)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes, pa.binary())], schema=schema)
 
     return run
 
 
-def _passages(batches: Iterator[pa.RecordBatch], passage: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _passages(batches: Iterator[pa.RecordBatch], passage: int, most: int, kind: type) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Matrices of codes, a row for each passage, and which of them count.
 
     The last passage of a document is filled up with its last word; a word that repeats the one before does not count.
@@ -65,11 +69,11 @@ def _passages(batches: Iterator[pa.RecordBatch], passage: int, most: int) -> Ite
     for b in batches:
         rows = []
         for c in b.column(0):
-            ids = np.frombuffer(c.as_buffer(), np.uint16) if c.is_valid else ()
+            ids = np.frombuffer(c.as_buffer(), kind) if c.is_valid else ()
             if len(ids):
                 n = -(-len(ids) // passage)
-                rows.append(np.concatenate([ids, np.full(n * passage - len(ids), ids[-1], np.uint16)]).reshape(n, passage))
-        rows = np.concatenate(rows) if rows else np.zeros((0, passage), np.uint16)
+                rows.append(np.concatenate([ids, np.full(n * passage - len(ids), ids[-1], kind)]).reshape(n, passage))
+        rows = np.concatenate(rows) if rows else np.zeros((0, passage), kind)
         for at in range(0, len(rows), most):
             part = rows[at : at + most]
             first = np.ones(part.shape, bool)
@@ -82,7 +86,7 @@ def _frequencies(bits: int, passage: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total = np.zeros(1 << bits, np.int64), 0
-        for part, first in _passages(batches, passage, 1024):
+        for part, first in _passages(batches, passage, 1024, code_kind(bits)):
             n += np.bincount(part[first], minlength=1 << bits)
             total += len(part)
         at = np.flatnonzero(n)
@@ -114,8 +118,9 @@ def _sketch(idf: np.ndarray, space_bits: int, width: int, passage: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = np.random.default_rng(17)
         column, sign = r.integers(0, width, len(idf)), r.choice((-1.0, 1.0), len(idf))
-        total, mask = np.zeros((1 << space_bits, width), np.float32), np.uint16((1 << space_bits) - 1)
-        for part, first in _passages(batches, passage, 64):
+        kind = code_kind((len(idf) - 1).bit_length())
+        total, mask = np.zeros((1 << space_bits, width), np.float32), kind((1 << space_bits) - 1)
+        for part, first in _passages(batches, passage, 64, kind):
             ids = part[first]
             at = np.repeat(np.arange(len(part)), first.sum(1))
             x = idf[ids]
@@ -193,7 +198,9 @@ class Items:
     """A block of benchmark items ready for the search."""
 
     def __init__(self, rows: list[tuple], idf: np.ndarray, space: np.ndarray, share: float, cosine: float):
-        self.share, self.cosine, self.idf, self.space, self.mask = share, cosine, idf, space, np.uint16(len(space) - 1)
+        bits = (len(idf) - 1).bit_length()
+        self.kind = code_kind(bits)
+        self.share, self.cosine, self.idf, self.space, self.mask = share, cosine, idf, space, code_kind(bits)(len(space) - 1)
         self.ids, self.words, self.weight, self.answer, self.reach, codes = [], [], [], [], [], []
         by_size: dict[int, list[int]] = {}
         for item, text in rows:
@@ -201,7 +208,7 @@ class Items:
             question, answer = (question, answer) if question else (answer, [])
             if not question:
                 continue
-            c = codes_of([b" ".join(question).decode("utf-8", "replace")])[0]
+            c = codes_of([b" ".join(question).decode("utf-8", "replace")], bits)[0]
             by_size.setdefault(window_size(len(question)), []).append(len(self.ids))
             self.ids.append(item)
             # an answer may stand before or after the question, with some words between
@@ -226,7 +233,7 @@ class Items:
 
     def candidates(self, texts: list[np.ndarray], prune: bool = True) -> Iterator[tuple[int, int, float, int, int]]:
         """(place of the text, of the item, cosine, first and last word) of windows of coded texts that are near an item."""
-        codes, length = np.concatenate([np.zeros(0, np.uint16), *texts]), np.array([len(t) for t in texts], np.int64)
+        codes, length = np.concatenate([np.zeros(0, self.kind), *texts]), np.array([len(t) for t in texts], np.int64)
         begin = np.cumsum(length) - length
         if not len(codes):
             return
@@ -275,39 +282,40 @@ class Items:
         return found
 
 
-def _blocks(coded: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, share: float, cosine: float, block_items: int) -> Iterator:
+def _blocks(coded: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, share: float, cosine: float, block_items: int, bits: int, space_bits: int) -> Iterator:
     """Blocks of different (item, text) rows, each ready and sent to the tasks. Statistics and space come from all of ``coded``."""
     spark = coded.sparkSession
     rows = benchmark.select(F.col(item_col).alias("__item"), F.col(item_text_col).alias("__text")).where("__text is not null").distinct()
     blocks = max(1, math.ceil(rows.count() / block_items))
-    idf = passage_idf(coded)
-    space = latent_space(coded, idf)
+    idf = passage_idf(coded, bits)
+    space = latent_space(coded, idf, space_bits)
     for k in range(blocks):
         # ids may repeat or be null; their texts differ
         block = rows.where(F.pmod(F.xxhash64("__item", "__text"), F.lit(blocks)) == k).collect()
         yield spark.sparkContext.broadcast(Items(sorted((tuple(r) for r in block), key=str), idf, space, share, cosine))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE, cosine: float = COSINE, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE, cosine: float = COSINE, block_items: int = BLOCK_ITEMS, bits: int = BITS, space_bits: int = SPACE_BITS) -> DataFrame:
     """One row for each document and benchmark item found in it: both ids, ``cosine``, ``common_share``, ``first_word``.
 
     Whole documents are searched; null texts count as empty and never match, items without words match nothing. Repeated
     rows of ``docs`` give repeated results, those of ``benchmark`` count once. Other columns are not carried. Empty tables
-    give an empty result. Statistics and the latent space come from all of ``docs``.
+    give an empty result. Statistics and the latent space come from all of ``docs``. A large vocabulary wants more bits of
+    word codes and of buckets of the space; tasks and driver hold some hundred bytes for each bucket.
     """
     small_batches(docs.sparkSession)
     (own, own_ddl), (item, item_ddl) = field_of(docs, id_col, "__id"), field_of(benchmark, item_col, "__item")
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    coded = settled(source.mapInArrow(_coded(own.type), f"{own_ddl}, __text string, codes binary"))
+    coded = settled(source.mapInArrow(_coded(own.type, bits), f"{own_ddl}, __text string, codes binary"))
     schema = pa.schema([own, item, ("cosine", pa.float64()), ("common_share", pa.float64()), ("first_word", pa.int64())])
     ddl = f"{own_ddl}, {item_ddl}, cosine double, common_share double, first_word bigint"
     out = None
-    for sent in _blocks(coded, benchmark, item_col, item_text_col, share, cosine, block_items):
+    for sent in _blocks(coded, benchmark, item_col, item_text_col, share, cosine, block_items, bits, space_bits):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = sent.value
             for b in batches:
-                found = items.search(b.column(1).to_pylist(), [np.frombuffer(c.as_buffer(), np.uint16) for c in b.column(2)])
+                found = items.search(b.column(1).to_pylist(), [np.frombuffer(c.as_buffer(), items.kind) for c in b.column(2)])
                 hits = [(key, items.ids[i], *hit) for key, own in zip(b.column(0).to_pylist(), found, strict=True) for i, hit in own.items()]
                 if hits:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*hits, strict=True), schema, strict=True)], schema=schema)
@@ -317,7 +325,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.select(F.col("__id").alias(id_col), F.col("__item").alias(item_col), "cosine", "common_share", "first_word")
 
 
-def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", share: float = SHARE, cosine: float = COSINE, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", share: float = SHARE, cosine: float = COSINE, block_items: int = BLOCK_ITEMS, bits: int = BITS, space_bits: int = SPACE_BITS) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no item of ``benchmark`` is found; each row by its own text.
 
     Null and empty texts stay. Nothing is joined or shuffled but the statistics. Columns whose names begin with ``__`` are
@@ -329,17 +337,17 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                codes = [c.tobytes() for c in codes_of(b.column(b.schema.get_field_index(text_col)).to_pylist())]
+                codes = [c.tobytes() for c in codes_of(b.column(b.schema.get_field_index(text_col)).to_pylist(), bits)]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes, pa.binary())], names=[*b.schema.names, "__codes"])
 
     coded = settled(docs.mapInArrow(code, StructType([*docs.schema.fields, StructField("__codes", BinaryType())])))
     out, n = coded, len(docs.columns)
-    for sent in _blocks(coded.select(F.col("__codes").alias("codes")), benchmark.withColumn("__none", F.lit(0)), "__none", item_text_col, share, cosine, block_items):
+    for sent in _blocks(coded.select(F.col("__codes").alias("codes")), benchmark.withColumn("__none", F.lit(0)), "__none", item_text_col, share, cosine, block_items, bits, space_bits):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = sent.value
             for b in batches:
-                found = items.search(b.column(b.schema.get_field_index(text_col)).to_pylist(), [np.frombuffer(c.as_buffer(), np.uint16) for c in b.column(n)])
+                found = items.search(b.column(b.schema.get_field_index(text_col)).to_pylist(), [np.frombuffer(c.as_buffer(), items.kind) for c in b.column(n)])
                 yield b.filter(pa.array([not x for x in found], pa.bool_()))
 
         out = out.mapInArrow(run, coded.schema)
