@@ -49,3 +49,24 @@ def test_entity_scores_of_all_parts(spark, sf, con):
     want = con.execute("SELECT a.p_partkey, b.p_partkey FROM part a JOIN part b ON a.p_type = b.p_type AND split_part(lower(a.p_name), ' ', 1) = split_part(lower(b.p_name), ' ', 1) AND a.p_partkey < b.p_partkey").fetchall()
     got = {(r.left_id, r.right_id) for r in registry.QUERIES["entity_scores"](spark, sf).collect()}
     assert want and set(want) <= got
+
+
+def test_entity_scores_in_python(spark, sf, con):
+    """Every tenth score against its definition in plain Python."""
+    from difflib import SequenceMatcher
+
+    part = {r[0]: r[1:] for r in con.execute("SELECT p_partkey, lower(p_name), lower(p_brand) FROM part").fetchall()}
+    for r in registry.QUERIES["entity_scores"](spark, sf).where("left_id % 10 = 0").collect():
+        (a, x), (b, y) = part[r.left_id], part[r.right_id]
+        # these names have no plural and two words each
+        want = 1.0 if a == b else round(0.55 * SequenceMatcher(None, a, b).ratio() + 0.15 * (x == y), 6)
+        assert r.score == pytest.approx(want, abs=1e-6), (a, b)
+
+
+def test_no_python_on_the_way(spark, sf):
+    """Names, folds, waits and texts stay in the JVM."""
+    for name in ("normalize_names", "capacity_slots", "breaker_states", "admitted_rates", "markdown_chunks", "identified_papers", "fact_routes", "context_pack", "multi_query_merge", "title_matches"):
+        text = plan(registry.QUERIES[name](spark, sf))
+        assert "Python" not in text and "InArrow" not in text and "Cartesian" not in text, name
+    assert plan(registry.QUERIES["entity_scores"](spark, sf)).count("ArrowEvalPython") <= 2
+    assert "NestedLoop" not in plan(registry.QUERIES["title_matches"](spark, sf))
