@@ -49,10 +49,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame, where: str | None = None) -> DataFrame:
-    """Write ``df`` to shared storage and read it back: the lineage is cut, and a lost executor loses nothing."""
+    """Write ``df`` to shared storage and read it back: the lineage is cut, and a lost executor loses nothing.
+
+    Without a place of its own (``where``) the table goes when the application ends, as lazy results may read it till then.
+    """
     spark = df.sparkSession
     path = where or shared_dir(spark)
     df.write.mode("overwrite").parquet(path)
+    if where is None:
+        written = spark._jvm.org.apache.hadoop.fs.Path(path)
+        written.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(written)
     return spark.read.schema(df.schema).parquet(path)
 
 
