@@ -280,13 +280,13 @@ def profile_audit(spark: SparkSession, d: str) -> DataFrame:
     return out.select("user_id", "field", F.array_join("before", ",").alias("before"), F.array_join("after", ",").alias("after"))
 
 
-@query("SELECT c_custkey::VARCHAR AS session_id, CASE WHEN c_custkey % 3 = 0 THEN 'p' || c_custkey END AS primary_paper, CASE WHEN c_custkey % 3 = 0 THEN 0.9 END AS confidence, 'local-user' AS user_id, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 0 END AS n_active, 0 AS summarised FROM customer")
+@query("SELECT c_custkey::VARCHAR AS session_id, CASE WHEN c_custkey % 3 = 0 THEN 'p' || c_custkey END AS primary_paper, CASE WHEN c_custkey % 3 = 0 THEN 0.9e0 END AS confidence, 'local-user' AS user_id, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 0 END AS n_active, 0 AS summarised FROM customer")
 def sessions_loaded(spark: SparkSession, d: str) -> DataFrame:
     """Sessions of the old form, some with active papers and none with a focus."""
     p = F.concat(F.lit("p"), F.col("c_custkey").cast("string"))
     old = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("session_id"), F.col("c_name").alias("title"), F.when(F.col("c_custkey") % 3 == 0, F.array(p, F.lit("q"))).alias("active_paper_ids"))
     out = sessions.loaded(old)
-    return out.select("session_id", F.col("paper_focus.primary_paper_id").alias("primary_paper"), F.col("paper_focus.confidence").cast("decimal(2,1)").alias("confidence"), "user_id", F.size("active_paper_ids").alias("n_active"), F.col("summary_through_message_count").cast("int").alias("summarised"))
+    return out.select("session_id", F.col("paper_focus.primary_paper_id").alias("primary_paper"), F.col("paper_focus.confidence").alias("confidence"), "user_id", F.size("active_paper_ids").alias("n_active"), F.col("summary_through_message_count").cast("int").alias("summarised"))
 
 
 @query("""WITH g AS (SELECT user_id, event_type, min(event_id) AS f, arg_max(value > 5, event_id) AS done, count(*) AS n, sum(value) FILTER (WHERE value > 5) AS ms FROM events GROUP BY user_id, event_type)

@@ -23,7 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Write ``df`` and read it back: its lineage is cut, and a lost executor loses nothing."""
-    path = shared_dir(df.sparkSession)
+    """Write ``df`` and read it back: its lineage is cut, and a lost executor loses nothing. It goes when the application ends."""
+    spark = df.sparkSession
+    path = shared_dir(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = spark._jvm.org.apache.hadoop.fs.Path(path)
+    written.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(written)
+    return spark.read.schema(df.schema).parquet(path)
