@@ -145,13 +145,15 @@ def two_level(chunks: DataFrame, vectors: DataFrame, papers: DataFrame, query: s
 
 
 def cases_run(cases: DataFrame, chunks: DataFrame, words: int, n: int, case: str = "case_id", id_col: str = "doc_id") -> DataFrame:
-    """(case, id, rank): for each case the chunks that hold all of its first words, the ``n`` with most of them first.
+    """(case, id, score, rank): for each case the chunks that hold all of its first words, the ``n`` with most of them first.
 
-    Cases are a set of bounded size; their words are, too. Each chunk is looked at once, and gives rows only for cases that it fits.
+    Cases meet chunks by their longest of these words, an equi-join, and are then looked at in full.
     """
     asked = cases.select(case, F.array_distinct(F.slice(tokens(F.col("text")), 1, words)).alias("__t")).where(F.size("__t") > 0)
+    rarest = F.array_max(F.transform("__t", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))
     w = chunks.select(id_col, tokens(F.col("text")).alias("__w"))
-    hits = w.join(F.broadcast(asked.withColumn("__a", F.col("__t")[0])), F.array_contains("__w", F.col("__a")) & (F.size(F.array_intersect("__w", "__t")) == F.size("__t")))
+    met = w.select(id_col, F.explode(F.array_distinct("__w")).alias("__x")).join(asked.withColumn("__x", rarest["x"]), "__x")
+    hits = met.join(w, id_col).where(F.size(F.array_intersect("__w", "__t")) == F.size("__t"))
     scored = hits.select(case, id_col, F.size(F.filter("__w", lambda x: F.array_contains("__t", x))).alias("score"))
     return top_in(scored, n, [case], "score", id_col)
 
