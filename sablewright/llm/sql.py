@@ -30,3 +30,26 @@ f AS (SELECT l, count(*) AS n_links FROM e GROUP BY l)
 SELECT doc_id, coalesce(root, doc_id) AS class_id, coalesce(n_links, 0) AS n_links, coalesce(n_grams, 0) AS n_grams
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.x = doc_id LEFT JOIN f ON f.l = doc_id
 """
+
+#: Words by bucket of all documents and all benchmark texts, whole-number gains, seeded noise, ranks of the highest tenth.
+OP11 = """
+WITH RECURSIVE crc_step AS (SELECT i AS byte, 0 AS k, i::UBIGINT AS c FROM range(256) t(i)
+  UNION ALL SELECT byte, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END FROM crc_step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY byte) AS t FROM crc_step WHERE k = 8),
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS f FROM documents),
+v AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS f FROM benchmark),
+u AS (SELECT doc_id, unnest(f) AS f FROM w),
+all_f AS (SELECT DISTINCT f FROM (SELECT f FROM u UNION ALL SELECT f FROM v)),
+h AS (SELECT f, hex(encode(f)) AS x FROM all_f),
+b AS (SELECT f, (xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::UBIGINT)),
+  lambda a, y: xor(a // 256, t[xor(a % 256, y)::BIGINT + 1])), 4294967295::UBIGINT) % 10000)::BIGINT AS bucket FROM h, crc),
+s AS (SELECT bucket, count(*) AS n FROM u JOIN b USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM v JOIN b USING (f) GROUP BY bucket),
+n AS (SELECT (SELECT coalesce(sum(n), 0) FROM s)::DOUBLE AS s, (SELECT coalesce(sum(n), 0) FROM t)::DOUBLE AS t),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (n.s + 10000) / ((coalesce(s.n, 0) + 1)::DOUBLE * (n.t + 10000))))::BIGINT AS gain FROM s FULL JOIN t USING (bucket), n),
+d AS (SELECT doc_id, sum(gain) AS weight FROM u JOIN b USING (f) JOIN g USING (bucket) GROUP BY doc_id),
+c AS (SELECT doc_id, len(f) AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM w LEFT JOIN d USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM c WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) // 10 FROM r) THEN rank END AS rank FROM c LEFT JOIN r USING (doc_id)
+"""
