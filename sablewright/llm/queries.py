@@ -18,6 +18,7 @@ from sablewright.llm.resampling import op11_importance_resampling
 from sablewright.llm.sharding import op4_flow_reshard
 from sablewright.llm.sql import OP2, OP10, OP11
 from sablewright.llm.toxicity import op8_ftrl_toxicity
+from sablewright.llm.whitening import op13_embedding_whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_tree_scored_text": op9_tree_scored_text,
         "op10_minhash_jaccard": op10_minhash_jaccard,
         "op11_importance_resampling": op11_importance_resampling,
+        "op13_embedding_whitening": op13_embedding_whitening,
     }
 
 
