@@ -53,3 +53,12 @@ c AS (SELECT doc_id, len(f) AS n_features, coalesce(weight, 0)::BIGINT AS weight
 r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM c WHERE n_features >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) // 10 FROM r) THEN rank END AS rank FROM c LEFT JOIN r USING (doc_id)
 """
+
+#: All inner products of the queries with all other rows.
+OP12 = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM p
+QUALIFY rank <= 20
+"""
