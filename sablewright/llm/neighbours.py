@@ -63,7 +63,7 @@ def _coded(d: int, bits: int, seed: int, mean: np.ndarray, schema: pa.Schema):
             if b.num_rows:
                 code, *scalars = encode(_vectors(b.column("vector"), d).astype(float), mean, turn)
                 packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(bits // 8), b.num_rows, [None, pa.py_buffer(code.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("vector"), packed, pa.array(np.stack(scalars, 1).tolist(), pa.list_(pa.float64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([b.column("group"), b.column("rep"), b.column("vector"), packed, pa.array(np.stack(scalars, 1).tolist(), pa.list_(pa.float64()))], schema=schema)
 
     return run
 
@@ -78,11 +78,11 @@ class Search:
         self.norm = np.linalg.norm(r, axis=1).astype(np.float32)[:, None]
         self.with_mean = (q @ mean - mean @ mean).astype(np.float32)[:, None]
         self.best = np.full((len(q), k), -np.inf)
-        self.found = np.full((len(q), k), np.iinfo(np.int64).max)
+        self.found = np.full((len(q), k, 2), np.iinfo(np.int64).max)
         self.compared = 0
 
     def look(self, keys: np.ndarray, x: np.ndarray, code: np.ndarray, scalars: np.ndarray) -> None:
-        """Candidates whose upper bound reaches the worst result of a query are compared with it exactly."""
+        """Candidates whose upper bound reaches the worst result of a query are compared with it exactly. Keys: least id and group."""
         factor, off, by_mean = scalars.astype(np.float32).T
         slack = np.float32(1e-5)  # many times the rounding of single precision
         signs = np.unpackbits(code, axis=1).astype(np.float32) * 2 - 1
@@ -114,8 +114,8 @@ class Search:
         if not len(rows):
             return
         row = np.concatenate([np.repeat(rows, self.k), qi])
-        score, key = np.concatenate([self.best[rows].ravel(), score]), np.concatenate([self.found[rows].ravel(), key])
-        order = np.lexsort((key, -score, row))
+        score, key = np.concatenate([self.best[rows].ravel(), score]), np.concatenate([self.found[rows].reshape(-1, 2), key])
+        order = np.lexsort((key[:, 1], key[:, 0], -score, row))
         row, score, key = row[order], score[order], key[order]
         start = np.searchsorted(row, rows)
         keep = start[:, None] + np.arange(self.k)
@@ -124,7 +124,7 @@ class Search:
     def results(self) -> list[pa.Array]:
         real = self.best > -np.inf
         at = np.nonzero(real)[0]
-        return [pa.array(self.keys[at]), pa.array(self.found[real]), pa.array(self.best[real])]
+        return [pa.array(self.keys[at]), *map(pa.array, self.found[real].T), pa.array(self.best[real])]
 
 
 def _searched(d: int, bits: int, seed: int, k: int, sigmas: float, mean: np.ndarray, schema: pa.Schema):
@@ -151,14 +151,15 @@ def _searched(d: int, bits: int, seed: int, k: int, sigmas: float, mean: np.ndar
                     cell, search = cells[lo], None
                     waiting.clear()
                 part = b.slice(lo, hi - lo)
-                keys, x = part.column("rep").to_numpy(), _vectors(part.column("vector"), d).astype(float)
+                group, x = part.column("group").to_numpy(), _vectors(part.column("vector"), d).astype(float)
                 if kind[lo] == 0:
-                    waiting.append((keys, x))
+                    waiting.append((group, x))
                     continue
                 if search is None:
                     if not waiting:
                         continue  # a block without queries
                     search = begin()
+                keys = np.stack([part.column("rep").to_numpy(), group], 1)
                 code = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(keys), -1)
                 scalars = part.column("scalars").flatten().to_numpy().reshape(-1, 3)
                 for i in range(0, len(keys), _LOOK):
@@ -186,31 +187,32 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", ve
     # copies are one group; the k + 1 least keys of it are all that a result can name (the one more is for the query itself)
     same = Window.partitionBy("vector").orderBy("id")
     groups = rows.select("id", "vector", F.dense_rank().over(same).alias("place")).where(F.col("place") <= k + 1)
-    groups = settled(groups.groupBy("vector").agg(F.sort_array(F.collect_set("id")).alias("ids")).select(F.col("ids")[0].alias("rep"), "ids", "vector"))
-    asked = settled(rows.where("asked").select("id", "vector").distinct().join(groups.select("rep", "vector"), "vector").select("id", "rep"))
+    groups = groups.groupBy("vector").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    groups = settled(groups.select(F.monotonically_increasing_id().alias("group"), F.col("ids")[0].alias("rep"), "ids", "vector"))
+    asked = settled(rows.where("asked").select("id", "vector").distinct().join(groups.select("group", "vector"), "vector").select("id", "group"))
     n, *mean = groups.agg(F.count("*"), *[F.avg(F.col("vector")[i].cast("double")) for i in range(d)]).first()
-    own = asked.select("rep").distinct()
+    own = asked.select("group").distinct()
     blocks, stripes = max(1, -(-own.count() // block)), max(stripes, -(-n // stripe))
     m = np.array([x or 0.0 for x in mean])
     vector_type = groups.schema["vector"].dataType
-    out = pa.schema([("rep", pa.int64()), ("vector", to_arrow_type(vector_type)), ("code", pa.binary()), ("scalars", pa.list_(pa.float64()))])
-    part = lambda many: F.pmod(F.xxhash64("rep"), F.lit(many))
+    out = pa.schema([("group", pa.int64()), ("rep", pa.int64()), ("vector", to_arrow_type(vector_type)), ("code", pa.binary()), ("scalars", pa.list_(pa.float64()))])
+    part = lambda many: F.pmod(F.xxhash64("group"), F.lit(many))
     each = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
-    q = groups.join(own, "rep", "left_semi").select(each(stripes).alias("stripe"), "rep", "vector", part(blocks).alias("block"))
-    q = q.select("rep", "vector", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("array<double>").alias("scalars"), (F.col("block") * stripes + F.col("stripe")).alias("cell"), F.lit(0).alias("kind"))
-    c = groups.select("rep", "vector").mapInArrow(_coded(d, bits, seed, m, out), f"rep long, vector {vector_type.simpleString()}, code binary, scalars array<double>")
-    c = c.select("*", each(blocks).alias("block"), part(stripes).alias("stripe")).select("rep", "vector", "code", "scalars", (F.col("block") * stripes + F.col("stripe")).alias("cell"), F.lit(1).alias("kind"))
+    q = groups.join(own, "group", "left_semi").select(each(stripes).alias("stripe"), "group", "rep", "vector", part(blocks).alias("block"))
+    q = q.select("group", "rep", "vector", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("array<double>").alias("scalars"), (F.col("block") * stripes + F.col("stripe")).alias("cell"), F.lit(0).alias("kind"))
+    c = groups.select("group", "rep", "vector").mapInArrow(_coded(d, bits, seed, m, out), f"group long, rep long, vector {vector_type.simpleString()}, code binary, scalars array<double>")
+    c = c.select("*", each(blocks).alias("block"), part(stripes).alias("stripe")).select("group", "rep", "vector", "code", "scalars", (F.col("block") * stripes + F.col("stripe")).alias("cell"), F.lit(1).alias("kind"))
     tasks = min(blocks * stripes, TASKS)
     cells = q.unionByName(c).repartitionById(tasks, (F.col("cell") % tasks).cast("int")).sortWithinPartitions("cell", "kind")
-    pairs = pa.schema([("rep", pa.int64()), ("other", pa.int64()), ("score", pa.float64())])
-    found = cells.mapInArrow(_searched(d, bits, seed, k + 1, sigmas, m, pairs), "rep long, other long, score double")
-    best = lambda *order: F.row_number().over(Window.partitionBy("rep").orderBy(F.col("score").desc(), *order))
-    top = found.select("*", best("other").alias("place")).where(F.col("place") <= k + 1)
-    named = top.join(groups.select(F.col("rep").alias("other"), "ids"), "other").select("rep", "other", "score", F.explode("ids").alias("id"))
+    pairs = pa.schema([("group", pa.int64()), ("rep", pa.int64()), ("other", pa.int64()), ("score", pa.float64())])
+    found = cells.mapInArrow(_searched(d, bits, seed, k + 1, sigmas, m, pairs), "group long, rep long, other long, score double")
+    best = lambda *order: F.row_number().over(Window.partitionBy("group").orderBy(F.col("score").desc(), *order))
+    top = found.select("*", best("rep", "other").alias("place")).where(F.col("place") <= k + 1)
+    named = top.join(groups.select(F.col("group").alias("other"), "ids"), "other").select("group", "other", "score", F.explode("ids").alias("id"))
     named = named.select("*", best("id", "other").alias("place")).where(F.col("place") <= k + 1)
-    lists = named.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("place", "other", "id", "score"))).alias("all"))
-    rest = F.slice(F.filter("all", lambda x: (x["id"] != F.col("id")) | (x["other"] != F.col("rep"))), 1, k)
-    return asked.join(lists, "rep").select(F.col("id").alias("query_id"), F.posexplode(rest).alias("at", "it")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("it.id").alias(key), "it.score")
+    lists = named.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("place", "other", "id", "score"))).alias("all"))
+    rest = F.slice(F.filter("all", lambda x: (x["id"] != F.col("id")) | (x["other"] != F.col("group"))), 1, k)
+    return asked.join(lists, "group").select(F.col("id").alias("query_id"), F.posexplode(rest).alias("at", "it")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("it.id").alias(key), "it.score")
 
 
 def op12_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

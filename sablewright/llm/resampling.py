@@ -34,11 +34,15 @@ def words(text: Column) -> Column:
 
 def features(word: Column, longest: int = 1) -> Column:
     """All runs of 1 to ``longest`` consecutive words, joined by one space, repeats included."""
-    out = word
-    for k in range(2, longest + 1):
-        runs = F.transform(F.sequence(F.lit(1), F.size(word) - k + 1), lambda i, k=k: F.array_join(F.slice(word, i, k), " "))
-        out = F.concat(out, F.when(F.size(word) >= k, runs).otherwise(F.array().cast("array<string>")))
-    return out
+    if longest == 1:
+        return word
+
+    def of(w: Column, k: int) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.concat_ws(" ", *[F.element_at(w, i + j) for j in range(k)]))
+        return F.when(F.size(w) >= k, some).otherwise(F.array().cast("array<string>"))
+
+    # the words become a lambda's variable, so that they are found once and not once for each run
+    return F.element_at(F.transform(F.array(word), lambda w: F.concat(w, *[of(w, k) for k in range(2, longest + 1)])), 1)
 
 
 def bucket_array(feature: Column, buckets: int) -> Column:
