@@ -7,18 +7,14 @@ from type and normal name, so equal mentions coincide in any order.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from sablewright.functions.names import blocking_keys_of, entity_score, fact_score, normal_name
 from sablewright.functions.schema import PREDICATES, STANCES, USABLE, entity_type, fact_signature, hashed_id, predicate, relation_of_predicate
 from sablewright.functions.scores import confidence
 from sablewright.functions.text import evidence_form, tokens
+from sablewright.operators.nearest import nearest
 
 # Thresholds of the stored resolutions.
 MERGE, NEW, FACT_MERGE, FACT_NEW = 0.88, 0.55, 0.90, 0.60
@@ -82,66 +78,6 @@ def resolution_text(name: Column, kind: Column, context: Column, domain: Column
     return F.concat_ws(" | ", *(F.nullif(p, F.lit("")) for p in parts if p is not None))
 
 
-#: Vectors that are compared with the other side at a time.
-BLOCK_VECTORS = 5_000
-
-
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, group: str, most: int = 8, vector: str = "embedding", block: int = BLOCK_VECTORS) -> DataFrame:
-    """(left_id, right_id, similarity): for each left vector its nearest right ones of the same group by cosine, exactly.
-
-    The left side is the set of queries. It is sent in blocks of bounded size; each task goes over its right vectors once and
-    keeps the best so far, so that what leaves it is bounded too. Null, empty and zero vectors have no neighbours.
-    """
-    spark = left.sparkSession
-    queries = left.select(F.col(left_id).alias("l"), F.col(group).alias("g"), F.col(vector).cast("array<double>").alias("v")).where(F.col("l").isNotNull() & F.col("g").isNotNull() & (F.size("v") > 0))
-    source = right.select(F.col(right_id).alias("r"), F.col(group).alias("g"), F.col(vector).cast("array<double>").alias("v")).where(F.col("r").isNotNull() & F.col("g").isNotNull() & (F.size("v") > 0))
-    left_kind, right_kind = queries.schema["l"].dataType, source.schema["r"].dataType
-    schema = pa.schema([("left_id", to_arrow_type(left_kind)), ("right_id", to_arrow_type(right_kind)), ("similarity", pa.float64())])
-    ddl = f"left_id {left_kind.simpleString()}, right_id {right_kind.simpleString()}, similarity double"
-    blocks = -(-queries.count() // block)
-    out = None
-    for k in range(blocks):
-        rows = sorted(map(tuple, queries.where(F.pmod(F.xxhash64("l"), F.lit(blocks)) == k).collect()), key=str)
-        by_group: dict = {}
-        for q, g, v in rows:
-            by_group.setdefault(g, ([], []))[0].append(q)
-            by_group[g][1].append(v)
-        sent = spark.sparkContext.broadcast({g: (ids, _unit(np.array(v))) for g, (ids, v) in by_group.items()})
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            best: dict = {}
-            for b in batches:
-                ids, groups, vectors = (b.column(i).to_pylist() for i in range(3))
-                for g in set(groups) & sent.value.keys():
-                    at = [i for i, x in enumerate(groups) if x == g]
-                    queries, unit = sent.value[g]
-                    near = unit @ _unit(np.array([vectors[i] for i in at])).T
-                    for j, q in enumerate(queries):
-                        # ties with the last that counts go on, so that the order of rows does not matter
-                        row = near[j]
-                        cut = -np.inf if len(at) <= most else np.partition(row, -most)[-most]
-                        own = best.setdefault(q, [])
-                        own += [(-float(row[i]), ids[at[i]]) for i in np.flatnonzero(row >= cut) if row[i] == row[i]]
-                        if len(own) > most:
-                            best[q] = sorted(own)[:most]
-            rows = [{"left_id": q, "right_id": r, "similarity": -s} for q, own in best.items() for s, r in own]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-        part = source.mapInArrow(run, ddl)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], ddl)
-    w = Window.partitionBy("left_id").orderBy(F.desc("similarity"), "right_id")
-    return out.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    """Rows of length one; a zero row becomes nan and is near to nothing."""
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
 def blocked(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: str = "blocking_keys", type_col: str = "type") -> DataFrame:
     """Pairs of one type that share a blocking key, each once. An equi-join on the exploded keys."""
     a = left.select(F.col(left_id).alias("left_id"), type_col, F.explode(keys).alias("key"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sablewright.functions.schema import REVIEW_STATUSES, USABLE
 from sablewright.functions.text import GRAPH_WORDS, has_word, phrases
+from sablewright.operators.matching import holding
 from sablewright.shared import settled
 
 
@@ -86,19 +87,13 @@ def question_papers(questions: DataFrame, edges: DataFrame, n: int = 12, key: st
     """(key, phrase, paper_id): the papers that the graph proposes for questions that ask for relations.
 
     Of a question's phrases, the longest first, the first counts that stands in a usable edge's target or evidence; the papers
-    of the ``n`` newest such edges are proposed. Questions are a set of bounded size; phrases meet edges in blocks.
+    of the ``n`` newest such edges are proposed. Phrases meet edges by ``matching.holding``: one pass for each block of them.
     """
     asked = questions.where(has_word(F.col(text), GRAPH_WORDS)).select(key, F.posexplode(phrases(F.col(text))).alias("__k", "phrase"))
     usable = edges.where(F.col("review_status").isin(*USABLE)).select("edge_id", "source_paper_id", "updated_at", F.lower(F.concat_ws("\n", "target_name", "evidence")).alias("__text"))
-    wanted = asked.select(F.lower("phrase").alias("__p")).distinct()
-    blocks = max(1, -(-wanted.count() // 5_000))
-    hits = None
-    for k in range(blocks):
-        part = F.broadcast(wanted.where(F.pmod(F.xxhash64("__p"), F.lit(blocks)) == k))
-        found = usable.join(part, F.contains("__text", "__p")).select("__p", "edge_id", "source_paper_id", "updated_at")
-        hits = found if hits is None else hits.unionByName(found)
+    hits = holding(usable, "__text", asked.select(F.lower("phrase").alias("phrase"))).select(F.col("phrase").alias("__p"), "edge_id", "source_paper_id", "updated_at")
     newest = Window.partitionBy("__p").orderBy(F.desc("updated_at"), "edge_id")
-    hits = hits.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= n)
+    hits = settled(hits.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= n))  # read twice
     first = asked.join(hits.select("__p").distinct(), F.lower("phrase") == F.col("__p"), "left_semi").groupBy(key).agg(F.min_by("phrase", "__k").alias("phrase"))
     return first.join(hits, F.lower("phrase") == F.col("__p")).select(key, "phrase", F.col("source_paper_id").alias("paper_id")).distinct()
 
