@@ -15,6 +15,7 @@ from sablewright.functions.schema import PREDICATES, STANCES, USABLE, entity_typ
 from sablewright.functions.scores import confidence
 from sablewright.functions.text import evidence_form, tokens
 from sablewright.operators.nearest import nearest
+from sablewright.shared import settled
 
 # Thresholds of the stored resolutions.
 MERGE, NEW, FACT_MERGE, FACT_NEW = 0.88, 0.55, 0.90, 0.60
@@ -132,8 +133,10 @@ def resolved_entities(mention: DataFrame, entities: DataFrame, decisions: DataFr
     """
     m = mention.withColumn("mention_id", F.concat_ws(":", "type", "normal"))
     spelled = entities.select("entity_id", "type", F.explode(F.array_union(F.array("canonical_normalized"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("normal"))
-    exact = m.join(spelled.groupBy("type", "normal").agg(F.min("entity_id").alias("entity_id")), ["type", "normal"]).select("mention_id", "type", "normal", "name", "entity_id", F.lit("exact").alias("route"), F.lit(1.0).alias("score"))
-    rest = m.join(exact.select("mention_id"), "mention_id", "left_anti")
+    # written once: what is exact and what is left are read several times from here on
+    spelled = settled(m.join(spelled.groupBy("type", "normal").agg(F.min("entity_id").alias("entity_id")), ["type", "normal"], "left"))
+    exact = spelled.where("entity_id is not null").select("mention_id", "type", "normal", "name", "entity_id", F.lit("exact").alias("route"), F.lit(1.0).alias("score"))
+    rest = spelled.where("entity_id is null").drop("entity_id")
     ranked = scored_candidates(rest.select(*mention.columns), entities)
     best = ranked.where("rank = 1").select("mention_id", F.col("entity_id").alias("best"), "score")
     new_id = hashed_id("E", F.col("type"), F.col("normal"))
@@ -171,14 +174,20 @@ def fact_candidates(rest: DataFrame, known: DataFrame, most: int = 8) -> DataFra
     if "embedding" in rest.columns and "embedding" in known.columns:
         near = nearest(rest, known, "signature", "fact_id", "predicate", most).select(F.col("left_id").alias("signature"), F.col("right_id").alias("fact_id"), "similarity")
     left = rest.select("signature", "subject_id", "object_id")
-    k = known.select("fact_id", F.col("subject_id").alias("ks"), F.col("object_id").alias("ko"), "updated_at")
     if near is not None:
         left = left.join(near.select("signature"), "signature", "left_anti")
-    # the newest of all that share either are among the newest of the subject and of the object
-    newest = lambda c: k.withColumn("__k", F.row_number().over(Window.partitionBy(c).orderBy(F.desc("updated_at"), "fact_id"))).where(F.col("__k") <= most).drop("__k")
-    pairs = left.join(newest("ks"), F.col("subject_id") == F.col("ks")).unionByName(left.join(newest("ko"), F.col("object_id") == F.col("ko"))).select("signature", "fact_id", "updated_at").distinct()
-    w = Window.partitionBy("signature").orderBy(F.desc("updated_at"), "fact_id")
-    shared = pairs.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).select("signature", "fact_id", F.lit(0.0).alias("similarity"))
+    # the newest of all that share either are among the newest of the subject and of the object; both lists are short, so a fact
+    # meets two arrays instead of rows for each of their entries
+    newest_first = F.coalesce(-F.unix_micros(F.col("updated_at").cast("timestamp")), F.lit(2**63 - 1))
+    k = known.select("fact_id", F.col("subject_id").alias("ks"), F.col("object_id").alias("ko"), newest_first.alias("age"))
+
+    def newest(by: str, name: str) -> DataFrame:
+        w = Window.partitionBy(by).orderBy("age", "fact_id")
+        return k.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= most).groupBy(by).agg(F.collect_list(F.struct("age", "fact_id")).alias(name))
+
+    met = left.join(newest("ks", "a"), F.col("subject_id") == F.col("ks"), "left").join(newest("ko", "b"), F.col("object_id") == F.col("ko"), "left")
+    both = F.when(F.col("a").isNull(), F.col("b")).when(F.col("b").isNull(), F.col("a")).otherwise(F.array_union("a", "b"))
+    shared = met.select("signature", F.explode(F.slice(F.sort_array(both), 1, most)).alias("c")).select("signature", "c.fact_id", F.lit(0.0).alias("similarity"))
     return shared if near is None else near.unionByName(shared)
 
 
@@ -193,12 +202,13 @@ def resolved_facts(facts: DataFrame, known: DataFrame) -> DataFrame:
     if "updated_at" not in known.columns:
         known = known.withColumn("updated_at", F.lit(None).cast("timestamp"))
     k = known.select(F.col("fact_id"), F.col("signature").alias("k_signature"), F.col("subject_id").alias("ks"), F.col("predicate").alias("kp"), F.col("object_id").alias("ko"))
-    exact = f.join(k.groupBy("k_signature").agg(F.min("fact_id").alias("fact_id")), f.signature == F.col("k_signature")).select(*own, "signature", "fact_id", F.lit("exact").alias("route"), F.lit(1.0).alias("score"))
-    rest = f.join(exact.select("signature"), "signature", "left_anti")
+    # written once: what is exact and what is left are read several times from here on
+    signed = settled(f.join(k.groupBy(F.col("k_signature").alias("signature")).agg(F.min("fact_id").alias("fact_id")), "signature", "left"))
+    exact = signed.where("fact_id is not null").select(*own, "signature", "fact_id", F.lit("exact").alias("route"), F.lit(1.0).alias("score"))
+    rest = signed.where("fact_id is null").drop("fact_id")
     scored = rest.drop("embedding").join(fact_candidates(rest, known), "signature").join(k, "fact_id")
     scored = scored.withColumn("score", fact_score(F.col("subject_id") == F.col("ks"), F.col("predicate") == F.col("kp"), F.col("object_id") == F.col("ko"), F.col("similarity")))
-    w = Window.partitionBy("signature").orderBy(F.desc("score"), "fact_id")
-    best = scored.withColumn("n", F.row_number().over(w)).where("n = 1").select("signature", F.col("fact_id").alias("best"), "score")
+    best = scored.groupBy("signature").agg(F.min(F.struct((-F.col("score")).alias("s"), "fact_id")).alias("b")).select("signature", F.col("b.fact_id").alias("best"), (-F.col("b.s")).alias("score"))
     routed = rest.join(best, "signature", "left")
     routed = routed.select(*own, "signature", F.when(F.col("score") >= FACT_MERGE, F.col("best")).otherwise(hashed_id("F", F.col("signature"))).alias("fact_id"), route(F.col("score"), FACT_MERGE, FACT_NEW).alias("route"), F.coalesce("score", F.lit(0.0)).alias("score"))
     return exact.unionByName(routed)
