@@ -9,6 +9,7 @@ from sablewright.functions.names import acronym_of, blocking_keys_of, entity_sco
 from sablewright.functions.schema import fact_signature, hashed_id
 from sablewright.functions.text import evidence_form, tokens
 from sablewright.operators import evaluation, evidence, graph
+from sablewright.operators.matching import holding
 from sablewright.plans.registry import query
 from sablewright.sources.tables import table
 
@@ -96,22 +97,10 @@ def token_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(trim(regexp_replace(lower(d.text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(b.text), '\\s+', ' ', 'g'))) WHERE len(b.text) >= 12")
 def evidence_match(spark: SparkSession, d: str) -> DataFrame:
-    """Which benchmark items stand in which documents. Items meet documents on a word of theirs, the longest."""
-    items = table(spark, d, "benchmark").where("length(text) >= 12").select("item_id", evidence_form(F.col("text")).alias("item"))
-    # of the words between white space, those at the ends may be part of longer ones in a document
-    inner = F.slice(F.split("item", " "), F.lit(2), F.greatest(F.size(F.split("item", " ")) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    keyed = items.withColumn("word", longest["w"])
+    """Which benchmark items stand in which documents: one pass over the documents, which are not shuffled."""
+    items = table(spark, d, "benchmark").where("length(text) >= 12").select("item_id", evidence_form(F.col("text")).alias("phrase"))
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", evidence_form(F.col("text")).alias("content"))
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("content", " "))).alias("word")).join(keyed.where("word is not null"), "word")
-    found = words.join(docs, "doc_id").where(F.contains("content", "item")).select("item_id", "doc_id")
-    # items of one or two words have no inner word; they are compared directly, in blocks of bounded size
-    short = keyed.where("word is null").select("item_id", "item")
-    blocks = -(-short.count() // 10_000)
-    for k in range(blocks):
-        part = F.broadcast(short.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k))
-        found = found.unionByName(docs.join(part, F.contains("content", "item")).select("item_id", "doc_id"))
-    return found
+    return holding(docs, "content", items).select("doc_id", "phrase").join(items, "phrase").select("item_id", "doc_id")
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")

@@ -48,6 +48,18 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(R.top(R.bm25(_docs(spark, d), QUESTION), 10), "doc_id")
 
 
+@query("""WITH d AS (SELECT doc_id, TOK AS t FROM documents), n AS (SELECT count(*)::DOUBLE AS n, avg(len(t))::DOUBLE AS avg_len FROM d),
+q AS (SELECT item_id, term, count(*)::DOUBLE AS asked FROM (SELECT item_id, unnest(TOK) AS term FROM benchmark) GROUP BY ALL),
+p AS (SELECT doc_id, doc_len, term, count(*)::DOUBLE AS tf FROM (SELECT doc_id, len(t)::DOUBLE AS doc_len, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+i AS (SELECT term, ln((any_value(n) - count(*) + 0.5e0) / (count(*) + 0.5e0) + 1e0) AS idf FROM p, n GROUP BY term),
+s AS (SELECT item_id, doc_id, round(sum(asked * idf * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * doc_len / avg_len))), 9) AS whole FROM q JOIN p USING (term) JOIN i USING (term), n GROUP BY item_id, doc_id)
+SELECT item_id, doc_id, round(whole, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY whole DESC, doc_id) AS rank FROM s QUALIFY rank <= 10""".replace("TOK", r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '')"))
+def bm25_cases(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best documents for the text of every benchmark item."""
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("question"))
+    return _ranked(R.bm25_batch(_docs(spark, d), items, 10, key="item_id"), "item_id", "doc_id")
+
+
 @query(f"WITH {_bm25_sql(QUESTION, 'b')} SELECT term, df, round(idf, 6) AS idf FROM b_idf")
 def bm25_term_stats(spark: SparkSession, d: str) -> DataFrame:
     return R.term_stats(_docs(spark, d), R.query_terms(QUESTION)).select("term", "df", F.round("idf", 6).alias("idf"))

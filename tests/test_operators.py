@@ -447,3 +447,20 @@ def test_worker_runs_once(spark, tmp_path):
         q = streaming.worker(streaming.stream(spark, str(tmp_path / "jobs"), "job_id string"), str(tmp_path / "ck"), lambda df, i: seen.extend(r.job_id for r in df.collect()))
         q.awaitTermination()
     assert sorted(seen) == ["a", "b"]
+
+
+def test_bm25_batch_equals_bm25(spark):
+    import random
+
+    from sablewright.operators import retrieval
+
+    r = random.Random(11)
+    text = lambda n: " ".join(r.choice(["a", "B", "c", "dd", "é", "x1", "the"]) for _ in range(n))
+    rows = [(i, text(r.randint(0, 30))) for i in range(60)] + [(60, None), (61, ""), (62, "rare the"), (63, "rare the")]
+    chunks = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    questions = [(1, "a the the"), (2, "RARE"), (3, "nowhere"), (4, ""), (5, None), (6, "rare a dd é")]
+    got = retrieval.bm25_batch(chunks, spark.createDataFrame(questions, "question_id long, question string"), 5).collect()
+    for k, q in questions:
+        want = sorted((-round(x.score, 9), x.doc_id) for x in retrieval.bm25(chunks, q or "").collect())[:5]
+        assert [(-x.score, x.doc_id) for x in sorted((x for x in got if x.question_id == k), key=lambda x: x["rank"])] == want, q
+    assert retrieval.bm25_batch(chunks.limit(0), spark.createDataFrame(questions, "question_id long, question string"), 5).count() == 0
