@@ -25,10 +25,11 @@ def corpus_size(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def term_hits(chunks: DataFrame, terms: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, doc_len, hits): the length in tokens and those tokens that are asked for. One projection; nothing is exploded."""
-    t = tokens(F.col(text_col))
+    """(id, doc_len, hits): the length in tokens and those tokens that are asked for. Each text is cut once; no token becomes a row."""
     wanted = F.array(*(F.lit(x) for x in dict.fromkeys(terms))) if terms else F.array().cast("array<string>")
-    return chunks.select(F.col(id_col), F.size(t).alias("doc_len"), F.filter(t, lambda x: F.array_contains(wanted, x)).alias("hits"))
+    # the tokens are bound once as the only entry of an array; named twice in a projection, the text would be cut twice
+    both = F.transform(F.array(tokens(F.col(text_col))), lambda t: F.struct(F.size(t).alias("doc_len"), F.filter(t, lambda x: F.array_contains(wanted, x)).alias("hits")))
+    return chunks.select(F.col(id_col), F.inline(both))
 
 
 def hit_stats(hits: DataFrame, terms: Sequence[str]) -> DataFrame:
@@ -63,18 +64,21 @@ def _scores(terms: Sequence[str], place: dict[str, int]) -> Column:
 def bm25(chunks: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every chunk that holds a term; a term that the query repeats counts as often.
 
-    Two scans and no shuffle of rows: the first gives one row of statistics, which is broadcast, the second scores in
-    a projection.
+    One scan of the texts and no shuffle of rows, see ``bm25_many``.
     """
     return bm25_many(chunks, [query], id_col, text_col).select(id_col, "score")
 
 
 def bm25_many(chunks: DataFrame, queries: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, query, score) of every chunk and every one of a few queries (by number) whose terms it holds, in the same two scans."""
+    """(id, query, score) of every chunk and every one of a few queries (by number) whose terms it holds.
+
+    Texts are read and cut once: what is left of them, lengths and asked tokens, is written. It is read twice, for one row of
+    statistics, which is broadcast, and for the scores, a projection.
+    """
     asked = [query_terms(q) for q in queries]
     terms = list(dict.fromkeys(t for q in asked for t in q))
     place = {t: k for k, t in enumerate(terms)}
-    hits = term_hits(chunks, terms, id_col, text_col)
+    hits = settled(term_hits(chunks, terms, id_col, text_col))
     scored = hits.where(F.size("hits") > 0).crossJoin(F.broadcast(hit_stats(hits, terms)))
     each = F.array(*(F.struct(F.lit(k).alias("query"), _scores(q, place).alias("score")) for k, q in enumerate(asked)))
     return scored.select(id_col, F.inline(each)).where("score > 0")
