@@ -164,37 +164,49 @@ def grown_entities(entities: DataFrame, resolved: DataFrame, now: Column) -> Dat
     return old.unionByName(made, allowMissingColumns=True)
 
 
-def fact_candidates(rest: DataFrame, known: DataFrame, most: int = 8) -> DataFrame:
-    """(signature, fact_id, similarity): for each fact the nearest known ones of its predicate; only where it has none, the
-    newest that share its subject or object.
+def _near_facts(rest: DataFrame, known: DataFrame, most: int) -> DataFrame | None:
+    """(signature, fact_id, similarity) of the nearest known facts of the predicate; None without vectors on both sides."""
+    if "embedding" not in rest.columns or "embedding" not in known.columns:
+        return None
+    return nearest(rest, known, "signature", "fact_id", "predicate", most).select(F.col("left_id").alias("signature"), F.col("right_id").alias("fact_id"), "similarity")
 
-    A join on either is the union of two equi-joins. Without ``embedding`` columns there are only the latter.
+
+def _shared_facts(rest: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """``rest`` with ``candidates``: the newest known facts that share the subject or object, at most ``most``, null without any.
+
+    The newest of all that share either are among the newest of the subject and of the object. Both lists are short, so a
+    fact meets two arrays instead of rows for each of their entries; they hold all that scores need.
     """
-    near = None
-    if "embedding" in rest.columns and "embedding" in known.columns:
-        near = nearest(rest, known, "signature", "fact_id", "predicate", most).select(F.col("left_id").alias("signature"), F.col("right_id").alias("fact_id"), "similarity")
-    left = rest.select("signature", "subject_id", "object_id")
-    if near is not None:
-        left = left.join(near.select("signature"), "signature", "left_anti")
-    # the newest of all that share either are among the newest of the subject and of the object; both lists are short, so a fact
-    # meets two arrays instead of rows for each of their entries
     newest_first = F.coalesce(-F.unix_micros(F.col("updated_at").cast("timestamp")), F.lit(2**63 - 1))
-    k = known.select("fact_id", F.col("subject_id").alias("ks"), F.col("object_id").alias("ko"), newest_first.alias("age"))
+    k = known.select("fact_id", F.col("subject_id").alias("ks"), F.col("predicate").alias("kp"), F.col("object_id").alias("ko"), newest_first.alias("age"))
 
     def newest(by: str, name: str) -> DataFrame:
         w = Window.partitionBy(by).orderBy("age", "fact_id")
-        return k.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= most).groupBy(by).agg(F.collect_list(F.struct("age", "fact_id")).alias(name))
+        top = k.where(F.col(by).isNotNull()).withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= most)
+        return top.groupBy(F.col(by).alias(f"__{by}")).agg(F.collect_list(F.struct("age", "fact_id", "ks", "kp", "ko")).alias(name))
+
+    met = rest.join(newest("ks", "__a"), F.col("subject_id") == F.col("__ks"), "left").join(newest("ko", "__b"), F.col("object_id") == F.col("__ko"), "left")
+    both = F.when(F.col("__a").isNull(), F.col("__b")).when(F.col("__b").isNull(), F.col("__a")).otherwise(F.array_union("__a", "__b"))
+    return met.withColumn("candidates", F.slice(F.sort_array(both), 1, most)).drop("__a", "__b", "__ks", "__ko")
+
+
+def fact_candidates(rest: DataFrame, known: DataFrame, most: int = 8) -> DataFrame:
+    """(signature, fact_id, similarity): for each fact the nearest known ones of its predicate; only where it has none, the
+    newest that share its subject or object.
 
-    met = left.join(newest("ks", "a"), F.col("subject_id") == F.col("ks"), "left").join(newest("ko", "b"), F.col("object_id") == F.col("ko"), "left")
-    both = F.when(F.col("a").isNull(), F.col("b")).when(F.col("b").isNull(), F.col("a")).otherwise(F.array_union("a", "b"))
-    shared = met.select("signature", F.explode(F.slice(F.sort_array(both), 1, most)).alias("c")).select("signature", "c.fact_id", F.lit(0.0).alias("similarity"))
+    A join on either is the union of two equi-joins. Without ``embedding`` columns there are only the latter.
+    """
+    near = _near_facts(rest, known, most)
+    left = rest if near is None else rest.join(near.select("signature"), "signature", "left_anti")
+    shared = _shared_facts(left, known, most).select("signature", F.explode("candidates").alias("c")).select("signature", "c.fact_id", F.lit(0.0).alias("similarity"))
     return shared if near is None else near.unionByName(shared)
 
 
-def resolved_facts(facts: DataFrame, known: DataFrame) -> DataFrame:
+def resolved_facts(facts: DataFrame, known: DataFrame, most: int = 8) -> DataFrame:
     """Each fact (subject_id, predicate, object_id) with the known fact it is, or a new one: signature, then score.
 
     Both tables may have ``embedding`` columns; of facts with one signature any vector counts, as they say the same.
+    Candidates that share a part are scored within their array, so they never become rows.
     """
     own = ["subject_id", "predicate", "object_id"]
     f = facts.groupBy(*own).agg(F.first("embedding").alias("embedding")) if "embedding" in facts.columns else facts.select(*own).distinct()
@@ -206,10 +218,24 @@ def resolved_facts(facts: DataFrame, known: DataFrame) -> DataFrame:
     signed = settled(f.join(k.groupBy(F.col("k_signature").alias("signature")).agg(F.min("fact_id").alias("fact_id")), "signature", "left"))
     exact = signed.where("fact_id is not null").select(*own, "signature", "fact_id", F.lit("exact").alias("route"), F.lit(1.0).alias("score"))
     rest = signed.where("fact_id is null").drop("fact_id")
-    scored = rest.drop("embedding").join(fact_candidates(rest, known), "signature").join(k, "fact_id")
-    scored = scored.withColumn("score", fact_score(F.col("subject_id") == F.col("ks"), F.col("predicate") == F.col("kp"), F.col("object_id") == F.col("ko"), F.col("similarity")))
-    best = scored.groupBy("signature").agg(F.min(F.struct((-F.col("score")).alias("s"), "fact_id")).alias("b")).select("signature", F.col("b.fact_id").alias("best"), (-F.col("b.s")).alias("score"))
-    routed = rest.join(best, "signature", "left")
+
+    def score(c: Column, similarity: Column) -> Column:
+        return fact_score(F.col("subject_id") == c["ks"], F.col("predicate") == c["kp"], F.col("object_id") == c["ko"], similarity)
+
+    def better(c: Column) -> Column:
+        return F.struct((-score(c, F.lit(0.0))).alias("s"), c["fact_id"].alias("fact_id"))
+
+    near = _near_facts(rest, known, most)
+    left = rest
+    if near is not None:
+        near = settled(near)  # read twice
+        left = rest.join(near.select("signature"), "signature", "left_anti")
+    best = _shared_facts(left, known, most).select(*own, "signature", F.array_min(F.transform("candidates", better)).alias("b"))
+    if near is not None:
+        scored = rest.drop("embedding").join(near, "signature").join(k.select("fact_id", F.struct("ks", "kp", "ko").alias("c")), "fact_id")
+        found = F.struct((-score(F.col("c"), F.col("similarity"))).alias("s"), "fact_id")
+        best = best.unionByName(scored.groupBy(*own, "signature").agg(F.min(found).alias("b")))
+    routed = best.select(*own, "signature", F.col("b.fact_id").alias("best"), (-F.col("b.s")).alias("score"))
     routed = routed.select(*own, "signature", F.when(F.col("score") >= FACT_MERGE, F.col("best")).otherwise(hashed_id("F", F.col("signature"))).alias("fact_id"), route(F.col("score"), FACT_MERGE, FACT_NEW).alias("route"), F.coalesce("score", F.lit(0.0)).alias("score"))
     return exact.unionByName(routed)
 

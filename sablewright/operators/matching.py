@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from sablewright.shared import settled
+
 try:
     import ahocorasick
 except ImportError:  # texts are then compared with each phrase of a block, to the same result
@@ -46,7 +48,8 @@ def holding(texts: DataFrame, text: str, phrases: DataFrame, phrase: str = "phra
     """The rows of ``texts`` with each different phrase (a new column ``phrase``) that stands in their text, to the letter.
 
     An automaton of all phrases of a block reads a text once, however many phrases there are, and texts are never shuffled;
-    phrases are a set of queries, of which a block at a time is sent to the tasks. Null texts hold nothing, null and empty
+    phrases are a set of queries. Where they make several blocks, each block's hits are written before the next one comes, so
+    that the driver never holds more than one. Null texts hold nothing, null and empty
     phrases stand in none. Where the automaton's package is missing, a join on ``contains`` gives the same rows.
     """
     wanted = phrases.select(F.col(phrase).alias("phrase")).where("phrase <> ''").distinct()
@@ -57,5 +60,6 @@ def holding(texts: DataFrame, text: str, phrases: DataFrame, phrase: str = "phra
         if ahocorasick is None:
             parts.append(texts.join(F.broadcast(part), F.contains(F.col(text), F.col("phrase"))))
         else:
-            parts.append(texts.mapInArrow(_scan([r.phrase for r in part.collect()], text), StructType([*texts.schema.fields, StructField("phrase", StringType())])))
+            hits = texts.mapInArrow(_scan([r.phrase for r in part.collect()], text), StructType([*texts.schema.fields, StructField("phrase", StringType())]))
+            parts.append(hits if blocks == 1 else settled(hits))
     return reduce(DataFrame.unionByName, parts)
