@@ -206,7 +206,8 @@ def resolved_facts(facts: DataFrame, known: DataFrame, most: int = 8) -> DataFra
     """Each fact (subject_id, predicate, object_id) with the known fact it is, or a new one: signature, then score.
 
     Both tables may have ``embedding`` columns; of facts with one signature any vector counts, as they say the same.
-    Candidates that share a part are scored within their array, so they never become rows.
+    Candidates that share a part are scored within their array, so they never become rows. A null subject or object
+    finds no candidate, but does not keep the other one from finding some; nulls on both sides count as equal.
     """
     own = ["subject_id", "predicate", "object_id"]
     f = facts.groupBy(*own).agg(F.first("embedding").alias("embedding")) if "embedding" in facts.columns else facts.select(*own).distinct()
@@ -220,7 +221,7 @@ def resolved_facts(facts: DataFrame, known: DataFrame, most: int = 8) -> DataFra
     rest = signed.where("fact_id is null").drop("fact_id")
 
     def score(c: Column, similarity: Column) -> Column:
-        return fact_score(F.col("subject_id") == c["ks"], F.col("predicate") == c["kp"], F.col("object_id") == c["ko"], similarity)
+        return fact_score(F.col("subject_id").eqNullSafe(c["ks"]), F.col("predicate").eqNullSafe(c["kp"]), F.col("object_id").eqNullSafe(c["ko"]), similarity)
 
     def better(c: Column) -> Column:
         return F.struct((-score(c, F.lit(0.0))).alias("s"), c["fact_id"].alias("fact_id"))

@@ -464,3 +464,43 @@ def test_bm25_batch_equals_bm25(spark):
         want = sorted((-round(x.score, 9), x.doc_id) for x in retrieval.bm25(chunks, q or "").collect())[:5]
         assert [(-x.score, x.doc_id) for x in sorted((x for x in got if x.question_id == k), key=lambda x: x["rank"])] == want, q
     assert retrieval.bm25_batch(chunks.limit(0), spark.createDataFrame(questions, "question_id long, question string"), 5).count() == 0
+
+
+def test_facts_against_brute_force(spark):
+    """Routes, ids and scores of facts as plain loops give them: nulls, ties in age, repeated facts, a hot subject."""
+    import hashlib
+    import random
+
+    rng = random.Random(5)
+    ids = lambda p: rng.choice([None, *[f"{p}{min(rng.randrange(9), rng.randrange(9))}" for _ in range(6)]])
+    facts = [(ids("s"), rng.choice(["SOLVES", "IMPROVES"]), ids("o")) for _ in range(150)]
+    known = [(f"F{k:03}", ids("s"), "SOLVES", ids("o"), rng.choice([None, 100, 200, 300])) for k in range(60)]
+    signature = lambda s, p, o: f"{s or ''}|{p}|{o or ''}"
+    k = spark.createDataFrame(known, "fact_id string, subject_id string, predicate string, object_id string, at long")
+    k = k.withColumn("updated_at", F.timestamp_seconds("at")).withColumn("signature", evidence.fact_signature(F.col("subject_id"), F.col("predicate"), F.col("object_id"))).drop("at")
+    f = spark.createDataFrame(facts, "subject_id string, predicate string, object_id string")
+
+    want = {}
+    for s, p, o in set(facts):
+        same = [x[0] for x in known if signature(*x[1:4]) == signature(s, p, o)]
+        if same:
+            want[s, p, o] = ("exact", min(same), 1.0)
+            continue
+        sharing = [x for x in known if (s is not None and x[1] == s) or (o is not None and x[3] == o)]
+        sharing.sort(key=lambda x: (-x[4] if x[4] is not None else float("inf"), x[0]))
+        scored = sorted((-round(0.2 * (x[1] == s) + 0.25 * (x[2] == p) + 0.5 * (x[3] == o), 6), x[0]) for x in sharing[:8])
+        score, best = (-scored[0][0], scored[0][1]) if scored else (0.0, None)
+        own = "F" + hashlib.sha256(signature(s, p, o).encode()).hexdigest()[:24]
+        want[s, p, o] = ("rule_merge", best, score) if score >= 0.9 else ("new" if score < 0.6 else "ambiguous_unresolved", own, score)
+    got = {(r.subject_id, r.predicate, r.object_id): (r.route, r.fact_id, round(r.score, 6)) for r in evidence.resolved_facts(f, k).collect()}
+    assert got == want and {r for r, _, _ in want.values()} >= {"exact", "new", "ambiguous_unresolved"}
+    assert evidence.resolved_facts(f, k.limit(0)).where("route <> 'new'").count() == 0 and evidence.resolved_facts(f.limit(0), k).count() == 0
+
+
+def test_bm25_of_few_queries_at_once(spark):
+    """Several queries in one pass score as each alone; null texts count as chunks of no length."""
+    docs = spark.createDataFrame([(1, "a b b c"), (2, "A\u00a0a zz"), (3, None), (4, ""), (5, "d"), (6, "b\u3000zz")], "doc_id long, text string")
+    many = {(r.query, r.doc_id): r.score for r in retrieval.bm25_many(docs, ["a b", "zz zz", "", "none"]).collect()}
+    alone = {(k, r.doc_id): r.score for k, q in enumerate(["a b", "zz zz"]) for r in retrieval.bm25(docs, q).collect()}
+    assert many == pytest.approx(alone) and set(many) == {(0, 1), (0, 2), (0, 6), (1, 2), (1, 6)}
+    assert retrieval.bm25(docs.limit(0), "a").count() == 0
