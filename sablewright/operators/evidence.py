@@ -79,11 +79,41 @@ def resolution_text(name: Column, kind: Column, context: Column, domain: Column
     return F.concat_ws(" | ", *(F.nullif(p, F.lit("")) for p in parts if p is not None))
 
 
-def blocked(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: str = "blocking_keys", type_col: str = "type") -> DataFrame:
-    """Pairs of one type that share a blocking key, each once. An equi-join on the exploded keys."""
-    a = left.select(F.col(left_id).alias("left_id"), type_col, F.explode(keys).alias("key"))
-    b = right.select(F.col(right_id).alias("right_id"), type_col, F.explode(keys).alias("key"))
-    return a.join(b, [type_col, "key"]).select("left_id", "right_id").distinct()
+#: Ids of a blocking key that meet in one task, about.
+BLOCK_IDS = 2_000
+
+
+def blocked(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: str = "blocking_keys", type_col: str = "type", carry: tuple[str, ...] = (), block: int = BLOCK_IDS) -> DataFrame:
+    """Pairs (left_id, right_id) of one type that share a blocking key, each once, with the ``carry`` columns of both as structs ``left`` and ``right``.
+
+    The join is on the key and, where very many ids have it, on a pair of their blocks too, so that a frequent key is dealt to
+    many tasks. A pair is made at the first key that it shares, so that pairs are never shuffled to be told apart.
+    Null ids, types and keys pair with nothing. Rows that repeat an id count as one, with the keys of all of them and the least carried columns.
+    """
+
+    def keyed(df: DataFrame, id_col: str) -> DataFrame:
+        row = df.select(F.col(id_col).alias("__id"), F.col(type_col).alias("__type"), (F.struct(*carry) if carry else F.lit(0)).alias("__c"), F.explode(keys).alias("__key"))
+        kind = F.col("__type").cast("string")
+        row = row.dropna(subset=["__id", "__type", "__key"]).withColumn("__k", F.concat(F.length(kind), F.lit(":"), kind, "__key"))
+        one = row.groupBy("__id", "__k").agg(F.min("__c").alias("__c")).groupBy("__id").agg(F.array_sort(F.collect_list("__k")).alias("__all"), F.min("__c").alias("__c"))
+        return one.select("__id", "__c", "__all", F.posexplode("__all").alias("__at", "__k"))
+
+    a, b = keyed(left, left_id), keyed(right, right_id)
+    n = a.groupBy("__k").agg(F.count("*").alias("__n"), F.lit(0).alias("__m")).unionByName(b.groupBy("__k").agg(F.lit(0).alias("__n"), F.count("*").alias("__m")))
+    blocks = [F.ceil(F.sum(c) / F.lit(block)).cast("int").alias(f"{c}_blocks") for c in ("__n", "__m")]
+    size = n.groupBy("__k").agg(*blocks).where("__n_blocks > 0 and __m_blocks > 0")
+
+    def dealt(df: DataFrame, own: str, own_blocks: str, other: str, other_blocks: str) -> DataFrame:
+        out = df.join(size, "__k").withColumn(own, F.pmod(F.xxhash64("__id"), own_blocks).cast("int"))
+        return out.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_blocks) - 1)))
+
+    x = dealt(a, "__x", "__n_blocks", "__y", "__m_blocks").select("__k", "__x", "__y", F.col("__id").alias("left_id"), F.col("__c").alias("left"), F.slice("__all", F.lit(1), F.col("__at")).alias("__before"))
+    y = dealt(b, "__y", "__m_blocks", "__x", "__n_blocks").select("__k", "__x", "__y", F.col("__id").alias("right_id"), F.col("__c").alias("right"), F.col("__all").alias("__r"))
+    # keys are few bytes and pairs many rows: as many tasks as the session has partitions, not as few as the keys' bytes would fill
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x, y = (t.repartition(tasks, "__k", "__x", "__y") for t in (x, y))
+    pairs = x.join(y, ["__k", "__x", "__y"]).where(~F.arrays_overlap("__before", "__r"))
+    return pairs.select("left_id", "right_id", *(("left", "right") if carry else ()))
 
 
 def candidates(mention: DataFrame, entities: DataFrame, most: int = 8) -> DataFrame:

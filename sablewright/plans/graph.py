@@ -88,11 +88,9 @@ def blocking_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_KEYS}, c AS (SELECT DISTINCT a.p_partkey AS left_id, b.p_partkey AS right_id, string_split(a.n, ' ') AS x, string_split(b.n, ' ') AS y FROM k a JOIN k b ON a.p_type = b.p_type AND a.key = b.key AND a.p_partkey < b.p_partkey) SELECT left_id, right_id, round(len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))), 6) AS jaccard FROM c")
 def token_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = _parts(spark, d)
-    t = p.select("p_partkey", F.split("normal", " ").alias("t"))
-    pairs = evidence.blocked(p, p, "p_partkey", "p_partkey").where("left_id < right_id")
-    both = pairs.join(t.select(F.col("p_partkey").alias("left_id"), F.col("t").alias("x")), "left_id").join(t.select(F.col("p_partkey").alias("right_id"), F.col("t").alias("y")), "right_id")
-    return both.select("left_id", "right_id", F.round(token_jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
+    p = _parts(spark, d).withColumn("words", F.split("normal", " "))
+    pairs = evidence.blocked(p, p, "p_partkey", "p_partkey", carry=("words",)).where("left_id < right_id")
+    return pairs.select("left_id", "right_id", F.round(token_jaccard(F.col("left.words"), F.col("right.words")), 6).alias("jaccard"))
 
 
 @query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(trim(regexp_replace(lower(d.text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(b.text), '\\s+', ' ', 'g'))) WHERE len(b.text) >= 12")
@@ -153,8 +151,6 @@ def entity_scores(spark: SparkSession, d: str) -> DataFrame:
     """Rule scores of the blocked pairs of parts; the brand stands for the context."""
     p = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("type"), normal_name(F.col("p_name")).alias("normal"), tokens(F.col("p_brand")).alias("context"))
     keyed = p.withColumn("blocking_keys", blocking_keys_of(F.col("normal")))
-    pairs = evidence.blocked(keyed, keyed, "p_partkey", "p_partkey").where("left_id < right_id")
-    a = p.select(F.col("p_partkey").alias("left_id"), F.col("normal").alias("x"), F.col("context").alias("cx"))
-    b = p.select(F.col("p_partkey").alias("right_id"), F.col("normal").alias("y"), F.col("context").alias("cy"))
-    both = pairs.join(a, "left_id").join(b, "right_id")
-    return both.select("left_id", "right_id", entity_score(F.lit(True), F.col("x"), F.col("y"), F.array().cast("array<string>"), F.col("cx"), F.col("cy"), F.lit(0.0)).alias("score"))
+    pairs = evidence.blocked(keyed, keyed, "p_partkey", "p_partkey", carry=("normal", "context")).where("left_id < right_id")
+    score = entity_score(F.lit(True), F.col("left.normal"), F.col("right.normal"), F.array().cast("array<string>"), F.col("left.context"), F.col("right.context"), F.lit(0.0))
+    return pairs.select("left_id", "right_id", score.alias("score"))

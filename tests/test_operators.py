@@ -284,6 +284,30 @@ def test_links_of_frequent_targets(spark):
     assert got[0] == want and got[1] == want
 
 
+@pytest.mark.parametrize("block", [3, 1000])
+def test_blocked_pairs_of_frequent_keys(spark, block):
+    """Every pair once, whatever it shares, with nulls, repeated ids and a key that most have."""
+    r = random.Random(4)
+    one, two = ([(r.choice([None, *range(12)]), r.choice(["t", "t", "u", None]), r.choice([None, [], ["a"], ["a", "b"], ["b", "a", "c"], ["a", None], ["c"]]), r.choice(["x", "y", None])) for _ in range(n)] for n in (60, 40))
+    a, b = (spark.createDataFrame(rows, "id int, type string, blocking_keys array<string>, name string") for rows in (one, two))
+
+    def own(rows):
+        keys, names = {}, {}
+        for i, t, k, n in rows:
+            for x in k or []:
+                if i is not None and t is not None and x is not None:
+                    keys.setdefault(i, set()).add((t, x))
+                    names.setdefault(i, []).append(n)
+        return keys, {i: min(n, key=lambda x: (x is not None, x or "")) for i, n in names.items()}
+
+    (ka, na), (kb, nb) = own(one), own(two)
+    want = sorted((i, j, na[i], nb[j]) for i in ka for j in kb if ka[i] & kb[j])
+    got = evidence.blocked(a, b, "id", "id", carry=("name",), block=block).select("left_id", "right_id", "left.name", F.col("right.name").alias("other")).collect()
+    assert want and sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert sorted(map(tuple, evidence.blocked(a, b, "id", "id", block=block).collect())) == sorted(x[:2] for x in want)
+    assert evidence.blocked(a.limit(0), b, "id", "id", block=block).count() == 0
+
+
 def test_question_papers(spark):
     rows = [("1", "p", "Deep Graph Nets", "", "auto_verified", T(1)), ("2", "q", "graph", "", "confirmed", T(2)), ("3", "r", "Deep Graph Nets", "", "rejected", T(3))]
     e = spark.createDataFrame(rows, "edge_id string, source_paper_id string, target_name string, evidence string, review_status string, updated_at timestamp")
