@@ -308,6 +308,22 @@ def test_blocked_pairs_of_frequent_keys(spark, block):
     assert evidence.blocked(a.limit(0), b, "id", "id", block=block).count() == 0
 
 
+def test_copies_are_scored_once(spark):
+    """Ids with the same keys and columns are one kind, of which a score is asked once, whatever the number of pairs."""
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def score(a, b):
+        asked.add(1)
+        return len(a + b)
+
+    df = spark.createDataFrame([(i, "t", ["k", "l"], "x" * (i % 2 + 1)) for i in range(400)], "id long, type string, blocking_keys array<string>, name string")
+    pairs = evidence.blocked(df, df, "id", "id", carry=("name",), made=lambda a, b: score(a["name"], b["name"])).where("left_id < right_id")
+    got = pairs.agg(F.count("*").alias("n"), F.sum("made").alias("s")).first()
+    assert (got.n, got.s) == (400 * 399 // 2, 2 * 199 * 100 + 3 * 200 * 200 + 4 * 199 * 100)
+    assert asked.value == 4
+
+
 def test_question_papers(spark):
     rows = [("1", "p", "Deep Graph Nets", "", "auto_verified", T(1)), ("2", "q", "graph", "", "confirmed", T(2)), ("3", "r", "Deep Graph Nets", "", "rejected", T(3))]
     e = spark.createDataFrame(rows, "edge_id string, source_paper_id string, target_name string, evidence string, review_status string, updated_at timestamp")
