@@ -332,6 +332,23 @@ def test_question_papers(spark):
     assert sorted((r.question_id, r.phrase) for r in graph.question_papers(q.withColumn("question", F.replace("question", F.lit("compare graph"), F.lit("共同 graph"))), e).collect()) == [(1, "deep graph nets"), (3, "graph"), (3, "graph")]
 
 
+def test_similar_memories_of_large_kinds(spark):
+    """Copies travel as arrays of a bounded size; every pair comes once, with the heavier one kept."""
+    r = random.Random(3)
+    texts = [" ".join(f"w{k}" for k in range(10)), " ".join(f"w{k}" for k in range(1, 11)), "W3 w3 w4", "w4 w3", "", None]
+    rows = [(i, r.choice(["u", "v", None]), "t", r.choice(texts), r.choice([1.0, 2.0, 2.0, None])) for i in range(90)]
+    m = spark.createDataFrame(rows, "memory_id long, user_id string, type string, content string, weight double")
+    want = []
+    for i, u, _, c, w in rows:
+        for j, v, _, d, x in rows:
+            a, b = set((c or "").lower().split()), set((d or "").lower().split())
+            if i < j and u is not None and u == v and a and b and len(a & b) / len(a | b) >= 0.8:
+                left = w is not None and x is not None and w >= x
+                want.append((i if left else j, j if left else i, round(len(a & b) / len(a | b), 9)))
+    got = [(x.keep, x.gone, round(x.similarity, 9)) for x in memory.similar_pairs(m, block=4).collect()]
+    assert len(want) > 500 and sorted(got) == sorted(want)
+
+
 def test_memories_merge_along_chains(spark):
     """What goes into a memory that goes itself counts for the one that stays."""
     w = [f"w{k}" for k in range(12)]
