@@ -349,6 +349,16 @@ def test_similar_memories_of_large_kinds(spark):
     assert len(want) > 100 and sorted(got) == sorted(want)
 
 
+def test_titles_in_long_texts(spark):
+    """Places are cut by one pass, without counting to each anew; texts do not go with their places; rows that share or lack an id count too."""
+    long = "word " * 60_000
+    turns = spark.createDataFrame([(1, long + "Deep Graph-Nets!"), (1, "deep graph"), (None, "a deepGRAPH nets b"), (2, None), (3, "short"), (4, "图神经网络研究")], "turn_id long, query string")
+    papers = spark.createDataFrame([("p", "Deep graph nets"), ("q", "deep graph"), ("r", "nets"), ("s", None), ("t", "图神经网络研究"), ("u", "deep graph nets at scale")], "paper_id string, title string")
+    hits = sessions.title_hits(turns, papers)
+    assert sorted(map(tuple, hits.collect()), key=repr) == sorted([(1, "p"), (1, "q"), (None, "p"), (None, "q"), (4, "t")], key=repr)
+    assert "sequence(" not in hits._jdf.queryExecution().executedPlan().toString()
+
+
 def test_memories_merge_along_chains(spark):
     """What goes into a memory that goes itself counts for the one that stays."""
     w = [f"w{k}" for k in range(12)]
