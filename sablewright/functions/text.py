@@ -78,9 +78,9 @@ def contains_folded(c: Column, literal: str) -> Column:
     return F.contains(F.lower(c), F.lower(F.lit(literal)))
 
 
-def arxiv_id(c: Column) -> Column:
-    """The first identifier of the form 1234.56789, without version; null if none."""
-    return F.nullif(F.regexp_extract(c, ARXIV_ID, 1), F.lit(""))
+def arxiv_id(c: Column, pattern: str = ARXIV_ID) -> Column:
+    """The first identifier of the form 1234.56789, or of another pattern, without version; null if none."""
+    return F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
 
 
 def doi(c: Column) -> Column:

@@ -70,3 +70,13 @@ def test_no_python_on_the_way(spark, sf):
         assert "Python" not in text and "InArrow" not in text and "Cartesian" not in text, name
     assert plan(registry.QUERIES["entity_scores"](spark, sf)).count("ArrowEvalPython") <= 2
     assert "NestedLoop" not in plan(registry.QUERIES["title_matches"](spark, sf))
+
+
+def test_normal_forms_of_large_ids(spark, tmp_path):
+    """Ids made from document numbers of more than five digits stay whole, as in the SQL."""
+    import duckdb
+
+    spark.range(89_998, 90_003).selectExpr("id AS doc_id", "'A  text' AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert oracle.rows_of_spark(registry.QUERIES["normal_forms"](spark, str(tmp_path))) == oracle.rows_of_sql(con, registry.SQL["normal_forms"])
