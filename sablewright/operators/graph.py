@@ -40,19 +40,28 @@ def shortest_paths(edges: DataFrame, start: str, goal: str | None, most_depth: i
 BLOCK_SOURCES = 2_000
 
 
-def links(edges: DataFrame, src: str, target: str, reason: Column, most_reasons: int | None = None, block: int = BLOCK_SOURCES) -> DataFrame:
+#: Shared targets of a source that one task counts, about.
+TASK_LINKS = 5_000_000
+
+
+def links(edges: DataFrame, src: str, target: str, reason: Column, most_reasons: int | None = None, block: int = BLOCK_SOURCES, task: int = TASK_LINKS) -> DataFrame:
     """Pairs of sources that share targets, with the number of shared targets and the sorted reasons.
 
-    Each source counts once for a target. The join is on the target and, where it has very many sources, on a pair of their
-    blocks too, so that a frequent target is dealt to many tasks; the order of the pair keeps each once.
+    Each source counts once for a target. It meets the greater sources of its target as one array (several, where a target has more than
+    ``block`` sources), and only these arrays are shuffled, to the source: pairs are made and counted where they arrive. A source with
+    more than ``task`` links is dealt to several tasks by its partners.
     """
-    one = edges.groupBy(src, target).agg(F.min(reason).alias("reason"))
-    size = one.groupBy(target).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("__blocks"), F.count("*").alias("__n")).where("__n > 1")
-    dealt = one.join(size, target).withColumn("__own", F.pmod(F.xxhash64(src), "__blocks").cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
-    a = dealt.select(F.col(target).alias("__t"), F.col("__own").alias("__x"), F.col("__other").alias("__y"), F.col(src).alias("left_id"), "reason")
-    b = dealt.select(F.col(target).alias("__t"), F.col("__other").alias("__x"), F.col("__own").alias("__y"), F.col(src).alias("right_id"))
-    pairs = a.join(b, ["__t", "__x", "__y"]).where("left_id < right_id")
-    out = pairs.groupBy("left_id", "right_id").agg(F.count("*").alias("n_shared"), F.array_sort(F.collect_list("reason")).alias("reasons"))
+    one = edges.select(F.col(src).alias("__s"), F.col(target).alias("__t"), reason.alias("reason")).dropna(subset=["__s", "__t"]).groupBy("__s", "__t").agg(F.min("reason").alias("reason"))
+    size = one.groupBy("__t").agg(F.count("*").alias("__n")).where("__n > 1")
+    met = one.join(size, "__t").withColumn("__blocks", F.ceil(F.col("__n") / F.lit(block)).cast("int"))
+    others = met.groupBy("__t", F.pmod(F.xxhash64("__s"), "__blocks").cast("int").alias("__b")).agg(F.collect_list("__s").alias("__all"))
+    many = met.groupBy("__s").agg(F.ceil(F.sum("__n") / F.lit(task)).cast("int").alias("__parts")).where("__parts > 1")
+    own = met.select("__t", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__b"), "__s", "reason")
+    rows = own.join(others, ["__t", "__b"]).select("__s", "reason", F.filter("__all", lambda o: o > F.col("__s")).alias("__all")).where(F.size("__all") > 0)
+    rows = rows.join(F.broadcast(many), "__s", "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
+    rows = rows.select("__s", "__part", "reason", F.when(F.col("__parts").isNull(), F.col("__all")).otherwise(F.filter("__all", lambda o: F.pmod(F.xxhash64(o), "__parts") == F.col("__part"))).alias("__all"))
+    pairs = rows.withColumnRenamed("__s", "left_id").repartition("left_id", "__part").select("left_id", "__part", "reason", F.explode("__all").alias("right_id"))
+    out = pairs.groupBy("left_id", "__part", "right_id").agg(F.count("*").alias("n_shared"), F.array_sort(F.collect_list("reason")).alias("reasons")).drop("__part")
     return out if most_reasons is None else out.withColumn("reasons", F.slice("reasons", 1, most_reasons))
 
 

@@ -284,6 +284,18 @@ def test_links_of_frequent_targets(spark):
     assert got[0] == want and got[1] == want
 
 
+def test_links_shuffle_no_pairs(spark):
+    """Arrays of partners are shuffled to their source, where pairs are counted; a source of very many links is dealt to several tasks."""
+    df = spark.createDataFrame([(s, t) for t in range(6) for s in range(t, 40)], "s int, t int")
+    got = [graph.links(df, "s", "t", F.col("t"), block=7, task=k) for k in (50, 10**6)]
+    want = sorted((a, b, min(a, 5) + 1, list(range(min(a, 5) + 1))) for a in range(40) for b in range(a + 1, 40))
+    for x in got:
+        assert sorted((r.left_id, r.right_id, r.n_shared, r.reasons) for r in x.collect()) == want
+    # nothing is shuffled once pairs are made
+    plan = got[1]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate explode")].split("Aggregate", 1)[1]
+
+
 @pytest.mark.parametrize("block", [3, 1000])
 def test_blocked_pairs_of_frequent_keys(spark, block):
     """Every pair once, whatever it shares, with nulls, repeated ids and a key that most have."""
