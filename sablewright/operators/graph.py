@@ -100,7 +100,9 @@ def question_papers(questions: DataFrame, edges: DataFrame, n: int = 12, key: st
     """
     asked = questions.where(has_word(F.col(text), GRAPH_WORDS)).select(key, F.posexplode(phrases(F.col(text))).alias("__k", "phrase"))
     usable = edges.where(F.col("review_status").isin(*USABLE)).select("edge_id", "source_paper_id", "updated_at", F.lower(F.concat_ws("\n", "target_name", "evidence")).alias("__text"))
-    hits = holding(usable, "__text", asked.select(F.lower("phrase").alias("phrase"))).select(F.col("phrase").alias("__p"), "edge_id", "source_paper_id", "updated_at")
+    # a task gives the newest edges of a phrase only, so that the many others are never sorted
+    first = (n, (("updated_at", "descending"), ("edge_id", "ascending")))
+    hits = holding(usable, "__text", asked.select(F.lower("phrase").alias("phrase")), first=first).select(F.col("phrase").alias("__p"), "edge_id", "source_paper_id", "updated_at")
     newest = Window.partitionBy("__p").orderBy(F.desc("updated_at"), "edge_id")
     hits = settled(hits.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= n))  # read twice
     first = asked.join(hits.select("__p").distinct(), F.lower("phrase") == F.col("__p"), "left_semi").groupBy(key).agg(F.min_by("phrase", "__k").alias("phrase"))

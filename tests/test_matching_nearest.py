@@ -59,3 +59,16 @@ def test_nearest_has_no_driver_loop(spark):
     plan = nearest.nearest(df, df, "id", "id", "kind", block=5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Cartesian" not in plan and "NestedLoop" not in plan
     assert nearest.nearest(df.limit(0), df, "id", "id", "kind").count() == 0 and nearest.nearest(df, df.limit(0), "id", "id", "kind").count() == 0
+
+
+def test_first_rows_of_a_phrase(spark, monkeypatch):
+    """A task gives no more rows of a phrase than are asked for, the first ones, nulls as Spark places them."""
+    monkeypatch.setattr(matching, "HELD_HITS", 7)
+    rows = [(None if i % 7 == 0 else i % 5, None if i % 11 == 0 else f"e{i:03}", "a b" if i % 2 else "b c") for i in range(200)]
+    df = spark.createDataFrame(rows, "at int, id string, text string").coalesce(1)
+    got = matching.holding(df, "text", spark.createDataFrame([("a",), ("b",), ("c",)], "phrase string"), first=(3, (("at", "descending"), ("id", "ascending")))).collect()
+    want = []
+    for p in "abc":
+        of = sorted((r[:2] for r in rows if p in r[2]), key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or ""))
+        want += [(*r, p) for r in of[:3]]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
