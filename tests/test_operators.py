@@ -336,6 +336,14 @@ def test_copies_are_scored_once(spark):
     assert asked.value == 4
 
 
+def test_blocked_rows_are_kinds(spark, sf):
+    """Before ids become pairs, parts of equal type and name meet as one row, not each by itself."""
+    from sablewright.plans import graph as plans
+
+    plan = plans.blocking_candidates(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(__left_ids") == 1 and plan.index("explode(__right_ids") < plan.index("Join Inner")
+
+
 def test_question_papers(spark):
     rows = [("1", "p", "Deep Graph Nets", "", "auto_verified", T(1)), ("2", "q", "graph", "", "confirmed", T(2)), ("3", "r", "Deep Graph Nets", "", "rejected", T(3))]
     e = spark.createDataFrame(rows, "edge_id string, source_paper_id string, target_name string, evidence string, review_status string, updated_at timestamp")
