@@ -1,14 +1,13 @@
 """Whitening of vectors on an integer lattice: sums of centred products for every pair of dimensions in one aggregation.
 
-The fit list has each distinct lattice vector once. Sums are exact whole numbers; the covariance is a generated list of
-``sum(ci * cj)`` over the upper triangle, whose few thousand totals are all that comes to the driver; LAPACK decomposes it.
-Rows are projected by generated arithmetic, without Python and without a shuffle.
+The fit list has each distinct lattice vector once. Sums are exact whole numbers; the covariance is one aggregation by dimension, each
+with the products of its entry and those after it, whose few thousand totals are all that comes to the driver; LAPACK decomposes it.
+Rows are projected by array functions, without Python and without a shuffle.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations_with_replacement
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +16,8 @@ from pyspark.sql import functions as F
 from sablewright.llm.common import settled, table
 from sablewright.llm.vectors import dimension, usable
 
-#: Pairs of dimensions in one aggregation; 90 dimensions fit, more take several.
-PAIRS = 4096
+#: Sums of products that one aggregation has for a dimension; 126 dimensions fit, more take several.
+SUMS = 64
 #: Lattice entries beyond this are held there.
 _FAR = 1 << 62
 
@@ -34,13 +33,6 @@ def literal(values: list, kind: str) -> F.Column:
     return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
 
 
-def _sum(terms: list[str]) -> str:
-    """A sum in pieces, so that the expression stays shallow."""
-    while len(terms) > 1:
-        terms = ["(" + " + ".join(terms[i : i + 32]) + ")" for i in range(0, len(terms), 32)]
-    return terms[0]
-
-
 @dataclass(frozen=True)
 class Whitening:
     """What a fit knows; all of it is bounded by the dimension, not by the rows."""
@@ -64,7 +56,7 @@ class Whitening:
         """What the sums leave after ``middle``."""
         return [s - self.n * m for s, m in zip(self.sums, self.middle, strict=True)]
 
-    def centred(self, x: str) -> F.Column:
+    def centred(self, x: str | F.Column) -> F.Column:
         """The entries of ``x`` less their means; the whole part is subtracted exactly."""
         near = F.zip_with(x, literal(self.middle, "bigint"), lambda a, m: (a - m).cast("double"))
         return F.zip_with(near, literal([r / self.n for r in self.rest], "double"), lambda a, r: a - r)
@@ -73,14 +65,13 @@ class Whitening:
         """Whether an eigenvalue stands out from the rounding of the largest one."""
         return value > 16 * len(self.values) * np.finfo(float).eps * max(self.values[0], 0.0)
 
-    def projected(self, c: list[str], components: int) -> list[str]:
-        """SQL for the first whitened components from centred entries; null along directions without variance."""
-        out = []
-        for v, e in zip(self.vectors[:components], self.values[:components], strict=True):
-            out.append(f"({_sum([f'{a} * {float(w)!r}D' for a, w in zip(c, v, strict=True)])}) / {float(np.sqrt(e))!r}D" if self.spread(e) else "cast(null as double)")
-        return out
+    def projected(self, c: F.Column, components: int) -> F.Column:
+        """The first whitened components from centred entries; null along directions without variance."""
+        vectors = F.array(*[literal(list(map(float, v)), "double") for v in self.vectors[:components]])
+        roots = F.array(*[F.lit(float(np.sqrt(e)) if self.spread(e) else None).cast("double") for e in self.values[:components]])
+        return F.zip_with(vectors, roots, lambda v, r: F.aggregate(F.zip_with(c, v, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t) / r)
 
-    def deviation(self, x: str) -> F.Column:
+    def deviation(self, x: str | F.Column) -> F.Column:
         """The sum of ``(n x - sum)^2``, exact: as long where the data's range proves that it fits, else as decimal; null beyond long."""
         most = sum((self.n * max(h - m, m - lo) + self.n) ** 2 for lo, h, m in zip(self.lows, self.highs, self.middle, strict=True))
         if most >= 10**36:
@@ -94,32 +85,37 @@ class Whitening:
 
 def with_whitened(df: DataFrame, w: Whitening, x: F.Column, components: int) -> DataFrame:
     """``df`` with ``deviation`` and ``whitened`` for lattice vectors ``x``; other columns of any name stay as they are."""
-    own = "_lattice" + "_" * max((len(c) for c in df.columns), default=0)  # clashes with no column
-    with_x = df.withColumn(own, F.struct(x.alias("x")))
-    with_c = with_x.withColumn(own, F.struct(F.col(f"{own}.x").alias("x"), w.centred(f"{own}.x").alias("c")))
-    p = w.projected([f"{own}.c[{i}]" for i in range(len(w.sums))], components)
-    # the deviation's lambda keeps this projection out of one whole-stage method, which so many terms would not fit
-    return with_c.select(*[F.col(f"`{k}`") for k in df.columns], w.deviation(f"{own}.x").alias("deviation"), F.expr(f"array({', '.join(p)})").alias("whitened"))
+    # bound as the only entry of an array, centred entries are made once and not once for each component
+    both = F.transform(F.array(x), lambda x: F.struct(w.deviation(x).alias("deviation"), F.transform(F.array(w.centred(x)), lambda c: w.projected(c, components))[0].alias("whitened")))
+    return df.select(*[F.col(f"`{k}`") for k in df.columns], F.inline(both))
+
+
+def products(c: DataFrame, d: int) -> np.ndarray:
+    """The sums of ``c[i] * c[j]`` over the rows of an array column ``c`` with ``d`` entries, for all i and j.
+
+    Row i of an aggregation by dimension has the products of entry i with itself and the ``d // 2`` entries that follow, round the end, so
+    that every pair is there and the plan has few expressions: one for each pair would cost the driver hundreds of MB to compile.
+    """
+    twice = c.select(F.concat("c", "c").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("i"))
+    out = np.zeros((d, d))
+    for start in range(0, d // 2 + 1, SUMS):
+        steps = range(start, min(start + SUMS, d // 2 + 1))
+        for i, sums in twice.groupBy("i").agg(F.array(*[F.sum(F.col("c")[F.col("i")] * F.col("c")[F.col("i") + k]) for k in steps])).collect():
+            for k, s in zip(steps, sums, strict=True):
+                out[i, (i + k) % d] = out[(i + k) % d, i] = s
+    return out
 
 
 def fit(x: DataFrame, d: int) -> Whitening | None:
     """Mean and eigenvectors of a written table of distinct lattice vectors ``x`` with ``d`` entries; None without rows."""
-    entry = [F.element_at("x", i + 1) for i in range(d)]
-    totals = x.agg(F.count("*").alias("n"), F.array(*[F.sum(e.cast("decimal(20,0)")) for e in entry]), F.array(*map(F.min, entry)), F.array(*map(F.max, entry))).first()
-    n = totals[0]
-    if not n:
+    entry = x.select(F.posexplode("x").alias("i", "e")).groupBy("i")
+    totals = sorted(entry.agg(F.count("*"), F.sum(F.col("e").cast("decimal(20,0)")), F.min("e"), F.max("e")).collect())
+    if not totals:
         return None
-    sums, lows, highs = (tuple(map(int, t)) for t in totals[1:])
+    n = totals[0][1]
+    sums, lows, highs = (tuple(int(t[k]) for t in totals) for k in (2, 3, 4))
     base = Whitening(n, sums, lows, highs, np.zeros((0, d)), np.zeros(0), 0.0)
-    # no entry is null; saying so spares each of the sums two tests a row
-    c = x.select(base.centred("x").alias("c")).select(*[F.coalesce(F.col("c")[i], F.lit(0.0)).alias(f"c{i}") for i in range(d)])
-    pairs = list(combinations_with_replacement(range(d), 2))
-    cov = np.zeros((d, d))
-    for k in range(0, len(pairs), PAIRS):
-        some = pairs[k : k + PAIRS]
-        products = c.selectExpr("array(" + ", ".join(f"sum(c{i} * c{j})" for i, j in some) + ") as s").first()[0]
-        for (i, j), s in zip(some, products, strict=True):
-            cov[i, j] = cov[j, i] = s / n
+    cov = products(x.select(base.centred("x").alias("c")), d) / n
     values, vectors = np.linalg.eigh(cov)
     vectors = vectors.T[::-1]
     sign = np.sign(vectors[np.arange(d), np.abs(vectors).argmax(1)])
@@ -131,11 +127,10 @@ def identity_error(x: DataFrame, w: Whitening, components: int) -> float | None:
     keep = [k for k in range(min(components, len(w.values))) if w.spread(w.values[k])]
     if not keep:
         return None
-    y = with_whitened(x, w, F.col("x"), components).select(*[F.coalesce(F.col("whitened")[k], F.lit(0.0)).alias(f"w{k}") for k in keep])
-    m = dict(zip(keep, y.selectExpr(*[f"avg(w{k})" for k in keep]).first(), strict=True))
-    pairs = list(combinations_with_replacement(keep, 2))
-    got = y.selectExpr(*[f"sum((w{i} - {m[i]!r}D) * (w{j} - {m[j]!r}D))" for i, j in pairs]).first()
-    return max(abs(s / w.n - (i == j)) for (i, j), s in zip(pairs, got, strict=True))
+    y = with_whitened(x, w, F.col("x"), components).select("whitened")
+    mean = dict(y.select(F.posexplode("whitened").alias("i", "e")).groupBy("i").agg(F.avg("e")).collect())
+    c = F.array(*[F.col("whitened")[k] - F.lit(mean[k]) for k in keep])
+    return float(np.abs(products(y.select(c.alias("c")), len(keep)) / w.n - np.eye(len(keep))).max())
 
 
 def whitened(df: DataFrame, vector: str = "embedding", components: int = 16, scale: int = 64, offset: int = 1_000_000) -> tuple[DataFrame, Whitening | None, float | None]:

@@ -201,6 +201,19 @@ def test_whitening_edges(spark):
     assert [r.deviation for r in whitening.whitened(one(wide))[0].orderBy("vec_id").collect()] == [d if d < 2**63 else None for d in dev] and any(d >= 2**63 for d in dev) and any(d < 2**63 for d in dev)
 
 
+def test_whitening_plans_stay_small(spark, monkeypatch):
+    """An expression for every pair of dimensions, or of dimension and component, took hundreds of MB of the driver to compile."""
+    r = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, r.normal(size=64).tolist()) for i in range(80)], "vec_id long, embedding array<double>")
+    plan = whitening.whitened(df)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" * ") < 64
+    monkeypatch.setattr(whitening, "SUMS", 2)
+    for d in (1, 2, 5, 8):
+        a = r.normal(size=(30, d))
+        c = spark.createDataFrame([(v.tolist(),) for v in a], "c array<double>")
+        assert np.allclose(whitening.products(c, d), a.T @ a, atol=1e-12)
+
+
 def test_whitening_query(spark, sf):
     rows = whitening.op13_embedding_whitening(spark, sf)
     table = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()]
