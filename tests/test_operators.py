@@ -344,6 +344,15 @@ def test_blocked_rows_are_kinds(spark, sf):
     assert plan.count("explode(__left_ids") == 1 and plan.index("explode(__right_ids") < plan.index("Join Inner")
 
 
+def test_blocked_loops_hold_one_id(spark, sf):
+    """A compiled loop holds what it makes of a row: a step that is not compiled parts the loops over left and right ids, or all pairs of two kinds are held."""
+    from sablewright.plans import graph as plans
+
+    plan = plans.blocking_candidates(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    between = plan[plan.index("Generate explode(__right_ids") : plan.index("Generate explode(__left_ids")]
+    assert "lambdafunction" in between
+
+
 def test_question_papers(spark):
     rows = [("1", "p", "Deep Graph Nets", "", "auto_verified", T(1)), ("2", "q", "graph", "", "confirmed", T(2)), ("3", "r", "Deep Graph Nets", "", "rejected", T(3))]
     e = spark.createDataFrame(rows, "edge_id string, source_paper_id string, target_name string, evidence string, review_status string, updated_at timestamp")
