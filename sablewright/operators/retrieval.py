@@ -13,6 +13,8 @@ from sablewright.functions.text import tokens
 from sablewright.shared import settled
 
 K1, B = 1.5, 0.75
+#: Terms of questions that are broadcast at once, about.
+ASKED = 100_000
 
 
 def query_terms(query: str) -> list[str]:
@@ -89,20 +91,31 @@ def bm25_batch(chunks: DataFrame, questions: DataFrame, n: int, id_col: str = "d
     order of adding does not part equal chunks.
 
     For question sets of any size, as in evaluation runs: terms of all questions meet the chunks in one equi-join, which drops
-    all other words before anything is shuffled; counts are combined in the tasks first. Chunks and questions
+    all other words before anything is shuffled; counts are combined in the tasks first. What is left of a chunk goes to one task, where it
+    meets a block of questions (about ``ASKED`` terms, broadcast) after the other, so that scores are summed and cut to the best without a
+    shuffle of hits, which are many times the texts. Chunks and questions
     without a common term do not meet. A null text has no tokens but counts as a chunk of no length; a null or empty question finds nothing.
     """
+    spark = chunks.sparkSession
     asked = questions.select(key, F.explode(tokens(F.col(question))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("__q"))
     # tokens are a column before they are exploded; else every token would have the whole text cut again for its length
     cut = chunks.select(id_col, tokens(F.col(text_col)).alias("__t"))
     words = cut.select(id_col, F.size("__t").alias("__len"), F.explode("__t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    # read twice: for how many chunks hold a term, and for the scores
+    # read for how many chunks hold a term, and for the scores
     postings = settled(words.groupBy(id_col, "term").agg(F.count("*").cast("double").alias("__tf"), F.first("__len").alias("__len")))
     weight = postings.groupBy("term").agg(F.count("*").alias("__df")).crossJoin(F.broadcast(corpus_size(chunks, id_col, text_col)))
-    weighted = asked.join(weight, "term").select(key, "term", (F.col("__q") * _idf(F.col("__df")) * F.lit(K1 + 1)).alias("__w"), "avg_len")
+    weighted = settled(asked.join(weight, "term").select(key, "term", (F.col("__q") * _idf(F.col("__df")) * F.lit(K1 + 1)).alias("__w"), "avg_len"))
     part = F.col("__w") * F.col("__tf") / (F.col("__tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("__len") / F.col("avg_len")))
-    scores = postings.join(weighted, "term").groupBy(key, id_col).agg(F.round(F.sum(part), 9).alias("score"))
-    return top_in(scores.where("score > 0"), n, [key], "score", id_col)
+    # postings are few bytes and hits many rows: as many tasks as the session has partitions
+    own = postings.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), id_col)
+    blocks = -(-weighted.count() // ASKED) or 1
+    found = None
+    for k in range(blocks):
+        some = weighted.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == k)
+        scores = own.join(F.broadcast(some), "term").groupBy(key, id_col).agg(F.round(F.sum(part), 9).alias("score"))
+        best = top_in(scores.where("score > 0"), n, [key], "score", id_col)
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def top(df: DataFrame, n: int, score: str = "score", tie: str = "doc_id", rank: str = "rank") -> DataFrame:

@@ -545,6 +545,17 @@ def test_worker_runs_once(spark, tmp_path):
     assert sorted(seen) == ["a", "b"]
 
 
+def test_bm25_batch_shuffles_no_hits(spark, monkeypatch):
+    """Scores of a chunk are summed where its tokens are, for one block of questions after the other; hits were shuffled before."""
+    chunks = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 7}" for k in range(1, 6))) for i in range(60)], "doc_id long, text string")
+    questions = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} the") for i in range(12)], "question_id long, question string")
+    whole = retrieval.bm25_batch(chunks, questions, 4)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(question_id#\w+, doc_id#", plan)
+    monkeypatch.setattr(retrieval, "ASKED", 5)
+    assert sorted(map(tuple, retrieval.bm25_batch(chunks, questions, 4).collect())) == sorted(map(tuple, whole.collect())) != []
+
+
 def test_bm25_batch_equals_bm25(spark):
     import random
 
