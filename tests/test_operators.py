@@ -604,6 +604,29 @@ def test_facts_against_brute_force(spark):
     assert evidence.resolved_facts(f, k.limit(0)).where("route <> 'new'").count() == 0 and evidence.resolved_facts(f.limit(0), k).count() == 0
 
 
+def test_shared_facts_are_scored_by_literals(spark):
+    """Candidates neither carry the part that is shared nor are compared as structs or rounded one by one; one that shares both parts counts once."""
+    rows = [(f"F{k:02}", "SOLVES" if k % 3 else "USES", "a" if k % 2 else "b", "x" if k % 5 else "y") for k in range(20)] + [("G1", "USES", None, "x"), ("G2", "USES", "a", None)]
+    k = spark.createDataFrame([(*r, "|".join(x or "" for x in (r[2], r[1], r[3]))) for r in rows], "fact_id string, predicate string, subject_id string, object_id string, signature string")
+    f = spark.createDataFrame([(s, p, o) for s in ("a", "b", "c", None) for p in ("IMPROVES", "USES") for o in ("x", "y", "z", None)], "subject_id string, predicate string, object_id string")
+    want = {}
+    for r in f.collect():
+        exact = [i for i, p, s, o in rows if (s or "", p, o or "") == (r.subject_id or "", r.predicate, r.object_id or "")]
+        if exact:
+            want[tuple(r)] = ("exact", 1.0, min(exact))
+            continue
+        near = sorted({x for part, at in ((r.subject_id, 2), (r.object_id, 3)) if part for x in sorted(x for x in rows if x[at] == part)[:8]}, key=lambda x: x[0])[:8]
+        best = min(((-round(0.2 * (s == r.subject_id) + 0.25 * (p == r.predicate) + 0.5 * (o == r.object_id), 6), i) for i, p, s, o in near), default=(0.0, None))
+        want[tuple(r)] = ("rule_merge" if -best[0] >= 0.9 else "ambiguous_unresolved" if -best[0] >= 0.6 else "new", -best[0], best[1] if -best[0] >= 0.9 else None)
+    got = evidence.resolved_facts(f, k)
+    for r in got.collect():
+        route, score, fact = want.pop((r.subject_id, r.predicate, r.object_id))
+        assert (r.route, r.score) == (route, pytest.approx(score)) and (fact is None or r.fact_id == fact), r
+    assert not want
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "round(" not in text and "array_union" not in text and "transform(candidates" in text
+
+
 def test_bm25_of_few_queries_at_once(spark):
     """Several queries in one pass score as each alone; null texts count as chunks of no length."""
     docs = spark.createDataFrame([(1, "a b b c"), (2, "A\u00a0a zz"), (3, None), (4, ""), (5, "d"), (6, "b\u3000zz")], "doc_id long, text string")
