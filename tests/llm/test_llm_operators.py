@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -396,6 +397,34 @@ def test_image_copies(spark, few):
     assert images.image_classes(df.limit(0), "id", "image").count() == 0
 
 
+def test_image_entries_are_bounded():
+    """A task that gathers descriptors holds one table's entries at a time; frequent and rare entries, cut at any batch, give what a plain look gives."""
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    bits = r.integers(0, 256, (700, 200, images.BITS // 8), np.uint8)
+    bits[::3, 0], bits[1:4, 1], bits[:, 2] = 7, 8, bits[r.integers(0, 60, 700), 2]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(700), pa.int64()), pa.array([x.tobytes() for x in bits], pa.binary())], names=["rep", "bits"])
+    tracemalloc.start()
+    tables = [x for x in images._entries(images.TABLES, 8)(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6, peak
+    rows = sorted(zip(*(np.concatenate([x.column(k).to_numpy() for x in tables]).tolist() for k in range(3)), strict=True))
+    want_ties, want_pairs = set(), set()
+    for k in range(images.TABLES):
+        members = {}
+        for image, part in enumerate(images.table_parts(bits, k).reshape(700, 200).tolist()):
+            for e in part:
+                members.setdefault(e, set()).add(image)
+        for m in map(sorted, members.values()):
+            (want_ties if len(m) > 8 else want_pairs).update((a, b) for a in (m[:1] if len(m) > 8 else m) for b in m if a < b)
+    for size in (97, 100_000):
+        cut = [pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + size], strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["entry", "rep", "kind"]) for k in range(0, len(rows), size)]
+        got = [x for b in images._met(8)(iter(cut)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert {x[:2] for x in got if x[2]} == want_ties and {x[:2] for x in got if not x[2]} == want_pairs
+
+
 def test_image_recall():
     """Edited copies are found; pairs of unrelated images are not."""
     r = np.random.default_rng(4)
