@@ -531,6 +531,52 @@ def test_image_links_by_brute_force(spark, few, block):
     assert sum(n == links[i] for i, (_, n) in got.items()) >= 0.95 * len(rows) and all(n <= links[i] for i, (_, n) in got.items())
 
 
+def drawn(seed, n=60):
+    """Drawn vectors of few values, so that unrelated images share tiles, and near copies of some."""
+    r = np.random.default_rng(seed)
+    v = r.integers(-4, 5, (n, 25)) / 10
+    v[n // 2 :] = np.where(r.random((n - n // 2, 25)) < 0.25, v[n // 2 :], v[: n - n // 2])
+    return [(k, images.draw(x)) for k, x in enumerate(v.tolist())]
+
+
+def test_image_blocks_meet_without_entries(spark, monkeypatch):
+    """Where many pairs of images share a table entry, no entries are dealt out, and links are those of all pairs."""
+
+    def no_entries(*_):
+        raise AssertionError("entries were dealt out")
+
+    rows = drawn(1)
+    d = [images.describe(images.decode(v)) for _, v in rows]
+    links = dict.fromkeys(range(len(rows)), 0)
+    for i, j in images.close_pairs(d, None).tolist():
+        if images.is_copy(*d[i], *d[j]):
+            links[i] += 1
+            links[j] += 1
+    monkeypatch.setattr(images, "_entries", no_entries)
+    got = images.image_classes(spark.createDataFrame(rows, "id long, image binary"), "id", "image", block_images=3).collect()
+    assert sum(links.values()) >= 20 and sum(abs(links[x.id] - x.n_links) for x in got) <= 0.05 * sum(links.values())
+
+
+@pytest.mark.parametrize("few", [8, 1])
+def test_image_ways_agree(spark, few):
+    """Blocks that meet and images that meet by entries give the same classes and links."""
+    rows = [*drawn(2, 24), *((100 + k, pgm(f(scene(6000 + k // 2)))) for k, f in enumerate([lambda x: x, lambda x: x[8:108, 8:112]] * 4)), (200, pgm(scene(6000))), (100, pgm(scene(6000))), (201, None)]
+    df = spark.createDataFrame(rows, "id long, image binary")
+    one, two = (sorted(map(tuple, images.image_classes(df, "id", "image", few=few, dense=dense).collect())) for dense in (True, False))
+    assert one == two and len(one) == len(rows)
+    assert [x[1:] for x in one if x[0] in (100, 200)] == [(100, 3)] * 3
+
+
+@pytest.mark.parametrize("most", [images.MOST_MATCHES, 400])
+def test_image_matches_in_parts(monkeypatch, most):
+    """Pairs of blocks are those of looking at each pair of images alone, also where their matches are too many to be held."""
+    monkeypatch.setattr(images, "MOST_MATCHES", most)
+    d = [images.describe(images.decode(v)) for _, v in drawn(3, 24)]
+    want = {(i, j) for i, j in itertools.combinations(range(24), 2) if len(images.close_pairs([d[i]], [d[j]]))}
+    assert want and set(map(tuple, images.close_pairs(d, None).tolist())) == want
+    assert set(map(tuple, images.close_pairs(d[:10], d[10:]).tolist())) == {(i, j - 10) for i, j in want if i < 10 <= j}
+
+
 # --- op6 and op8
 
 
