@@ -320,6 +320,31 @@ def test_blocked_pairs_of_frequent_keys(spark, block):
     assert evidence.blocked(a.limit(0), b, "id", "id", block=block).count() == 0
 
 
+def test_blocks_grow_with_pairs(spark):
+    """An id is sent once for each block of the other side: what is sent grows with the ids of a key, not with their square."""
+
+    def sent(n, m):
+        counts = spark.createDataFrame([(f"k{i}", n, m, "a" if i else "k0", f"k{i}") for i in range(6)], "__k string, __n long, __m long, __from string, __to string")
+        return sorted((x["__k"], n * x["__m_blocks"] + m * x["__n_blocks"], x["__n_blocks"] * x["__m_blocks"]) for x in evidence.blocks_of_keys(counts, 12).collect())
+
+    assert [x[1:] for x in sent(2000, 2000)] == [(4000, 1)] * 6
+    few, many = sent(200_000, 100_000), sent(20_000_000, 10_000_000)
+    assert all(y[1] <= 101 * x[1] and y[2] <= x[2] + 1 for x, y in zip(few, many, strict=True))
+    # enough cells for all tasks, and those of a key are not more
+    assert 12 * evidence.TASK_CELLS <= sum(x[2] for x in many) <= 24 * evidence.TASK_CELLS
+
+
+def test_keys_within_a_lesser_key_are_left_out(spark):
+    """Ids that share a key and all the same lesser one meet at the lesser one only; the other key is not sent."""
+    counts = [("a", 2, 2, "a", "a"), ("b", 2, 2, "a", "a"), ("c", 2, 2, "a", "c"), ("d", 2, 0, "d", "d")]
+    df = spark.createDataFrame(counts, "__k string, __n long, __m long, __from string, __to string")
+    assert sorted(x["__k"] for x in evidence.blocks_of_keys(df, 4).collect()) == ["a", "c"]
+    keys = [["a", "b"], ["a", "b"], ["a"], ["b", "c"], ["c"], ["a", "c", "d"], ["d"]]
+    one = spark.createDataFrame([(i, "t", k) for i, k in enumerate(keys)], "id int, type string, blocking_keys array<string>")
+    want = sorted((i, j) for i, x in enumerate(keys) for j, y in enumerate(keys) if set(x) & set(y))
+    assert sorted(map(tuple, evidence.blocked(one, one, "id", "id", block=1).collect())) == want
+
+
 def test_copies_are_scored_once(spark):
     """Ids with the same keys and columns are one kind, of which a score is asked once, whatever the number of pairs."""
     asked = spark.sparkContext.accumulator(0)
