@@ -345,6 +345,15 @@ def test_keys_within_a_lesser_key_are_left_out(spark):
     assert sorted(map(tuple, evidence.blocked(one, one, "id", "id", block=1).collect())) == want
 
 
+def test_scores_are_those_of_their_pair_in_any_block(spark):
+    """A key in several blocks, with parts of kinds in each: every pair comes once, scored from its own left and right side."""
+    names = ["a b", "a c", "b", "a"]
+    df = spark.createDataFrame([(i, "t", ["all", f"n{i % 4}"], names[i % 4]) for i in range(60)], "id long, type string, blocking_keys array<string>, name string")
+    for block in (2, 7, 1000):
+        got = evidence.blocked(df, df, "id", "id", carry=("name",), block=block, made=lambda a, b: F.concat_ws("|", a["name"], b["name"])).collect()
+        assert sorted(map(tuple, got)) == sorted((i, j, f"{names[i % 4]}|{names[j % 4]}") for i in range(60) for j in range(60))
+
+
 def test_copies_are_scored_once(spark):
     """Ids with the same keys and columns are one kind, of which a score is asked once, whatever the number of pairs."""
     asked = spark.sparkContext.accumulator(0)
