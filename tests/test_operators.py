@@ -412,6 +412,19 @@ def test_similar_memories_of_large_kinds(spark):
     assert len(want) > 100 and sorted(got) == sorted(want)
 
 
+def test_memory_pairs_are_made_one_memory_at_a_time(spark):
+    """The loops over two arrays of memories are parted by a step that is not compiled, and the inner one begins behind the memory itself in its own array."""
+    m = spark.createDataFrame([(i, "u", "t", "w1 w2", 1.0) for i in range(40)] + [(7, "u", "t", "w1 w2", 2.0)], "memory_id long, user_id string, type string, content string, weight double")
+    for block in (4, 2000):
+        pairs = memory.similar_pairs(m, block=block)
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        between = plan[plan.index("Generate explode(at") : plan.index("Generate posexplode(lids")]
+        assert "lambdafunction" in between
+        # the memory that comes twice meets all others twice
+        got = sorted((min(x.keep, x.gone), max(x.keep, x.gone)) for x in pairs.collect())
+        assert got == sorted([(a, b) for a in range(40) for b in range(a + 1, 40)] + [(min(7, b), max(7, b)) for b in range(40) if b != 7])
+
+
 def test_titles_in_long_texts(spark):
     """Places are cut by one pass, without counting to each anew; texts do not go with their places; rows that share or lack an id count too."""
     long = "word " * 60_000
