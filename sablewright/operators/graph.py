@@ -54,14 +54,16 @@ def links(edges: DataFrame, src: str, target: str, reason: Column, most_reasons:
     one = edges.select(F.col(src).alias("__s"), F.col(target).alias("__t"), reason.alias("reason")).dropna(subset=["__s", "__t"]).groupBy("__s", "__t").agg(F.min("reason").alias("reason"))
     size = one.groupBy("__t").agg(F.count("*").alias("__n")).where("__n > 1")
     met = one.join(size, "__t").withColumn("__blocks", F.ceil(F.col("__n") / F.lit(block)).cast("int"))
-    others = met.groupBy("__t", F.pmod(F.xxhash64("__s"), "__blocks").cast("int").alias("__b")).agg(F.collect_list("__s").alias("__all"))
+    others = met.groupBy("__t", F.pmod(F.xxhash64("__s"), "__blocks").cast("int").alias("__b")).agg(F.sort_array(F.collect_list("__s")).alias("__all"))
     many = met.groupBy("__s").agg(F.ceil(F.sum("__n") / F.lit(task)).cast("int").alias("__parts")).where("__parts > 1")
     own = met.select("__t", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__b"), "__s", "reason")
     rows = own.join(others, ["__t", "__b"]).select("__s", "reason", F.filter("__all", lambda o: o > F.col("__s")).alias("__all")).where(F.size("__all") > 0)
     rows = rows.join(F.broadcast(many), "__s", "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
     rows = rows.select("__s", "__part", "reason", F.when(F.col("__parts").isNull(), F.col("__all")).otherwise(F.filter("__all", lambda o: F.pmod(F.xxhash64(o), "__parts") == F.col("__part"))).alias("__all"))
-    pairs = rows.withColumnRenamed("__s", "left_id").repartition("left_id", "__part").select("left_id", "__part", "reason", F.explode("__all").alias("right_id"))
-    out = pairs.groupBy("left_id", "__part", "right_id").agg(F.count("*").alias("n_shared"), F.array_sort(F.collect_list("reason")).alias("reasons")).drop("__part")
+    # links come source by source and sorted within a target, so that the aggregate, which sorts them, merges long runs
+    rows = rows.withColumnRenamed("__s", "left_id").repartition("left_id", "__part").sortWithinPartitions("left_id", "__part")
+    pairs = rows.select("left_id", "__part", "reason", F.explode("__all").alias("right_id"))
+    out = pairs.groupBy("left_id", "__part", "right_id").agg(F.count("*").alias("n_shared"), F.sort_array(F.collect_list("reason")).alias("reasons")).drop("__part")
     return out if most_reasons is None else out.withColumn("reasons", F.slice("reasons", 1, most_reasons))
 
 

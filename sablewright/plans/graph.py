@@ -23,7 +23,7 @@ def fact_counts(spark: SparkSession, d: str) -> DataFrame:
 def paper_links(spark: SparkSession, d: str) -> DataFrame:
     edges = table(spark, d, "lineitem").select("l_suppkey", "l_partkey")
     out = graph.links(edges, "l_suppkey", "l_partkey", F.col("l_partkey"))
-    return out.withColumn("reasons", F.array_join(F.transform("reasons", lambda x: x.cast("string")), ","))
+    return out.withColumn("reasons", F.array_join(F.col("reasons").cast("array<string>"), ","))
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:

@@ -296,6 +296,18 @@ def test_links_shuffle_no_pairs(spark):
     assert "Exchange" not in plan[: plan.index("Generate explode")].split("Aggregate", 1)[1]
 
 
+def test_link_reasons_are_sorted_in_compiled_code(spark, sf):
+    """No lambda, which is not compiled, is called for each link once links are made, and rows come source by source."""
+    from sablewright.plans import graph as plans
+
+    plan = plans.paper_links(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    made = plan.index("Generate explode(__all")
+    assert "lambdafunction" not in plan[:made] and "Sort [left_id" in plan[made : plan.index("Exchange")]
+    rows = [(s_, t_, why) for t_, why in ((1, "b"), (2, None), (3, "a"), (4, "a")) for s_ in ("x", "z", "y", None)]
+    got = graph.links(spark.createDataFrame(rows, "s string, t int, why string"), "s", "t", F.col("why")).collect()
+    assert sorted(map(tuple, got)) == [(a, b, 4, ["a", "a", "b"]) for a, b in ("xy", "xz", "yz")]
+
+
 @pytest.mark.parametrize("block", [3, 1000])
 def test_blocked_pairs_of_frequent_keys(spark, block):
     """Every pair once, whatever it shares, with nulls, repeated ids and a key that most have."""
